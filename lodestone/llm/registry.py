@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from lodestone.llm import line_dedup
+from lodestone.llm import chat, line_dedup, mixing, warc
 
 QUERIES = {
+    "op4_reply_trees": chat.op4_reply_trees,
+    "op7_mixing": mixing.op7_mixing,
     "op9_line_dedup": line_dedup.op9_line_dedup,
+    "op10_warc": warc.op10_warc,
 }
 
 ORACLE_SQL = {
+    "op4_reply_trees": chat.OP4_SQL,
+    "op7_mixing": mixing.OP7_SQL,
     "op9_line_dedup": line_dedup.OP9_SQL,
+    "op10_warc": warc.OP10_SQL,
 }
