@@ -54,3 +54,12 @@ def total_bytes(df: DataFrame, column: str) -> int:
     """Bytes of text in a column over all rows; sizes the batches of a blocked shuffle."""
     found = df.agg(F.sum(F.octet_length(column)).alias("n")).first()
     return int(found["n"] or 0)
+
+
+def unplaced(key: Column) -> Column:
+    """An integer key with the same values that the planner does not take for the column it was grouped by.
+
+    A join of rows with an aggregate of them by the same key would reuse the aggregate's partitions,
+    and Spark splits a hot key of a join only where both sides are shuffled for that join.
+    """
+    return key.bitwiseXOR(F.lit(0).cast("long"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lodestone.llm import chat, line_dedup, mixing, warc
+from lodestone.llm import chat, line_dedup, mixing, near_dup, warc
 
 QUERIES = {
+    "op2_near_dup": near_dup.op2_near_dup,
     "op4_reply_trees": chat.op4_reply_trees,
     "op7_mixing": mixing.op7_mixing,
     "op9_line_dedup": line_dedup.op9_line_dedup,
