@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lodestone.llm import chat, line_dedup, mixing, near_dup, warc
+from lodestone.llm import chat, lang_id, line_dedup, mixing, near_dup, warc
 
 QUERIES = {
     "op2_near_dup": near_dup.op2_near_dup,
     "op4_reply_trees": chat.op4_reply_trees,
     "op7_mixing": mixing.op7_mixing,
+    "op8_language_id": lang_id.op8_language_id,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_warc": warc.op10_warc,
 }
