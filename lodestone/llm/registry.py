@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lodestone.llm import chat, lang_id, line_dedup, mixing, near_dup, warc
+from lodestone.llm import chat, lang_id, line_dedup, mixing, near_dup, ngram_lm, warc
 
 QUERIES = {
     "op2_near_dup": near_dup.op2_near_dup,
+    "op3_lm_scores": ngram_lm.op3_lm_scores,
     "op4_reply_trees": chat.op4_reply_trees,
     "op7_mixing": mixing.op7_mixing,
     "op8_language_id": lang_id.op8_language_id,
