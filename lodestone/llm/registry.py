@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from lodestone.llm import chat, lang_id, line_dedup, mixing, near_dup, ngram_lm, warc
+from lodestone.llm import chat, decontaminate, html_text, lang_id, line_dedup, mixing, near_dup, ngram_lm, warc
 
 QUERIES = {
+    "op1_html_text": html_text.op1_html_text,
     "op2_near_dup": near_dup.op2_near_dup,
     "op3_lm_scores": ngram_lm.op3_lm_scores,
     "op4_reply_trees": chat.op4_reply_trees,
+    "op5_decontaminate": decontaminate.op5_decontaminate,
     "op7_mixing": mixing.op7_mixing,
     "op8_language_id": lang_id.op8_language_id,
     "op9_line_dedup": line_dedup.op9_line_dedup,
