@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import chat, decontaminate, html_text, lang_id, line_dedup, mixing, near_dup, ngram_lm, warc
+from lodestone.llm import ann, chat, decontaminate, html_text, lang_id, line_dedup, mixing, near_dup, ngram_lm, warc
 
 QUERIES = {
     "op1_html_text": html_text.op1_html_text,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_lm_scores": ngram_lm.op3_lm_scores,
     "op4_reply_trees": chat.op4_reply_trees,
     "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op6_nearest": ann.op6_nearest,
     "op7_mixing": mixing.op7_mixing,
     "op8_language_id": lang_id.op8_language_id,
     "op9_line_dedup": line_dedup.op9_line_dedup,
