@@ -59,7 +59,7 @@ def path_members(messages: DataFrame, max_rounds: int = 40) -> DataFrame:
     for links, reach in reversed(jumps):
         step = links.select(F.col("conv_id").alias("_c"), F.col("msg_id").alias("_m"), F.col("up").alias("_up"))
         further = paths.join(step, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("msg_id") == F.col("_m")))
-        paths = paths.unionByName(further.select("conv_id", "leaf", F.col("_up").alias("msg_id"), (F.col("height") + reach).alias("height")))
+        paths = cut(paths.unionByName(further.select("conv_id", "leaf", F.col("_up").alias("msg_id"), (F.col("height") + reach).alias("height"))))
     return paths
 
 
