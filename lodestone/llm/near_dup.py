@@ -26,6 +26,8 @@ SAMPLES, SKETCH_BITS = 256, 512
 LEAST_ESTIMATE = 0.55
 #: Members of a bucket that are compared in one task, against as many others.
 BLOCK = 512
+#: So many ids (some 100 MB) are broadcast to pick their documents; more are joined by a shuffle.
+BROADCAST_IDS = 4_000_000
 _A = np.random.default_rng(20240607).integers(0, 1 << 31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
@@ -208,7 +210,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     likely = cut(likely.select("a", "b"))
 
     def sets_of(nodes: DataFrame) -> DataFrame:
-        wanted = nodes.select(F.col("node").alias("_node")).distinct()
+        wanted = cut(nodes.select(F.col("node").alias("_node")).distinct())
+        if wanted.count() <= BROADCAST_IDS:
+            wanted = F.broadcast(wanted)
         rows = docs.select(F.col(doc_id).cast("long").alias("node"), text_bytes(F.col(text)).alias("_data"))
         return rows.join(wanted, F.col("node") == F.col("_node"), "left_semi").mapInArrow(_sets, "node long, shingles array<long>")
 
