@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestone.plans import fact_queries, merge_queries, price_queries
+from lodestone.plans import fact_queries, merge_queries, price_queries, retrieval_queries
 from lodestone.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
-MODULES = (fact_queries, merge_queries, price_queries)
+MODULES = (fact_queries, merge_queries, price_queries, retrieval_queries)
