@@ -29,14 +29,15 @@ def unescape_role(role: Column) -> Column:
     return unescape(F.replace(role, F.lit("&nl;"), F.lit("\n")))
 
 
-def path_members(messages: DataFrame, max_rounds: int = 40) -> DataFrame:
+def path_members(messages: DataFrame) -> DataFrame:
     """Each leaf with every message on its path to the root: conv_id, leaf, msg_id, height (0 at the leaf).
 
     messages: conv_id, msg_id, parent_id with (conv_id, msg_id) unique; a parent that does not exist
     makes a root. Self-joins double the reach of each message's ancestor link until no link is
     left, which takes log2(depth) rounds; the paths then grow from the leaves by one join for each
-    round, so that the rows made are as many as the paths have members. Rows on a cycle of parents
-    have no root and no path.
+    round, so that the rows made are as many as the paths have members. Links of a tree become fewer
+    with every doubling; those that no longer do lead into a cycle of parents, and rows there have no
+    root and no path.
     """
     nodes = messages.select("conv_id", "msg_id", "parent_id")
     parents = nodes.select(F.col("conv_id").alias("_c"), F.col("msg_id").alias("_m"))
@@ -45,11 +46,16 @@ def path_members(messages: DataFrame, max_rounds: int = 40) -> DataFrame:
     has_child = jump.where("up IS NOT NULL").select(F.col("conv_id").alias("_c"), F.col("up").alias("_m")).distinct()
     leaves = jump.join(has_child, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("msg_id") == F.col("_m")), "left_anti")
     paths = leaves.select("conv_id", F.col("msg_id").alias("leaf"), "msg_id", F.lit(0).cast("long").alias("height"))
-    jumps, reach = [], 1
-    for _ in range(max_rounds):
+    jumps, reach, before = [], 1, None
+    while True:
         links = jump.where("up IS NOT NULL")
-        if links.isEmpty():
+        n = links.count()
+        if n == before:
+            endless = links.select(F.col("conv_id").alias("_c"), F.col("msg_id").alias("_m"))
+            paths = paths.join(endless, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("leaf") == F.col("_m")), "left_anti")
+        if n in (0, before):
             break
+        before = n
         jumps.append((links, reach))
         above = links.select(F.col("conv_id").alias("_c"), F.col("msg_id").alias("_m"), F.col("up").alias("_up"))
         jump = cut(

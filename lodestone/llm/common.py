@@ -45,6 +45,17 @@ def row_key(*columns: Column) -> list[Column]:
     return [F.xxhash64(*typed), F.xxhash64(F.lit("second"), *typed)]
 
 
+def unused(df: DataFrame, *stems: str) -> list[str]:
+    """Column names like the stems that df does not have, so that helper columns clash with nothing."""
+    taken = {c.lower() for c in df.columns}
+    names = []
+    for stem in stems:
+        while stem in taken:
+            stem += "_"
+        names.append(stem)
+    return names
+
+
 def text_bytes(text: Column) -> Column:
     """UTF-8 bytes of a text; null counts as empty."""
     return F.coalesce(text, F.lit("")).cast("binary")

@@ -76,6 +76,15 @@ def _windows(hashes: Column, width: int) -> Column:
     )
 
 
+def _first_places(windows: Column) -> Column:
+    """Places of windows that repeat no earlier one; places without a window count as such."""
+    return F.filter(F.sequence(F.lit(0), F.size(windows) - 1), lambda i: F.get(windows, i).isNull() | (F.array_position(windows, F.get(windows, i)) == i + 1))
+
+
+def _n_covered(places: Column, width: Column) -> Column:
+    return F.size(F.array_distinct(F.flatten(F.transform(places, lambda p: F.sequence(p, p + width - 1)))))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Pairs of a document and a benchmark item whose template the document holds.
 
@@ -83,7 +92,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id
     template. Windows of WINDOW template tokens are hash-joined; items with fewer tokens are one window
     of their own length. A pair counts if its windows cover COVERAGE of the item's tokens and the slots
     along its best alignment are consistent: equal values of the item have equal values in the
-    document. Its kind is "exact" if all values are the same, else "reparameterised".
+    document. Windows that repeat an earlier one of their item add nothing, so that an item of one
+    phrase over and over meets a like text once for each of the text's places. The kind is "exact" if all values are the same, else "reparameterised".
 
     Returns _k1 and _k2 (hashes of doc_id and text, for joining back), doc_id, item_id, n_windows, coverage, kind.
     A null text has no tokens; an item without tokens matches nothing. Repeated rows give one pair.
@@ -103,6 +113,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id
     for width in [WINDOW, *short]:
         own = items.where(F.size("_item_raw") >= WINDOW if width == WINDOW else F.size("_item_raw") == width)
         known = own.select("item_id", F.posexplode(_windows(F.col("_item_hashes"), width)).alias("_at", "_window")).where("_window IS NOT NULL")
+        known = known.groupBy("item_id", "_window").agg(F.min("_at").alias("_at"))
         if known.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
             known = F.broadcast(known)
         seen = hashed.select("_k1", "_k2", F.posexplode(_windows(F.col("_hashes"), width)).alias("_pos", "_seen")).where("_seen IS NOT NULL")
@@ -113,10 +124,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id
         F.max(F.struct(F.size("_at").alias("n"), (-F.col("_shift")).alias("back"))).alias("_best"),
         F.array_distinct(F.flatten(F.collect_set("_at"))).alias("_at"),
     )
-    covered = F.size(F.array_distinct(F.flatten(F.transform("_at", lambda p: F.sequence(p, p + F.col("_width") - 1)))))
+    own_windows = F.when(F.size("_item_raw") >= WINDOW, _windows(F.col("_item_hashes"), WINDOW))
+    to_cover = F.coalesce(_n_covered(_first_places(F.col("_item_windows")), F.lit(WINDOW)), F.size("_item_raw"))
     pairs = (
         pairs.join(items.withColumnRenamed("item_id", "_item"), F.col("item_id").eqNullSafe(F.col("_item")))
-        .withColumn("coverage", covered / F.size("_item_raw"))
+        .withColumn("_item_windows", own_windows)
+        .withColumn("coverage", _n_covered(F.col("_at"), F.col("_width")) / to_cover)
         .where(F.col("coverage") >= COVERAGE)
         .select("_k1", "_k2", "item_id", F.size("_at").cast("long").alias("n_windows"), "coverage", (-F.col("_best.back")).alias("_shift"), "_item_raw", "_item_canonical")
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import BLANKS, ascii_lower, row_key
+from lodestone.llm.common import BLANKS, ascii_lower, row_key, unused
 from lodestone.session import table
 
 
@@ -33,10 +33,9 @@ def dedup_lines(
     all tasks. The positions to drop are joined back to the texts.
     """
     source = docs.drop("kept_text", "n_lines", "n_dropped")
-    keys = dict(zip(("_k1", "_k2"), row_key(F.col(doc_id), F.col(text)), strict=True))
-    with_lines = source.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text")).withColumns(
-        {name: row_key(F.col("_doc"), F.col("_text"))[i] for i, name in enumerate(keys)}
-    )
+    k1, k2, all_lines, gone = unused(source, "_k1", "_k2", "_lines", "_dropped")
+    keys = row_key(F.col(doc_id), F.col(text))
+    with_lines = source.select(F.col(doc_id).alias("_doc"), keys[0].alias("_k1"), keys[1].alias("_k2"), F.col(text).alias("_text"))
     line_keys = F.transform(_lines(F.col("_text")), _line_key)
     hashed = F.transform(
         line_keys,
@@ -59,20 +58,19 @@ def dedup_lines(
     )
     dropped = (
         exploded.join(frequent, ["_h1", "_h2"])
-        .groupBy("_k1", "_k2")
-        .agg(F.collect_set("_pos").alias("_dropped"))
+        .groupBy(F.col("_k1").alias(k1), F.col("_k2").alias(k2))
+        .agg(F.collect_set("_pos").alias(gone))
     )
-    joined = source.withColumns(keys).join(dropped, ["_k1", "_k2"], "left")
-    lines = _lines(F.col(text))
-    places = F.sequence(F.lit(0), F.size("_lines") - 1)
-    kept = F.when(F.col("_dropped").isNull(), F.col("_lines")).otherwise(
-        F.transform(F.array_except(places, F.col("_dropped")), lambda i: F.get(F.col("_lines"), i))
+    joined = source.withColumns({k1: keys[0], k2: keys[1]}).join(dropped, [k1, k2], "left").withColumn(all_lines, _lines(F.col(text)))
+    places = F.sequence(F.lit(0), F.size(all_lines) - 1)
+    kept = F.when(F.col(gone).isNull(), F.col(all_lines)).otherwise(
+        F.transform(F.array_except(places, F.col(gone)), lambda i: F.get(F.col(all_lines), i))
     )
-    return joined.withColumn("_lines", lines).select(
+    return joined.select(
         *[F.col(c) for c in source.columns],
         F.array_join(kept, "\n").alias("kept_text"),
-        F.size("_lines").cast("long").alias("n_lines"),
-        F.coalesce(F.size("_dropped"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.size(all_lines).cast("long").alias("n_lines"),
+        F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_dropped"),
     )
 
 
