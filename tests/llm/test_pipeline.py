@@ -66,7 +66,8 @@ def test_the_mix_is_that_of_the_operator(stages):
 def test_odd_rows_pass_all_stages(spark, odd):
     docs = odd
     for name, stage in pipeline.STAGES:
-        docs = spark.createDataFrame(stage(spark, docs, SF).collect(), stage(spark, docs, SF).schema)
+        found = stage(spark, docs, SF)
+        docs = spark.createDataFrame(found.collect(), found.schema)
         if name != "mixing":
             assert docs.columns == odd.columns
     assert {r["doc_id"] for r in docs.collect()} >= {3, 4}
