@@ -33,47 +33,65 @@ def _is_number(token: Column) -> Column:
     return F.ascii(token).between(48, 57)
 
 
-def canonical(raw: Column) -> Column:
-    """Each token as a template has it: a placeholder for numbers, units after them and names, else in lower case.
-
-    A name is a capitalised word inside a sentence. Marks before a word that begins a sentence go.
-    """
+def plain(raw: Column) -> Column:
+    """Each token in lower case, without the marks before a word that begins a sentence; placeholders for numbers and units after them."""
 
     def one(token: Column, i: Column) -> Column:
-        before = F.get(raw, i - 1)
-        lower = F.lower(token)
         return (
             F.when(_is_number(token), F.lit(NUMBER))
-            .when(_is_number(F.coalesce(before, F.lit(""))) & lower.isin(UNITS), F.lit(UNIT))
-            .when(F.ascii(token).between(65, 90) & (i > 0), F.lit(NAME))
-            .when(F.ascii(token).between(97, 122), lower)
-            .otherwise(F.ltrim(lower, F.lit(" \t\r\n.!?\"'([")))
+            .when(_is_number(F.coalesce(F.get(raw, i - 1), F.lit(""))) & F.lower(token).isin(UNITS), F.lit(UNIT))
+            .otherwise(_value(token))
         )
 
     return F.transform(raw, one)
 
 
+def _value(token: Column) -> Column:
+    return F.ltrim(F.lower(token), F.lit(" \t\r\n.!?\"'(["))
+
+
 def _hashes(template: Column) -> Column:
-    """A hash of each template token; placeholders have even hashes, words odd ones, so windows can count them."""
+    """A hash of each token of a plain template, with the number of ordinary words (1, or 0 for a placeholder) in its last four bits."""
+    return F.transform(template, lambda t: F.shiftleft(F.xxhash64(t), 4).bitwiseOR(F.when(F.ascii(t) == 1, F.lit(0)).otherwise(F.lit(1)).cast("long")))
 
-    def one(token: Column) -> Column:
-        slot = F.ascii(token) == 1
-        return F.when(slot, F.shiftleft(F.xxhash64(token), 1)).otherwise(F.shiftleft(F.xxhash64(token), 1).bitwiseOR(F.lit(1).cast("long")))
 
-    return F.transform(template, one)
+def _with_names(hashes: Column, raw: Column) -> Column:
+    """The hashes with a placeholder for each name: a word that begins with A-Z inside a sentence."""
+    name = F.shiftleft(F.xxhash64(F.lit(NAME)), 4)
+    return F.transform(hashes, lambda h, i: F.when((i > 0) & (_words(h) == 1) & F.ascii(F.get(raw, i)).between(65, 90), name).otherwise(h))
 
 
-def _windows(hashes: Column, width: int) -> Column:
-    """Hash of the window at each place; null where it has too few ordinary words."""
-    least = min(LEAST_WORDS, (width + 1) // 2)
-    places = F.when(F.size(hashes) >= width, F.sequence(F.lit(0), F.size(hashes) - width))
-    return F.transform(
-        places,
-        lambda i: F.when(
-            F.aggregate(F.slice(hashes, i + 1, width), F.lit(0).cast("long"), lambda n, h: n + h.bitwiseAND(F.lit(1).cast("long"))) >= least,
-            F.xxhash64(F.slice(hashes, i + 1, width)),
-        ),
-    )
+def _words(window: Column) -> Column:
+    return window.bitwiseAND(F.lit(15).cast("long"))
+
+
+def _joined(left: Column, right: Column, by: int) -> Column:
+    """Hash of each window of left with the one of right that begins by places later; null where there is none. The words of both add up."""
+    later = F.slice(right, by + 1, F.greatest(F.size(right), F.lit(0)))
+    return F.zip_with(left, later, lambda a, b: F.shiftleft(F.xxhash64(a, b), 4).bitwiseOR(_words(a) + _words(b)))
+
+
+def _add_windows(df: DataFrame, hashes: str, widths: list[int]) -> DataFrame:
+    """Add, for each width, the column hashes_width: the hash of the window at each place, null at the last width - 1 places."""
+    df = df.withColumn(f"{hashes}_1", F.col(hashes))
+    for size in (2, 4, 8):
+        if size <= max(widths):
+            half = F.col(f"{hashes}_{size // 2}")
+            df = df.withColumn(f"{hashes}_{size}", _joined(half, half, size // 2))
+    for width in widths:
+        done = 0
+        for size in (4, 2, 1):
+            if width != WINDOW and width & size:
+                part = F.col(f"{hashes}_{size}")
+                found = part if not done else _joined(found, part, done)
+                done += size
+        if width in (3, 5, 6, 7):
+            df = df.withColumn(f"{hashes}_{width}", found)
+    return df
+
+
+def _least_words(width: Column) -> Column:
+    return F.least(F.lit(LEAST_WORDS), F.floor((width + 1) / 2))
 
 
 def _first_places(windows: Column) -> Column:
@@ -89,73 +107,74 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id
     """Pairs of a document and a benchmark item whose template the document holds.
 
     Numbers, names and units are placeholders, so an item with other numbers in it has the same
-    template. Windows of WINDOW template tokens are hash-joined; items with fewer tokens are one window
-    of their own length. A pair counts if its windows cover COVERAGE of the item's tokens and the slots
-    along its best alignment are consistent: equal values of the item have equal values in the
-    document. Windows that repeat an earlier one of their item add nothing, so that an item of one
-    phrase over and over meets a like text once for each of the text's places. The kind is "exact" if all values are the same, else "reparameterised".
+    template. A second, plain template has all words in lower case and no names, so that a text in
+    capitals is found too; either finds a pair. Windows of WINDOW template tokens are hash-joined; items
+    with fewer tokens are one window of their own length. A pair counts if its windows cover COVERAGE of
+    the item's tokens. Windows that repeat an earlier one of their item add nothing, so that an item of one
+    phrase over and over meets a like text once for each of the text's places. The slots
+    along its best alignment must be consistent: equal values of the item have equal values in the
+    document. The kind is "exact" if all values are the same, else "reparameterised".
 
     Returns _k1 and _k2 (hashes of doc_id and text, for joining back), doc_id, item_id, n_windows, coverage, kind.
     A null text has no tokens; an item without tokens matches nothing. Repeated rows give one pair.
     """
-    raw_item = tokens(F.col(item_text))
     items = (
-        benchmark.select(F.col(item_id).alias("item_id"), raw_item.alias("_item_raw"))
+        benchmark.select(F.col(item_id).alias("item_id"), tokens(F.col(item_text)).alias("_item_raw"))
         .where(F.size("_item_raw") > 0)
-        .withColumn("_item_canonical", canonical(F.col("_item_raw")))
-        .withColumn("_item_hashes", _hashes(F.col("_item_canonical")))
+        .withColumn("_width", F.least(F.size("_item_raw"), F.lit(WINDOW)))
+        .withColumn("_plain", _hashes(plain(F.col("_item_raw"))))
+        .withColumn("_named", _with_names(F.col("_plain"), F.col("_item_raw")))
     )
-    # At most WINDOW - 1 numbers.
-    short = sorted(r["n"] for r in items.select(F.size("_item_raw").alias("n")).where(F.col("n") < WINDOW).distinct().collect())
+    # At most WINDOW numbers.
+    widths = sorted({WINDOW} | {r["_width"] for r in items.select("_width").distinct().collect()})
+    for form in ("_plain", "_named"):
+        items = _add_windows(items, form, widths)
+        own = F.coalesce(*[F.when(F.col("_width") == w, F.col(f"{form}_{w}")) for w in widths])
+        own = F.transform(F.slice(own, 1, F.size(own) - F.col("_width") + 1), lambda w: F.when(_words(w) >= _least_words(F.col("_width")), w))
+        items = items.withColumn(f"{form}_own", own)
+    items = items.select(
+        "item_id",
+        "_width",
+        F.transform("_item_raw", lambda t, i: F.when(_words(F.get(F.col("_named"), i)) == 0, _value(t))).alias("_values"),
+        F.explode(F.array(*[F.struct(F.lit(n).alias("form"), F.col(f"{form}_own").alias("own")) for n, form in enumerate(("_plain", "_named"))])).alias("_form"),
+    ).select("item_id", "_width", "_values", F.col("_form.form").alias("_form"), F.col("_form.own").alias("_own"))
+    known = items.select("item_id", "_form", F.posexplode("_own").alias("_at", "_window")).where("_window IS NOT NULL").groupBy("item_id", "_form", "_window").agg(F.min("_at").alias("_at"))
+    if known.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
+        known = F.broadcast(known)
     keys = row_key(F.col(doc_id), F.col(text))
-    hashed = docs.select(keys[0].alias("_k1"), keys[1].alias("_k2"), tokens(F.col(text)).alias("_raw")).select("_k1", "_k2", _hashes(canonical(F.col("_raw"))).alias("_hashes"))
-    hits = None
-    for width in [WINDOW, *short]:
-        own = items.where(F.size("_item_raw") >= WINDOW if width == WINDOW else F.size("_item_raw") == width)
-        known = own.select("item_id", F.posexplode(_windows(F.col("_item_hashes"), width)).alias("_at", "_window")).where("_window IS NOT NULL")
-        known = known.groupBy("item_id", "_window").agg(F.min("_at").alias("_at"))
-        if known.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
-            known = F.broadcast(known)
-        seen = hashed.select("_k1", "_k2", F.posexplode(_windows(F.col("_hashes"), width)).alias("_pos", "_seen")).where("_seen IS NOT NULL")
-        found = seen.join(known, F.col("_seen") == F.col("_window")).select("_k1", "_k2", "item_id", "_at", (F.col("_pos") - F.col("_at")).alias("_shift"), F.lit(width).alias("_width"))
-        hits = found if hits is None else hits.unionByName(found)
-    aligned = hits.groupBy("_k1", "_k2", "item_id", "_width", "_shift").agg(F.collect_set("_at").alias("_at"))
-    pairs = aligned.groupBy("_k1", "_k2", "item_id", "_width").agg(
-        F.max(F.struct(F.size("_at").alias("n"), (-F.col("_shift")).alias("back"))).alias("_best"),
-        F.array_distinct(F.flatten(F.collect_set("_at"))).alias("_at"),
-    )
-    own_windows = F.when(F.size("_item_raw") >= WINDOW, _windows(F.col("_item_hashes"), WINDOW))
-    to_cover = F.coalesce(_n_covered(_first_places(F.col("_item_windows")), F.lit(WINDOW)), F.size("_item_raw"))
-    pairs = (
-        pairs.join(items.withColumnRenamed("item_id", "_item"), F.col("item_id").eqNullSafe(F.col("_item")))
-        .withColumn("_item_windows", own_windows)
-        .withColumn("coverage", _n_covered(F.col("_at"), F.col("_width")) / to_cover)
-        .where(F.col("coverage") >= COVERAGE)
-        .select("_k1", "_k2", "item_id", F.size("_at").cast("long").alias("n_windows"), "coverage", (-F.col("_best.back")).alias("_shift"), "_item_raw", "_item_canonical")
-    )
+    hashed = docs.select(keys[0].alias("_k1"), keys[1].alias("_k2"), tokens(F.col(text)).alias("_raw")).withColumn("_plain", _hashes(plain(F.col("_raw"))))
+    hashed = hashed.withColumn("_named", _with_names(F.col("_plain"), F.col("_raw")))
+    for form in ("_plain", "_named"):
+        hashed = _add_windows(hashed, form, widths)
+    # All lists are as long as the document, so that a place is what is left by its length. A hash holds its number of words, so only windows of enough words meet one.
+    lists = F.concat(*[F.col(f"{form}_{w}") for w in widths for form in ("_plain", "_named")])
+    seen = hashed.select("_k1", "_k2", F.size("_raw").alias("_n"), F.posexplode(lists).alias("_pos", "_seen")).where("_seen IS NOT NULL")
+    hits = seen.join(known, F.col("_seen") == F.col("_window")).select("_k1", "_k2", "item_id", "_form", "_at", (F.col("_pos") % F.col("_n") - F.col("_at")).alias("_shift"))
+    aligned = hits.groupBy("_k1", "_k2", "item_id", "_form", "_shift").agg(F.collect_set("_at").alias("_at"))
+    covered = _n_covered(F.array_distinct(F.flatten(F.col("_alignments._at"))), F.col("_width"))
+    pairs = aligned.groupBy("_k1", "_k2", "item_id", "_form").agg(F.collect_list(F.struct("_shift", "_at")).alias("_alignments"))
+    sized = items.withColumn("_to_cover", _n_covered(_first_places(F.col("_own")), F.col("_width"))).drop("_own").withColumnsRenamed({"item_id": "_item", "_form": "_item_form"})
+    pairs = pairs.join(sized, F.col("item_id").eqNullSafe(F.col("_item")) & (F.col("_form") == F.col("_item_form")))
+    pairs = pairs.withColumn("coverage", covered / F.col("_to_cover")).where(F.col("coverage") >= COVERAGE)
     # Only documents with such a pair are read again, for the values in their slots.
     texts = docs.select(keys[0].alias("_a"), keys[1].alias("_b"), F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
     texts = texts.join(pairs.select(F.col("_k1").alias("_a"), F.col("_k2").alias("_b")).distinct(), ["_a", "_b"], "left_semi").dropDuplicates(["_a", "_b"])
+    pairs = pairs.join(texts, (F.col("_k1") == F.col("_a")) & (F.col("_k2") == F.col("_b"))).withColumn("_raw", tokens(F.col("_text")))
+    best = F.array_max(F.transform("_alignments", lambda a: F.struct(F.size(a["_at"]).alias("n"), (-a["_shift"]).alias("back"))))
     slots = F.transform(
-        F.filter(F.sequence(F.lit(0), F.size("_item_raw") - 1), lambda i: F.ascii(F.get(F.col("_item_canonical"), i)) == 1),
-        lambda i: F.struct(F.lower(F.get(F.col("_item_raw"), i)).alias("own"), F.lower(F.get(F.col("_raw"), i + F.col("_shift"))).alias("other")),
+        F.filter(F.sequence(F.lit(0), F.size("_values") - 1), lambda i: F.get(F.col("_values"), i).isNotNull()),
+        lambda i: F.struct(F.get(F.col("_values"), i).alias("own"), _value(F.get(F.col("_raw"), i + F.col("_shift"))).alias("other")),
     )
-    consistent = F.size(F.array_distinct("_slots")) == F.size(F.array_distinct(F.transform("_slots", lambda s: s["own"])))
-    return (
-        pairs.join(texts, (F.col("_k1") == F.col("_a")) & (F.col("_k2") == F.col("_b")))
-        .withColumn("_raw", tokens(F.col("_text")))
+    consistent = F.size(F.array_distinct("_slots")) == F.size(F.array_distinct(F.col("_slots.own")))
+    kinds = (
+        pairs.withColumn("_shift", -best["back"])
         .withColumn("_slots", F.filter(slots, lambda s: s["other"].isNotNull()))
         .where(consistent)
-        .select(
-            "_k1",
-            "_k2",
-            "doc_id",
-            "item_id",
-            "n_windows",
-            "coverage",
-            F.when(F.forall("_slots", lambda s: s["own"] == s["other"]), "exact").otherwise("reparameterised").alias("kind"),
-        )
+        .withColumn("n_windows", F.size(F.array_distinct(F.flatten(F.col("_alignments._at")))).cast("long"))
+        .withColumn("kind", F.when(F.forall("_slots", lambda s: s["own"] == s["other"]), "exact").otherwise("reparameterised"))
     )
+    best_form = F.max(F.struct("coverage", "n_windows"))
+    return kinds.groupBy("_k1", "_k2", "doc_id", "item_id").agg(best_form.alias("_best"), F.min("kind").alias("kind")).select("_k1", "_k2", "doc_id", "item_id", "_best.n_windows", "_best.coverage", "kind")
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -151,6 +151,23 @@ def test_planted_passages_of_the_benchmark_are_found(spark, documents):
     assert want <= got
 
 
+def test_planted_passages_in_any_case_are_found(spark):
+    """All of sf0.1 against substrings of lower-cased texts with one blank between words."""
+    folder = "/root/testdata/sf0.1"
+    flat = lambda t: " ".join((t or "").lower().split())
+    items = [(r["item_id"], flat(r["text"])) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    docs = [(r["doc_id"], flat(r["text"])) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
+    want = {(d, i) for d, t in docs for i, x in items if x in t}
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.op5_decontaminate(spark, folder).collect()}
+    assert len(want) >= 247 and want <= got, sorted(want - got)
+
+
+def test_texts_in_capitals_and_title_case_hold_an_item(spark):
+    docs = [(1, f"BEFORE IT. {ITEM.upper()} AFTER IT."), (2, f"Before It. {ITEM.title()} After It."), (3, ITEM.lower()), (4, ITEM)]
+    got = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(10, ITEM)], "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["kind"]) for r in got) == [(i, 10, "exact") for i in (1, 2, 3, 4)]
+
+
 def test_odd_rows_have_a_defined_result(spark, odd, documents):
     n = odd.count()
     found = {(r["doc_id"], r["n_shingles"]): r for r in near_dup.near_duplicates(odd).collect()}
