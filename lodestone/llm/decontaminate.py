@@ -99,8 +99,13 @@ def _first_places(windows: Column) -> Column:
     return F.filter(F.sequence(F.lit(0), F.size(windows) - 1), lambda i: F.get(windows, i).isNull() | (F.array_position(windows, F.get(windows, i)) == i + 1))
 
 
+def _places(starts: Column, width: Column) -> Column:
+    """Places that the windows which start at starts cover."""
+    return F.array_distinct(F.flatten(F.transform(starts, lambda p: F.sequence(p, p + width - 1))))
+
+
 def _n_covered(places: Column, width: Column) -> Column:
-    return F.size(F.array_distinct(F.flatten(F.transform(places, lambda p: F.sequence(p, p + width - 1)))))
+    return F.size(_places(places, width))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -110,10 +115,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id
     template. A second, plain template has all words in lower case and no names, so that a text in
     capitals is found too; either finds a pair. Windows of WINDOW template tokens are hash-joined; items
     with fewer tokens are one window of their own length. A pair counts if its windows cover COVERAGE of
-    the item's tokens. Windows that repeat an earlier one of their item add nothing, so that an item of one
-    phrase over and over meets a like text once for each of the text's places. The slots
-    along its best alignment must be consistent: equal values of the item have equal values in the
-    document. The kind is "exact" if all values are the same, else "reparameterised".
+    the item's tokens, where only windows of consistent alignments count. An alignment (the windows of one
+    distance between the places in document and item) is consistent if equal values of the item in the slots
+    under its windows have equal values in the document. Windows that repeat an earlier one of their item add nothing, so that an item of one
+    phrase over and over meets a like text once for each of the text's places. The
+    kind is "exact" if alignments whose values are all the same reach COVERAGE, else "reparameterised".
 
     Returns _k1 and _k2 (hashes of doc_id and text, for joining back), doc_id, item_id, n_windows, coverage, kind.
     A null text has no tokens; an item without tokens matches nothing. Repeated rows give one pair.
@@ -160,18 +166,22 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id
     texts = docs.select(keys[0].alias("_a"), keys[1].alias("_b"), F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
     texts = texts.join(pairs.select(F.col("_k1").alias("_a"), F.col("_k2").alias("_b")).distinct(), ["_a", "_b"], "left_semi").dropDuplicates(["_a", "_b"])
     pairs = pairs.join(texts, (F.col("_k1") == F.col("_a")) & (F.col("_k2") == F.col("_b"))).withColumn("_raw", tokens(F.col("_text")))
-    best = F.array_max(F.transform("_alignments", lambda a: F.struct(F.size(a["_at"]).alias("n"), (-a["_shift"]).alias("back"))))
-    slots = F.transform(
-        F.filter(F.sequence(F.lit(0), F.size("_values") - 1), lambda i: F.get(F.col("_values"), i).isNotNull()),
-        lambda i: F.struct(F.get(F.col("_values"), i).alias("own"), _value(F.get(F.col("_raw"), i + F.col("_shift"))).alias("other")),
+    slots = lambda a: F.array_distinct(
+        F.transform(
+            F.filter(_places(a["_at"], F.col("_width")), lambda i: F.get(F.col("_values"), i).isNotNull()),
+            lambda i: F.struct(F.get(F.col("_values"), i).alias("own"), _value(F.get(F.col("_raw"), i + a["_shift"])).alias("other")),
+        )
     )
-    consistent = F.size(F.array_distinct("_slots")) == F.size(F.array_distinct(F.col("_slots.own")))
+    with_slots = F.transform("_alignments", lambda a: F.struct(a["_at"].alias("_at"), slots(a).alias("slots")))
+    consistent = F.filter(with_slots, lambda a: F.size(a["slots"]) == F.size(F.array_distinct(a["slots"]["own"])))
+    same = F.filter("_alignments", lambda a: F.forall(a["slots"], lambda s: s["own"] == s["other"]))
     kinds = (
-        pairs.withColumn("_shift", -best["back"])
-        .withColumn("_slots", F.filter(slots, lambda s: s["other"].isNotNull()))
-        .where(consistent)
+        pairs.withColumn("_alignments", consistent)
+        .withColumn("coverage", covered / F.col("_to_cover"))
+        .where(F.col("coverage") >= COVERAGE)
         .withColumn("n_windows", F.size(F.array_distinct(F.flatten(F.col("_alignments._at")))).cast("long"))
-        .withColumn("kind", F.when(F.forall("_slots", lambda s: s["own"] == s["other"]), "exact").otherwise("reparameterised"))
+        .withColumn("_same", same)
+        .withColumn("kind", F.when(_n_covered(F.array_distinct(F.flatten(F.col("_same._at"))), F.col("_width")) / F.col("_to_cover") >= COVERAGE, "exact").otherwise("reparameterised"))
     )
     best_form = F.max(F.struct("coverage", "n_windows"))
     return kinds.groupBy("_k1", "_k2", "doc_id", "item_id").agg(best_form.alias("_best"), F.min("kind").alias("kind")).select("_k1", "_k2", "doc_id", "item_id", "_best.n_windows", "_best.coverage", "kind")

@@ -168,6 +168,20 @@ def test_texts_in_capitals_and_title_case_hold_an_item(spark):
     assert sorted((r["doc_id"], r["item_id"], r["kind"]) for r in got) == [(i, 10, "exact") for i in (1, 2, 3, 4)]
 
 
+def test_slots_are_checked_where_windows_match(spark):
+    """A word put in, the first 70 hundredths of an item, and an inconsistent look-alike before the item itself."""
+    item = "Natalia sold 48 clips to some of her friends in April, and then in the whole month of May she sold half as many clips as the 48 that Natalia had sold to them in April before."
+    words = item.split()
+    docs = [
+        (1, " ".join([*words[:17], "really", *words[17:]])),
+        (2, " ".join(words[: int(0.7 * len(words))]) + " 5 of Us Went Home and 6 of Us Stayed 7 more days with Some old 8 people of that place and were glad."),
+        (3, item.replace("48", "9", 1) + " After that came this. " + item),
+        (4, item.replace("48", "9", 1)),
+    ]
+    got = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["kind"]) for r in got) == [(1, "exact"), (2, "exact"), (3, "exact")]
+
+
 def test_odd_rows_have_a_defined_result(spark, odd, documents):
     n = odd.count()
     found = {(r["doc_id"], r["n_shingles"]): r for r in near_dup.near_duplicates(odd).collect()}
