@@ -90,7 +90,9 @@ def parse(page: str) -> Page:
                 close = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
                 at = close.end() if close else len(page)
             continue
-        runs.append(Run(f"<{name}", block=block))
+        up = stack[-1] if stack else ("", "", False, False, False)
+        tag = Run(f"<{name}", block=block, inside=up[4], boilerplate=up[2])
+        runs.append(tag)
         if name == "br":
             runs.append(Run("", " ", 0, block))
         elif name == "a":
@@ -116,11 +118,15 @@ def parse(page: str) -> Page:
             boilerplate = up[2] or name in _BOILERPLATE or not outer and not _MARKED.isdisjoint(marks)
             top = up[3] or name == "header" or not outer and not _TOPS.isdisjoint(marks)
             stack.append((name, ".".join([name, *marks[:2]]), boilerplate or top and not article, top, article))
+            tag.inside, tag.boilerplate = tag.inside or article, tag.boilerplate or stack[-1][2]
 
 
 @dataclass(frozen=True)
 class Weights:
-    """Score of a word by its context, of a tag by its name, with what holds for those never seen."""
+    """Score of a word by its context, of a tag by its name, with what holds for those never seen.
+
+    Boilerplate inside the article or main part is cut out anyway and scores 0, so that it never splits the part.
+    """
 
     words: dict[str, float]
     leaves: dict[str, float]
@@ -129,10 +135,10 @@ class Weights:
     tag: float = -0.5
 
     def of(self, run: Run) -> float:
+        if run.boilerplate:
+            return 0.0 if run.inside else -float(run.n_words) if run.n_words else self.tags.get(run.context, self.tag) if run.context else 0.0
         if not run.n_words:
             return self.tags.get(run.context, self.tag) if run.context else 0.0
-        if run.boilerplate:
-            return -float(run.n_words)
         weight = self.words.get(run.context)
         return run.n_words * (self.leaves.get(run.context.partition("|")[2], self.word) if weight is None else weight)
 

@@ -38,6 +38,16 @@ def test_any_page_is_parsed(page):
     html_text.main_text(page, html_text.Weights({}, {}, {}))
 
 
+def test_long_blocks_do_not_split_an_article():
+    words = lambda stem, n: " ".join(f"{stem}{i}" for i in range(n))
+    weights = html_text.Weights({}, {}, {})
+    for block in ("<div class=ad><p>{}</p></div>", "<aside><div>{}</div></aside>", "<form><p>{}</p></form>", "<div class=comments><ul><li>{}</li></ul></div>"):
+        cut = block.format(words("x", 300))
+        page = f"<article>{cut}<h1>{words('a', 10)}</h1>{cut}<p>{words('b', 200)}</p>{cut}<p>{words('c', 20)}</p>{cut}</article>"
+        for part in (page, page.replace("article>", "main>")):
+            assert html_text.main_text(f"<body>{part}</body>", weights) == "\n\n".join([words("a", 10), words("b", 200), words("c", 20)])
+
+
 def test_texts_of_all_pages(spark):
     got = html_text.op1_html_text(spark, SF).collect()
     assert len(got) == spark.read.parquet(f"{SF}/pages.parquet").count()
