@@ -32,7 +32,9 @@ _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _LEAVES = _HEADINGS | frozenset("p blockquote pre li dd dt td th figcaption caption summary".split())
 _CONTAINERS = _BOUNDARY - _HEADINGS - frozenset("p hr html head".split())
 _ARTICLES = frozenset(("article", "main"))
-_BOILERPLATE = frozenset("nav footer aside form dialog menu fieldset".split())
+_BOILERPLATE = frozenset("nav footer aside dialog menu".split())
+#: Elements that, like class words, mark boilerplate unless they wrap the page's text.
+_WRAPPERS = frozenset(("form", "fieldset"))
 #: Words of class, id and role names that mark menus, adverts, notices, comments and the like.
 _MARKED = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs "
@@ -54,6 +56,7 @@ class Run:
     block: int = 0
     inside: bool = False
     boilerplate: bool = False
+    marks: tuple[int, ...] = ()
 
 
 @dataclass
@@ -63,9 +66,16 @@ class Page:
 
 
 def parse(page: str) -> Page:
-    """Runs of text and tags in page order. Unclosed elements, cut tags and stray ends are tolerated."""
+    """Runs of text and tags in page order. Unclosed elements, cut tags and stray ends are tolerated.
+
+    A container with a listed class word, or a form, is boilerplate unless it wraps the page's text: on a
+    page without an article or main part outside such containers, those that hold one, or more than half
+    of the words, are not.
+    """
     out = Page()
-    runs, stack = out.runs, []  # stack: (name, label, boilerplate, top, article)
+    runs, stack = out.runs, []  # stack: (name, label, boilerplate, top, article, marks, marks of tops)
+    none = ("", "", False, False, False, (), ())
+    n_marks, holders, clear = 0, set(), False
     at, block, leaf, link = 0, 0, "", False
     while True:
         found = _TAG.search(page, at)
@@ -73,12 +83,13 @@ def parse(page: str) -> Page:
         if text and not text.isspace():
             if "&" in text:
                 text = entities.unescape(text)
-            name, label, boilerplate, top, article = stack[-1] if stack else ("", "", False, False, False)
+            name, label, boilerplate, top, article, marked, tops = stack[-1] if stack else none
             context = f"{label}|{leaf}{'>a' if link else ''}"
-            runs.append(Run(context, text, len(text.split()), block, article, boilerplate or top and leaf not in _HEADINGS))
+            runs.append(Run(context, text, len(text.split()), block, article, boilerplate or top and leaf not in _HEADINGS, marked if leaf in _HEADINGS else marked + tops))
         elif text:
             runs.append(Run("", text, 0, block))
         if not found:
+            _apply_marks(runs, holders, clear)
             return out
         at = found.end()
         name = (found["name"] or found["name2"] or "").lower()
@@ -86,12 +97,13 @@ def parse(page: str) -> Page:
             continue
         ends = bool(found["end"] or found["end2"])
         if name in _SKIPPED:
-            if not ends:
+            closed = name in ("svg", "math") and (found["rest"] or found["rest2"] or "").endswith("/")
+            if not ends and not closed:
                 close = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
                 at = close.end() if close else len(page)
             continue
-        up = stack[-1] if stack else ("", "", False, False, False)
-        tag = Run(f"<{name}", block=block, inside=up[4], boilerplate=up[2])
+        up = stack[-1] if stack else none
+        tag = Run(f"<{name}", block=block, inside=up[4], boilerplate=up[2], marks=up[5])
         runs.append(tag)
         if name == "br":
             runs.append(Run("", " ", 0, block))
@@ -111,16 +123,41 @@ def parse(page: str) -> Page:
             if name in ("li", "dd", "dt", "td", "th", "tr") and stack and stack[-1][0] == name:
                 stack.pop()
             marks = [w for value in _NAMES.findall(found["rest"] or found["rest2"] or "") for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower()) if w]
-            up = stack[-1] if stack else ("", "", False, False, False)
+            up = stack[-1] if stack else none
             article = up[4] or name in _ARTICLES
             out.labelled |= name in _ARTICLES
             outer = name in ("body", "article", "main")
-            boilerplate = up[2] or name in _BOILERPLATE or not outer and not _MARKED.isdisjoint(marks)
-            top = up[3] or name == "header" or not outer and not _TOPS.isdisjoint(marks)
-            stack.append((name, ".".join([name, *marks[:2]]), boilerplate or top and not article, top, article))
+            boilerplate = up[2] or name in _BOILERPLATE
+            top = up[3] or name == "header"
+            marked, tops = up[5], up[6]
+            if name in _WRAPPERS or not outer and not _MARKED.isdisjoint(marks):
+                n_marks, marked = n_marks + 1, (*marked, n_marks)
+            elif not outer and name != "header" and not _TOPS.isdisjoint(marks):
+                n_marks, tops = n_marks + 1, (*tops, n_marks)
+            if article and not up[4] and not boilerplate:
+                holders.update(marked)
+                tops, clear = (), clear or not marked
+            stack.append((name, ".".join([name, *marks[:2]]), boilerplate or top and not article, top, article, marked, tops))
+            tag.marks = stack[-1][5] if len(stack[-1][5]) > len(tag.marks) else tag.marks
             tag.inside, tag.boilerplate = tag.inside or article, tag.boilerplate or stack[-1][2]
 
 
+def _apply_marks(runs: list[Run], holders: set[int], clear: bool) -> None:
+    """Make the runs of marked containers boilerplate, except of those that wrap the page's text."""
+    void = set()
+    if not clear:
+        words, own = 0, Counter()
+        for run in runs:
+            if run.n_words and not run.boilerplate:
+                words += run.n_words
+                for mark in run.marks:
+                    own[mark] += run.n_words
+        void = holders or {mark for mark, n in own.items() if 2 * n > words}
+    for run in runs:
+        if run.marks and not run.boilerplate:
+            run.boilerplate = not void.issuperset(run.marks)
+
+
 @dataclass(frozen=True)
 class Weights:
     """Score of a word by its context, of a tag by its name, with what holds for those never seen.

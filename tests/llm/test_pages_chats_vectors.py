@@ -48,6 +48,23 @@ def test_long_blocks_do_not_split_an_article():
             assert html_text.main_text(f"<body>{part}</body>", weights) == "\n\n".join([words("a", 10), words("b", 200), words("c", 20)])
 
 
+def test_wrappers_do_not_hide_the_text():
+    weights = html_text.Weights({}, {}, {})
+    text = " ".join(f"w{i}" for i in range(60))
+    aside = "<div class=related><p>other things</p></div>"
+    for page in (
+        f"<div class='content has-sidebar'><article><p>{text}</p></article></div>",
+        f"<div id=page class='nav-open'><p>{text}</p>{aside}</div>",
+        f"<form><div><p>{text}</p></div>{aside}</form>",
+        f"<form><fieldset><main><p>{text}</p>{aside}</main></fieldset></form>",
+        f"<div class='header-fixed'><p>{text}</p></div>",
+        f"<p><svg viewBox='0 0 1 1'/>{text}</p>",
+        f"<p><math/>{text}</p><svg><text>no</text></svg>",
+    ):
+        assert html_text.main_text(f"<body>{page}</body>", weights) == text
+    assert html_text.main_text(f"<article><p>{text}</p></article><div class=comments><article><p>{text} {text} x</p></article></div>", weights) == text
+
+
 def test_texts_of_all_pages(spark):
     got = html_text.op1_html_text(spark, SF).collect()
     assert len(got) == spark.read.parquet(f"{SF}/pages.parquet").count()
