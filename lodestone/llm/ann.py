@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import cut, unplaced
@@ -15,8 +15,8 @@ from lodestone.session import table
 
 #: Curves, dimensions that each projects to, and bits of each dimension in a key.
 CURVES, DIMS, BITS = 16, 8, 6
-#: Blocks that a curve's order is cut into, and vectors in a block at least.
-BLOCKS, LEAST_BLOCK = 64, 128
+#: Vectors in a block of a curve's order: a 64th of all, but between these bounds, so that what a task holds does not grow with the table.
+LEAST_BLOCK, LARGEST_BLOCK = 128, 1024
 #: Queries that the window is calibrated on, and the recall it must reach on them.
 CALIBRATION, RECALL = 96, 0.95
 
@@ -81,17 +81,17 @@ def curve_keys(vectors: np.ndarray, longest: float, curves: int = CURVES) -> tup
     return out[0], out[1]
 
 
-def vector_classes(vectors: DataFrame, k: int, query: str) -> tuple[DataFrame, DataFrame]:
+def _is_sound(vector: str) -> Column:
+    """Neither null nor zero, and without nulls and numbers that are not finite."""
+    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.col(vector).isNotNull() & F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
+
+
+def vector_classes(rows: DataFrame, k: int, query: str) -> tuple[DataFrame, DataFrame]:
     """Distinct vectors with the k + 1 smallest ids of each, and the queries (vec_id) with their class.
 
-    A class is named by its smallest id. Vectors that are null, zero or hold nulls or numbers that
-    are not finite take no part, nor do vectors whose length is not the most common one. Of rows that
-    repeat an id, the vector with the smallest hash counts.
+    A class is named by its smallest id. Of rows that repeat an id, the vector with the smallest hash counts.
     """
-    sound = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    rows = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.coalesce(sound, F.lit(False)))
-    sizes = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    rows = rows.where(F.size("embedding") == (sizes[0]["n"] if sizes else 0))
     h1, h2 = F.xxhash64("embedding"), F.xxhash64(F.lit("vector"), "embedding")
     one = rows.groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(F.min(F.struct(h1.alias("h1"), h2.alias("h2"), F.col("embedding").alias("vector"))).alias("v"))
     one = cut(one.select("vec_id", "v.h1", "v.h2", "v.vector"))
@@ -144,7 +144,7 @@ def curve_blocks(classes: DataFrame, asked: DataFrame, n: int, curves: int = CUR
     parts = counted.where("role = 0").groupBy("curve", "part").agg(F.count(F.lit(1)).alias("n"))
     over = Window.partitionBy("curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counted.select("curve", "part").distinct().join(parts, ["curve", "part"], "left").withColumn("offset", F.coalesce(F.sum("n").over(over), F.lit(0))).drop("n")
-    size = max(LEAST_BLOCK, -(-n // BLOCKS))
+    size = min(LARGEST_BLOCK, max(LEAST_BLOCK, -(-n // 64)))
     last = (n - 1) // size
     return counted.join(offsets, ["curve", "part"]).select("class", "curve", "role", F.least(F.floor((F.col("before") + F.col("offset")) / size), F.lit(last)).alias("block"))
 
@@ -238,14 +238,24 @@ def nearest(vectors: DataFrame, k: int = 20, query: str = "vec_id % 20 = 0", cur
     recall on these is at least RECALL.
 
     Equal vectors are one class, so a vector that a third of all rows share is one point in the
-    index; its smallest k + 1 ids are enough for any list. See vector_classes for rows that take no
-    part. Returns query_id, rank (from 1; ties to the smaller vec_id), vec_id, score; columns beside
-    vec_id and embedding are not kept. Fewer vectors give shorter lists, an empty table none.
+    index; its smallest k + 1 ids are enough for any list. Vectors that are null, zero or hold nulls or
+    numbers that are not finite take no part. Vectors of different lengths have no inner product: each
+    length is searched by itself. vec_id is the key of the table; of rows that repeat one with
+    different vectors, that with the smallest hash counts. Returns query_id, rank (from 1; ties to the
+    smaller vec_id), vec_id, score; columns beside vec_id and embedding are not kept. Fewer vectors
+    give shorter lists, an empty table none.
     """
-    classes, asked = vector_classes(vectors.select("vec_id", "embedding"), k, query)
+    rows = vectors.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & _is_sound("embedding"))
+    found = None
+    for size in sorted(r["n"] for r in rows.select(F.size("embedding").alias("n")).distinct().collect()):
+        own = _nearest_of_length(rows.where(F.size("embedding") == size), k, query, curves)
+        found = own if found is None else found.unionByName(own)
+    return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double") if found is None else found
+
+
+def _nearest_of_length(rows: DataFrame, k: int, query: str, curves: int) -> DataFrame:
+    classes, asked = vector_classes(rows, k, query)
     n = classes.count()
-    if not n:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     blocks = curve_blocks(classes, asked, n, curves)
     around = _window(classes, blocks, asked, k)
     held = classes.select(F.col("class").alias("_c"), "vector")

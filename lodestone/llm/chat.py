@@ -88,40 +88,37 @@ def format_turns(turns: DataFrame, keys: list[str]) -> DataFrame:
     """One row for each key with its formatted conversation and the spans under the loss mask.
 
     turns: the keys, turn, role, text. Adds formatted (the template's text) and loss_spans: start and
-    end, in code points of formatted, of each assistant text. Nulls of role and text are empty.
+    end, in code points of formatted, of each assistant text. Nulls of role and text are empty; turns
+    of one number go by role and text; other columns are not kept. Where a turn begins is a running sum
+    over its conversation, so that the work grows in proportion to the turns, however many one has.
     """
-    part = F.struct(
-        F.col("turn"),
-        F.concat(F.lit(START), escape_role(F.coalesce("role", F.lit(""))), F.lit("\n")).alias("head"),
-        escape(F.coalesce("text", F.lit(""))).alias("body"),
-        (F.coalesce("role", F.lit("")) == "assistant").alias("loss"),
-    )
     tail = STOP + "\n"
-    grouped = turns.groupBy(*keys).agg(F.sort_array(F.collect_list(part)).alias("_parts"))
-    # Ends of the parts: a fold that appends the running length (the first entry is 0).
-    sizes = F.transform("_parts", lambda p: F.char_length(p["head"]) + F.char_length(p["body"]) + len(tail))
-    ends = F.aggregate(
-        sizes,
-        F.struct(F.lit(0).alias("at"), F.array(F.lit(0)).alias("all")),
-        lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["all"], F.array(acc["at"] + n)).alias("all")),
-    )
-    spans = F.transform(
-        "_parts",
-        lambda p, i: F.struct(
-            (F.get(F.col("_ends.all"), i) + F.char_length(p["head"])).alias("start"),
-            (F.get(F.col("_ends.all"), i + 1) - len(tail)).alias("end"),
-            p["loss"].alias("loss"),
-        ),
+    parts = turns.select(
+        *keys,
+        F.col("turn").alias("_turn"),
+        F.concat(F.lit(START), escape_role(F.coalesce("role", F.lit(""))), F.lit("\n")).alias("_head"),
+        escape(F.coalesce("text", F.lit(""))).alias("_body"),
+        (F.coalesce("role", F.lit("")) == "assistant").alias("_loss"),
     )
-    return (
-        grouped.withColumn("_ends", ends)
-        .withColumn("_spans", F.filter(spans, lambda s: s["loss"]))
-        .select(
-            *keys,
-            F.array_join(F.transform("_parts", lambda p: F.concat(p["head"], p["body"], F.lit(tail))), "").alias("formatted"),
-            F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("loss_spans"),
+    order = Window.partitionBy(*keys).orderBy("_turn", "_head", "_body")
+    size = F.char_length("_head") + F.char_length("_body") + len(tail)
+    ends = parts.withColumn("_end", F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    place = F.row_number().over(order)
+    end = F.col("_end") - len(tail)
+    span = F.when(F.col("_loss"), F.struct(F.col("_place"), (end - F.char_length("_body")).cast("int").alias("start"), end.cast("int").alias("end")))
+    grouped = (
+        ends.withColumn("_place", place)
+        .groupBy(*keys)
+        .agg(
+            F.sort_array(F.collect_list(F.struct("_place", F.concat("_head", "_body", F.lit(tail)).alias("turn")))).alias("_turns"),
+            F.sort_array(F.collect_list(span)).alias("_spans"),
         )
     )
+    return grouped.select(
+        *keys,
+        F.array_join(F.col("_turns.turn"), "").alias("formatted"),
+        F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("loss_spans"),
+    )
 
 
 def parse_turns(formatted: Column) -> Column:

@@ -23,7 +23,12 @@ _TAG = re.compile(
 )
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 #: Elements whose content is no text of the page.
-_SKIPPED = frozenset("script style noscript template textarea svg iframe title select object canvas math audio video".split())
+_SKIPPED = frozenset("script style noscript template textarea svg iframe title select object canvas math audio video button label".split())
+#: Those of them that stand in a line of text, which they part.
+_CONTROLS = frozenset(("button", "label", "select", "textarea"))
+#: What hides an element: the attribute, which is looked for outside of quoted values, or a style.
+_QUOTED, _HIDDEN = re.compile(r"\"[^\"]*\"|'[^']*'"), re.compile(r"\shidden(?=[\s=/]|$)", re.I)
+_INVISIBLE = re.compile(r"style\s*=\s*[\"'][^\"']*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 _BOUNDARY = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -35,15 +40,15 @@ _ARTICLES = frozenset(("article", "main"))
 _BOILERPLATE = frozenset("nav footer aside dialog menu".split())
 #: Elements that, like class words, mark boilerplate unless they wrap the page's text.
 _WRAPPERS = frozenset(("form", "fieldset"))
-#: Words of class, id and role names that mark menus, adverts, notices, comments and the like.
+#: Words of class, id and role names that mark menus, adverts, notices, comments and the like, where labelled pages do not tell otherwise.
 _MARKED = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs "
     "footer comment comments commentlist respond disqus cookie cookies consent gdpr notice banner popup modal overlay newsletter subscribe signup "
     "share sharing social related recommended widget pagination pager toolbar login search copyright complementary contentinfo dialog alert".split()
 )
 _TOPS = frozenset(("header", "masthead"))
-#: Pages that the weights are learned from, and contexts that are remembered, at most.
-LABELLED_PAGES, CONTEXTS = 2000, 5000
+#: Pages that the weights are learned from, at most about.
+LABELLED_PAGES = 2000
 
 
 @dataclass
@@ -57,6 +62,7 @@ class Run:
     inside: bool = False
     boilerplate: bool = False
     marks: tuple[int, ...] = ()
+    names: frozenset[str] = frozenset()
 
 
 @dataclass
@@ -65,16 +71,31 @@ class Page:
     labelled: bool = False
 
 
-def parse(page: str) -> Page:
+def _hides(rest: str) -> bool:
+    low = rest.lower()
+    return ("hidden" in low or "none" in low) and bool(_HIDDEN.search(_QUOTED.sub('""', rest)) or _INVISIBLE.search(rest))
+
+
+def _end_of(page: str, name: str, at: int) -> int | None:
+    """Where the element that was opened before at ends; None if it is not closed."""
+    depth = 1
+    for tag in re.compile(rf"<(/?){re.escape(name)}\b[^>]*>", re.I).finditer(page, at):
+        depth += -1 if tag[1] else 1
+        if not depth:
+            return tag.end()
+    return None
+
+
+def parse(page: str, listed: frozenset[str] = _MARKED) -> Page:
     """Runs of text and tags in page order. Unclosed elements, cut tags and stray ends are tolerated.
 
-    A container with a listed class word, or a form, is boilerplate unless it wraps the page's text: on a
+    Hidden elements are left out. A container with a listed class word, or a form, is boilerplate unless it wraps the page's text: on a
     page without an article or main part outside such containers, those that hold one, or more than half
     of the words, are not.
     """
     out = Page()
-    runs, stack = out.runs, []  # stack: (name, label, boilerplate, top, article, marks, marks of tops)
-    none = ("", "", False, False, False, (), ())
+    runs, stack = out.runs, []  # stack: (name, label, boilerplate, top, article, marks, marks of tops, words of names)
+    none = ("", "", False, False, False, (), (), frozenset())
     n_marks, holders, clear = 0, set(), False
     at, block, leaf, link = 0, 0, "", False
     while True:
@@ -83,9 +104,9 @@ def parse(page: str) -> Page:
         if text and not text.isspace():
             if "&" in text:
                 text = entities.unescape(text)
-            name, label, boilerplate, top, article, marked, tops = stack[-1] if stack else none
+            name, label, boilerplate, top, article, marked, tops, names = stack[-1] if stack else none
             context = f"{label}|{leaf}{'>a' if link else ''}"
-            runs.append(Run(context, text, len(text.split()), block, article, boilerplate or top and leaf not in _HEADINGS, marked if leaf in _HEADINGS else marked + tops))
+            runs.append(Run(context, text, len(text.split()), block, article, boilerplate or top and leaf not in _HEADINGS, marked if leaf in _HEADINGS else marked + tops, names))
         elif text:
             runs.append(Run("", text, 0, block))
         if not found:
@@ -100,8 +121,16 @@ def parse(page: str) -> Page:
             closed = name in ("svg", "math") and (found["rest"] or found["rest2"] or "").endswith("/")
             if not ends and not closed:
                 close = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-                at = close.end() if close else len(page)
+                at = close.end() if close else at if name in _CONTROLS else len(page)
+            if name in _CONTROLS:
+                runs.append(Run("", " ", 0, block))
             continue
+        rest = found["rest"] or found["rest2"] or ""
+        if not ends and rest and name not in ("html", "body") and _hides(rest):
+            close = _end_of(page, name, at)
+            if close is not None:
+                block, at = block + (name in _BOUNDARY), close
+                continue
         up = stack[-1] if stack else none
         tag = Run(f"<{name}", block=block, inside=up[4], boilerplate=up[2], marks=up[5])
         runs.append(tag)
@@ -122,7 +151,7 @@ def parse(page: str) -> Page:
         else:
             if name in ("li", "dd", "dt", "td", "th", "tr") and stack and stack[-1][0] == name:
                 stack.pop()
-            marks = [w for value in _NAMES.findall(found["rest"] or found["rest2"] or "") for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower()) if w]
+            marks = [w for value in _NAMES.findall(rest) for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower()) if w]
             up = stack[-1] if stack else none
             article = up[4] or name in _ARTICLES
             out.labelled |= name in _ARTICLES
@@ -130,14 +159,14 @@ def parse(page: str) -> Page:
             boilerplate = up[2] or name in _BOILERPLATE
             top = up[3] or name == "header"
             marked, tops = up[5], up[6]
-            if name in _WRAPPERS or not outer and not _MARKED.isdisjoint(marks):
+            if name in _WRAPPERS or not outer and not listed.isdisjoint(marks):
                 n_marks, marked = n_marks + 1, (*marked, n_marks)
             elif not outer and name != "header" and not _TOPS.isdisjoint(marks):
                 n_marks, tops = n_marks + 1, (*tops, n_marks)
             if article and not up[4] and not boilerplate:
                 holders.update(marked)
                 tops, clear = (), clear or not marked
-            stack.append((name, ".".join([name, *marks[:2]]), boilerplate or top and not article, top, article, marked, tops))
+            stack.append((name, ".".join([name, *marks[:2]]), boilerplate or top and not article, top, article, marked, tops, up[7].union(marks) if marks else up[7]))
             tag.marks = stack[-1][5] if len(stack[-1][5]) > len(tag.marks) else tag.marks
             tag.inside, tag.boilerplate = tag.inside or article, tag.boilerplate or stack[-1][2]
 
@@ -168,6 +197,7 @@ class Weights:
     words: dict[str, float]
     leaves: dict[str, float]
     tags: dict[str, float]
+    listed: frozenset[str] = _MARKED
     word: float = 0.5
     tag: float = -0.5
 
@@ -181,7 +211,14 @@ class Weights:
 
 
 def learn(counts: list[tuple[str, int, int]]) -> Weights:
-    """Weights from (context, inside, outside): 2p - 1 for words with p the part inside, at most -0.01 for tags."""
+    """Weights from (context, inside, outside): 2p - 1 for words with p the part inside, at most -0.01 for tags.
+
+    Class words, led by a full stop, are listed as boilerplate if at least 200 words were seen under them and less than a
+    20th of these inside; a listed one that holds more than half of its words inside is listed no more.
+    """
+    named = {c[1:]: (i, i + o) for c, i, o in counts if c.startswith(".") and i + o >= 200}
+    listed = _MARKED.union(w for w, (i, n) in named.items() if 20 * i < n).difference(w for w, (i, n) in named.items() if 2 * i > n)
+    counts = [x for x in counts if not x[0].startswith(".")]
     leaves: dict[str, list[int]] = {}
     for context, inside, outside in counts:
         if not context.startswith("<"):
@@ -191,7 +228,7 @@ def learn(counts: list[tuple[str, int, int]]) -> Weights:
     share = {k: (i + 3) / (i + o + 4) for k, (i, o) in leaves.items()}
     words = {c: 2 * (i + 4 * share[c.partition("|")[2]]) / (i + o + 4) - 1 for c, i, o in counts if not c.startswith("<")}
     tags = {c: -0.01 - (o + 0.01) / (i + o + 1) for c, i, o in counts if c.startswith("<")}
-    return Weights(words, {k: 2 * p - 1 for k, p in share.items()}, tags)
+    return Weights(words, {k: 2 * p - 1 for k, p in share.items()}, tags, listed)
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:
@@ -208,7 +245,7 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 
 def main_text(page: str, weights: Weights) -> str:
     """Blocks of the best region without its boilerplate, joined by an empty line."""
-    runs = parse(page).runs
+    runs = parse(page, weights.listed).runs
     start, end = best_region([weights.of(r) for r in runs])
     blocks: dict[int, list[str]] = {}
     for run in runs[start:end]:
@@ -227,7 +264,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if parsed.labelled:
                 for run in parsed.runs:
                     if run.n_words:
-                        (inside if run.inside and not run.boilerplate else outside)[run.context] += run.n_words
+                        side = inside if run.inside and not run.boilerplate else outside
+                        side[run.context] += run.n_words
+                        for name in run.names:
+                            side[f".{name}"] += run.n_words
                         depth = run.inside and not run.boilerplate
                     elif run.context:
                         (inside if depth else outside)[run.context] += 1
@@ -235,19 +275,19 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([inside[x] for x in names], pa.int64()), pa.array([outside[x] for x in names], pa.int64())], names=["context", "inside", "outside"])
 
 
-def fit(pages: DataFrame, html: str = "html", labelled_pages: int = LABELLED_PAGES, contexts: int = CONTEXTS) -> Weights:
+def fit(pages: DataFrame, html: str = "html", page_id: str = "page_id", labelled_pages: int = LABELLED_PAGES) -> Weights:
     """Weights from at most about labelled_pages pages, drawn by hash, that mark their article or main part.
 
-    The sample and the contexts that are remembered (the most frequent ones) are bounded whatever the
-    size of the table. Without labelled pages, words weigh 0.5 and tags -0.5.
+    The hash is of page_id and html, so that copies of a page are drawn each by itself. The sample, and
+    with it the contexts in it, is bounded whatever the size of the table. Without labelled pages, words
+    weigh 0.5 and tags -0.5.
     """
-    rows = pages.select(F.col(html).alias("html")).where("html IS NOT NULL")
+    rows = pages.select(F.col(page_id).alias("page_id"), F.col(html).alias("html")).where("html IS NOT NULL")
     n = rows.count()
     part = min(1.0, labelled_pages / n) if n else 1.0
-    drawn = rows.where(F.pmod(F.xxhash64(F.lit("fit"), "html"), F.lit(1 << 30)) < part * (1 << 30)).repartition(4)
+    drawn = rows.where(F.pmod(F.xxhash64(F.lit("fit"), "page_id", "html"), F.lit(1 << 30)) < part * (1 << 30)).select("html").repartition(4)
     counted = drawn.mapInArrow(_count, "context string, inside long, outside long").groupBy("context").agg(F.sum("inside").alias("i"), F.sum("outside").alias("o"))
-    found = counted.orderBy(F.desc(F.col("i") + F.col("o")), "context").limit(contexts).collect()
-    return learn([(r["context"], r["i"], r["o"]) for r in found])
+    return learn([(r["context"], r["i"], r["o"]) for r in counted.orderBy("context").collect()])
 
 
 def extract(pages: DataFrame, weights: Weights, html: str = "html") -> DataFrame:

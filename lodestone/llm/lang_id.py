@@ -17,8 +17,8 @@ from lodestone.session import table
 
 #: Character n-grams of 1 to ORDERS letters, hashed to 2**BITS features.
 ORDERS, BITS = 3, 15
-#: Code points that are scored at once.
-CHUNK = 400_000
+#: Code points that are scored at once, and weights that are looked up at once (32 MB).
+CHUNK, LOOKED_UP = 400_000, 4_000_000
 UNKNOWN = "und"
 
 
@@ -66,21 +66,44 @@ def _chunks(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
         yield first, held
 
 
+def _parts(text: str) -> Iterator[str]:
+    """The text in parts of at most CHUNK code points, cut at blanks where there are any; each part has edges of its own."""
+    at = 0
+    while len(text) - at > CHUNK:
+        end = text.rfind(" ", at + CHUNK // 2, at + CHUNK) + 1 or at + CHUNK
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[str, np.ndarray] = {}
     for batch in batches:
         for first, texts in _chunks(batch.column(1)):
             langs = batch.column(0).slice(first, len(texts)).to_pylist()
             for lang in set(langs):
-                found, _, _ = _features([x for x, own in zip(texts, langs, strict=True) if own == lang])
                 held = counts.setdefault(lang, np.zeros(1 << BITS, np.int64))
-                for features in found:
-                    held += np.bincount(features, minlength=1 << BITS)
+                for part in _by_size([p for x, own in zip(texts, langs, strict=True) if own == lang for p in _parts(x)]):
+                    for features in _features(part)[0]:
+                        held += np.bincount(features, minlength=1 << BITS)
     for lang, held in counts.items():
         used = np.nonzero(held)[0]
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.string()), pa.array(used), pa.array(held[used])], names=["lang", "feature", "n"])
 
 
+def _by_size(parts: list[str]) -> Iterator[list[str]]:
+    """Runs of parts of about CHUNK code points together."""
+    held, size = [], 0
+    for part in parts:
+        held.append(part)
+        size += len(part)
+        if size >= CHUNK:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 @dataclass(frozen=True)
 class Model:
     """Languages in code point order, log prior of each, and log probabilities by feature and language."""
@@ -90,13 +113,31 @@ class Model:
     weights: np.ndarray
 
     def score(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        """Best language and its posterior probability; UNKNOWN and 0 for a text without letters."""
+        """Best language and its posterior probability; UNKNOWN and 0 for a text without letters.
+
+        Long texts are added up part by part, and weights are looked up by LOOKED_UP at a time, so that
+        neither a text's length nor the number of languages sets the memory.
+        """
         if not self.langs:
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
-        found, starts, has_letter = _features(texts)
-        total = np.tile(self.prior, (len(texts), 1))
-        for features in found:
-            total += np.add.reduceat(self.weights[features], starts, axis=0)
+        total, has_letter = np.tile(self.prior, (len(texts), 1)), np.zeros(len(texts), bool)
+        owners, parts = [], []
+        for i, text in enumerate(texts):
+            for part in _parts(text):
+                owners.append(i)
+                parts.append(part)
+        at, step = 0, max(1, LOOKED_UP // len(self.langs))
+        for run in _by_size(parts):
+            own = np.array(owners[at : at + len(run)])
+            at += len(run)
+            found, starts, letters = _features(run)
+            has_letter[own[letters]] = True
+            for features in found:
+                for low in range(0, len(features), step):
+                    first = np.searchsorted(starts, low, side="right") - 1
+                    last = np.searchsorted(starts, min(low + step, len(features)), side="left")
+                    edges = np.maximum(starts[first:last] - low, 0)
+                    np.add.at(total, own[first:last], np.add.reduceat(self.weights[features[low : low + step]], edges, axis=0))
         odds = np.exp(total - total.max(axis=1, keepdims=True))
         best = total.argmax(axis=1)
         sure = odds[np.arange(len(texts)), best] / odds.sum(axis=1)
@@ -104,16 +145,15 @@ class Model:
         return names, np.where(has_letter, sure, 0.0)
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", docs_per_lang: int = 3000, max_langs: int = 1000, alpha: float = 0.5) -> Model:
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", docs_per_lang: int = 3000, alpha: float = 0.5) -> Model:
     """Fit the model on at most about docs_per_lang documents of each language, drawn by hash.
 
-    Rows without text or language are not used. The sample, and with it the model, is bounded by
-    docs_per_lang and max_langs (more languages are an error), whatever the size of the table.
+    Rows without text or language are not used. The hash is of doc_id and text, so that copies of a
+    text are drawn each by itself. The sample is bounded by docs_per_lang, and the model holds 256 KB for
+    each language, whatever the size of the table.
     """
-    rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.lit("fit"), text).alias("h")).where("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = rows.groupBy("lang").count().limit(max_langs + 1).collect()
-    if len(sizes) > max_langs:
-        raise ValueError(f"more than {max_langs} languages")
+    rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.lit("fit"), doc_id, text).alias("h")).where("lang IS NOT NULL AND text IS NOT NULL")
+    sizes = rows.groupBy("lang").count().collect()
     if not sizes:
         return Model([], np.empty(0), np.empty((1 << BITS, 0)))
     sizes = sorted((r["lang"], r["count"]) for r in sizes)

@@ -24,8 +24,8 @@ BANDS, ROWS = 32, 4
 SAMPLES, SKETCH_BITS = 256, 512
 #: Candidates whose sketches estimate less are dropped; a link of 0.75 is over six standard errors above.
 LEAST_ESTIMATE = 0.55
-#: Members of a bucket that are compared in one task, against as many others.
-BLOCK = 512
+#: Members of a bucket that are compared in one task, against as many others, and shingles that they hold at most about (16 MB).
+BLOCK, BLOCK_SHINGLES = 512, 2_000_000
 #: So many ids (some 100 MB) are broadcast to pick their documents; more are joined by a shuffle.
 BROADCAST_IDS = 4_000_000
 _A = np.random.default_rng(20240607).integers(0, 1 << 31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -67,36 +67,42 @@ def _lists(values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(values.ravel()))
 
 
-def _documents(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[pa.Array, list[np.ndarray], list[list[bytes]]]]:
+def _documents(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], list[list[bytes]]]]:
+    """Some rows at a time, with the shingles and words of the text in their last column."""
     hashes = WordHashes()
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             part = batch.slice(at, rows)
-            words = [split_words(x.as_py()) for x in part.column(1)]
-            yield part.column(0), [shingle_set(hashes.of(w), WIDTH) for w in words], words
+            words = [split_words(x.as_py()) for x in part.column(part.num_columns - 1)]
+            yield part, [shingle_set(hashes.of(w), WIDTH) for w in words], words
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, sets, words in _documents(batches, 256):
+    for part, sets, words in _documents(batches, 256):
         minima = _minima(sets)
         content = [xxhash.xxh3_128_digest(b" ".join(w)) for w in words]
         yield pa.RecordBatch.from_arrays(
-            [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(content, pa.binary()), _lists(band_values(minima)), _lists(odd_sketches(minima))],
-            names=["doc_id", "n_shingles", "content", "bands", "sketch"],
+            [part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(content, pa.binary()), _lists(band_values(minima)), _lists(odd_sketches(minima))],
+            names=["doc_id", "text_key", "n_shingles", "content", "bands", "sketch"],
         )
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, sets, _ in _documents(batches, 256):
+    for part, sets, _ in _documents(batches, 256):
         ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
         values = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
-        yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["node", "shingles"])
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["node", "shingles"])
 
 
 def signatures(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, content (128-bit hash of the words), bands and sketch of each row."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(F.col(text)).alias("_data"))
-    return rows.mapInArrow(_sign, "doc_id long, n_shingles long, content binary, bands array<long>, sketch array<long>")
+    """doc_id, text_key (hash of the text), n_shingles, content (128-bit hash of the words), bands and sketch of each row."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_key(F.col(text)).alias("text_key"), text_bytes(F.col(text)).alias("_data"))
+    return rows.mapInArrow(_sign, "doc_id long, text_key long, n_shingles long, content binary, bands array<long>, sketch array<long>")
+
+
+def text_key(text: Column) -> Column:
+    """What tells apart the texts of rows that repeat an id."""
+    return F.xxhash64(F.lit("text"), F.coalesce(text, F.lit("")))
 
 
 def estimate(a: Column, b: Column) -> Column:
@@ -158,9 +164,9 @@ def _unite(pdf: pd.DataFrame) -> pd.DataFrame:
 def _in_blocks(members: DataFrame) -> DataFrame:
     """Deal the members of each bucket to pairs of blocks: bucket, left and right name a pair, side the row's block.
 
-    members has n_members of its bucket. A row is repeated once for each block of its bucket.
+    members has n_members and n_held (shingles) of its bucket. A row is repeated once for each block of its bucket.
     """
-    blocks = F.ceil(F.col("n_members") / BLOCK).cast("int")
+    blocks = F.ceil(F.greatest(F.col("n_members") / BLOCK, F.col("n_held") / BLOCK_SHINGLES)).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     return (
         members.withColumn("side", own)
@@ -173,10 +179,11 @@ def _in_blocks(members: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Components of documents linked by a Jaccard similarity of 0.75 or more of their 5-word shingle sets.
 
-    Returns doc_id, n_shingles, component_id (the smallest doc_id reachable) and kept. A text with
+    Returns doc_id, text_key, n_shingles, component_id (the smallest doc_id reachable) and kept. A text with
     fewer than five words is one shingle; one without words is linked with nothing. A row without
     doc_id is linked with nothing, has no component and is kept. Rows that repeat an id are told apart
-    by their text. Equal sequences of words are one class from the start, which a minimum by content
+    by their text, which text_key names; texts that share an id and are each the first of their class
+    count as one document. Equal sequences of words are one class from the start, which a minimum by content
     hash finds, so copies are never paired. Shingles and contents are told apart by 64- and 128-bit
     hashes. Other columns are not kept; an empty table gives an empty table.
 
@@ -190,7 +197,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     classes = (
         signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
         .groupBy("content")
-        .agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+        .agg(F.min(F.struct("doc_id", "text_key")).alias("_first"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+        .select("content", F.col("_first.doc_id").alias("node"), F.col("_first.text_key").alias("key"), "n", "bands", "sketch")
     )
     classes = cut(classes)
     facts = classes.select("node", "n", "sketch")
@@ -210,11 +218,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     likely = cut(likely.select("a", "b"))
 
     def sets_of(nodes: DataFrame) -> DataFrame:
-        wanted = cut(nodes.select(F.col("node").alias("_node")).distinct())
+        named = classes.select(F.col("node").alias("_node"), F.col("key").alias("_key"))
+        wanted = cut(named.join(nodes.distinct(), F.col("_node") == F.col("node"), "left_semi"))
         if wanted.count() <= BROADCAST_IDS:
             wanted = F.broadcast(wanted)
-        rows = docs.select(F.col(doc_id).cast("long").alias("node"), text_bytes(F.col(text)).alias("_data"))
-        return rows.join(wanted, F.col("node") == F.col("_node"), "left_semi").mapInArrow(_sets, "node long, shingles array<long>")
+        rows = docs.select(F.col(doc_id).cast("long").alias("node"), text_key(F.col(text)).alias("key"), text_bytes(F.col(text)).alias("_data"))
+        rows = rows.join(wanted, (F.col("node") == F.col("_node")) & (F.col("key") == F.col("_key")), "left_semi").dropDuplicates(["node", "key"])
+        return rows.select("node", "_data").mapInArrow(_sets, "node long, shingles array<long>")
 
     sets = cut(sets_of(likely.select(F.col("b").alias("node")).union(likely.select("a"))))
     pairs = likely.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
@@ -236,10 +246,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
         .drop("_n")
     )
     pair = ["bucket", "left", "right"]
-    maybe = _in_blocks(open_members).groupBy(*pair).applyInPandas(_maybe_linked, "bucket long, node long").distinct()
+    maybe = _in_blocks(open_members.withColumn("n_held", F.lit(0))).groupBy(*pair).applyInPandas(_maybe_linked, "bucket long, node long").distinct()
     chosen = cut(maybe.withColumnsRenamed({"bucket": "_b", "node": "_n"}))
     counted = open_members.drop("n_members").join(chosen, (F.col("bucket") == F.col("_b")) & (F.col("node") == F.col("_n"))).drop("_b", "_n")
-    sizes = chosen.groupBy(F.col("_b").alias("_bucket")).agg(F.count(F.lit(1)).alias("n_members"))
+    sized = chosen.join(facts.select(F.col("node").alias("_f"), "n"), F.col("_n") == F.col("_f"))
+    sizes = sized.groupBy(F.col("_b").alias("_bucket")).agg(F.count(F.lit(1)).alias("n_members"), F.sum("n").alias("n_held"))
     sizes = sizes.withColumn("_bucket", unplaced(F.col("_bucket")))
     counted = counted.join(sizes, F.col("bucket") == F.col("_bucket")).drop("_bucket")
     more_sets = sets_of(chosen.select(F.col("_n").alias("node")))
@@ -259,9 +270,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     )
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", "doc_id"))
     return (
-        signed.select("doc_id", "n_shingles", "content")
+        signed.select("doc_id", "text_key", "n_shingles", "content")
         .join(named, (F.col("content") == F.col("_content")) & (F.col("n_shingles") > 0), "left")
-        .select("doc_id", "n_shingles", component.alias("component_id"))
+        .select("doc_id", "text_key", "n_shingles", component.alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
 

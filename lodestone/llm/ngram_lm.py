@@ -4,7 +4,9 @@ Counting and looking up go through one blocked shuffle. Documents are dealt to b
 batch sends each of its distinct n-grams once, with its count, to the n-gram's bucket (a range of
 64-bit hashes); a bucket adds the counts of all batches and sends each batch the totals of its
 n-grams, in the batch's order. Rows are packed arrays, so neither a frequent n-gram nor a long document
-is more than one entry per batch, and no table of n-grams is broadcast or collected.
+is more than one entry per batch, and no table of n-grams is broadcast or collected. A batch writes a row to
+a bucket only if it has n-grams there, so rows are never more than the distinct n-grams of the batches,
+which grow in proportion to the text.
 """
 
 from __future__ import annotations
@@ -73,20 +75,23 @@ def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def deal(docs: DataFrame, batches: dict[int, int], kinds: tuple[int, ...] = (TEST, HELD_OUT, COUNTED)) -> DataFrame:
-    """Documents (doc_id, text) in packed rows of a batch; batch // 2**40 is the kind of its fold."""
+def deal(docs: DataFrame, batches: dict[int, int]) -> DataFrame:
+    """Documents (doc_id, text) in packed rows of a batch; batch // 2**40 is the kind of its fold.
+
+    The place of a row is part of its hash, so that repeated rows are spread over batches; the packed rows
+    are written to the shared folder, so that all later steps see the same batches and read no text again.
+    """
     which = F.least(fold(F.col("doc_id"), 10), F.lit(COUNTED))
     size = F.element_at(F.create_map(*[F.lit(x) for pair in batches.items() for x in pair]), F.col("_kind").cast("int"))
     rows = (
         docs.withColumn("_kind", which)
-        .where(F.col("_kind").isin(*kinds))
         .select(
-            (F.col("_kind") * F.lit(1 << 40) + F.pmod(F.xxhash64("doc_id", "text"), size)).cast("long").alias("batch"),
+            (F.col("_kind") * F.lit(1 << 40) + F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), size)).cast("long").alias("batch"),
             F.col("doc_id").cast("long").alias("doc_id"),
             text_bytes(F.col("text")).alias("data"),
         )
     )
-    return rows.mapInArrow(_deal, _DEALT)
+    return cut(rows.mapInArrow(_deal, _DEALT))
 
 
 class Batch:
@@ -125,16 +130,15 @@ def _send(bits: int):
     def send(key: tuple, packed: pa.Table) -> pa.Table:
         batch, number = Batch(packed), key[0].as_py()
         counts = _kind(number) != TEST
-        edges = np.arange(1, 1 << bits, dtype=U64) << U64(64 - bits)
-        at = [np.concatenate([[0], np.searchsorted(k, edges), [len(k)]]) for k in (batch.unigrams, batch.bigrams)]
+        buckets = np.unique(np.concatenate([batch.unigrams >> U64(64 - bits), batch.bigrams >> U64(64 - bits)]))
+        ends = [np.searchsorted(k >> U64(64 - bits), buckets, side="right") for k in (batch.unigrams, batch.bigrams)]
         rows = []
-        for bucket in range(1 << bits):
+        for i, bucket in enumerate(buckets.tolist()):
             row = [bucket, number]
-            for (keys, n), cuts in zip(((batch.unigrams, batch.word_counts), (batch.bigrams, batch.pair_counts)), at, strict=True):
-                part = slice(cuts[bucket], cuts[bucket + 1])
+            for keys, n, cuts in ((batch.unigrams, batch.word_counts, ends[0]), (batch.bigrams, batch.pair_counts, ends[1])):
+                part = slice(cuts[i - 1] if i else 0, cuts[i])
                 row += [_pack(keys[part] >> U64(0 if keys is batch.unigrams else 8)), _write_counts(n[part] if counts else np.zeros_like(n[part]))]
-            if row[2] or row[4]:
-                rows.append(row)
+            rows.append(row)
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return send
@@ -258,21 +262,22 @@ def score_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     The model mixes uniform, unigram and bigram estimates; how, depends on the frequency of the
     context. Counts of folds 2 to 9 give the estimates, fold 1 the mixture weights (through a
     histogram of bounded size), then counts of folds 1 to 9 the scores; fold 0 is only scored. A
-    null text is empty; a text's end is a token. Without learning documents every token has the
-    uniform estimate. Repeated rows are scored each. Returns doc_id, held_out, n_tokens, n_known,
+    null text is empty; a text's end is a token; whole texts are scored, however long, a text in one batch. Without learning documents every token has the
+    uniform estimate. Repeated rows are scored each; other columns are not kept. Returns doc_id, held_out, n_tokens, n_known,
     train_tokens, base_score (a smoothed unigram score to compare with) and score, both log10.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     size = total_bytes(rows, "text")
     batches = {kind: max(1, -(-size * share // (10 * batch_bytes))) for kind, share in ((TEST, 1), (HELD_OUT, 1), (COUNTED, 8))}
     bits = max(3, (size // BUCKET_BYTES).bit_length())
-    sent = deal(rows, batches).groupBy("batch").applyInArrow(_send(bits), "bucket long, batch long, words binary, word_n binary, pairs binary, pair_n binary")
+    dealt = deal(rows, batches)
+    sent = dealt.groupBy("batch").applyInArrow(_send(bits), "bucket long, batch long, words binary, word_n binary, pairs binary, pair_n binary")
     totals = cut(sent.groupBy("bucket").applyInArrow(_total, _TOTALS))
     stats = totals.agg(*[F.sum(c).alias(c) for c in ("tokens", "tokens_kept", "types", "types_kept")]).first()
     tokens, tokens_kept, types, types_kept = (int(stats[c] or 0) for c in ("tokens", "tokens_kept", "types", "types_kept"))
     held_out = totals.where(F.shiftright("batch", 40) == HELD_OUT).select("batch", "bucket", "words_kept", "pairs_kept")
     cells = (
-        deal(rows, batches, (HELD_OUT,))
+        dealt.where(F.shiftright("batch", 40) == HELD_OUT)
         .groupBy("batch")
         .cogroup(held_out.groupBy("batch"))
         .applyInArrow(_histogram(tokens_kept, types_kept), "level long, one long, two long, n long")
@@ -282,7 +287,7 @@ def score_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     )
     weights = mixture_weights(cells[["level", "one", "two", "n"]].to_numpy(np.int64))
     answers = totals.select("batch", "bucket", "words", "pairs")
-    return deal(rows, batches).groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_score(weights, tokens, types), _SCORES)
+    return dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_score(weights, tokens, types), _SCORES)
 
 
 def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
