@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import BLANKS, ascii_lower, row_key, unused
+from lodestone.llm.common import BLANKS, ascii_lower, cut, row_key, unplaced, unused
 from lodestone.session import table
 
+#: So many line hashes (some 100 MB) are broadcast; more are joined by a shuffle.
+BROADCAST_LINES = 1_000_000
+
 
 def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
@@ -30,7 +33,9 @@ def dedup_lines(
 
     Only 128-bit line hashes are shuffled for counting; distinct (hash, document) pairs are reduced
     before they are counted by hash, so a line that is in a third of all documents is spread over
-    all tasks. The positions to drop are joined back to the texts.
+    all tasks. The hashes of the lines to drop are broadcast if they are few; if not, they are shuffled
+    apart from the count, so that Spark splits the rows of a hot line. The positions to drop are
+    joined back to the texts.
     """
     source = docs.drop("kept_text", "n_lines", "n_dropped")
     k1, k2, all_lines, gone = unused(source, "_k1", "_k2", "_lines", "_dropped")
@@ -54,12 +59,16 @@ def dedup_lines(
         .groupBy("_h1", "_h2")
         .agg(F.count(F.lit(1)).alias("_n"))
         .where(F.col("_n") >= min_docs)
-        .select("_h1", "_h2")
+        .select(unplaced(F.col("_h1")).alias("_f1"), F.col("_h2").alias("_f2"))
     )
+    frequent = cut(frequent)
+    if frequent.count() <= BROADCAST_LINES:
+        frequent = F.broadcast(frequent)
     dropped = (
-        exploded.join(frequent, ["_h1", "_h2"])
-        .groupBy(F.col("_k1").alias(k1), F.col("_k2").alias(k2))
+        exploded.join(frequent, (F.col("_h1") == F.col("_f1")) & (F.col("_h2") == F.col("_f2")))
+        .groupBy("_k1", "_k2")
         .agg(F.collect_set("_pos").alias(gone))
+        .select(unplaced(F.col("_k1")).alias(k1), F.col("_k2").alias(k2), gone)
     )
     joined = source.withColumns({k1: keys[0], k2: keys[1]}).join(dropped, [k1, k2], "left").withColumn(all_lines, _lines(F.col(text)))
     places = F.sequence(F.lit(0), F.size(all_lines) - 1)
