@@ -13,13 +13,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import shared_folder
+from lodestone.llm.common import cut, shared_folder
 from lodestone.session import table
 
 END = "\r\n"
 #: Fixed values of the format: the revisit profile for identical payloads, and RFC 4648's base32 digits.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BASE32_HEX, BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+#: Archives hold payloads of one class of size, named by its bound in bytes, and so many records at most: 128 MB.
+SIZE_CLASSES = {"small": (1 << 16, 2000), "medium": (1 << 21, 64), "large": (None, 1)}
 READ_SCHEMA = (
     "page_id long, url string, record_type string, record_id string, refers_to long, payload_bytes long, "
     "payload_digest string, payload binary, digest_ok boolean"
@@ -34,36 +36,45 @@ def base32_sha1(data: Column) -> Column:
 
 
 def resolve_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Add payload_bytes, payload_digest, record_type and refers_to (with the original's url) to pages.
+    """page_id, url, payload_bytes, payload_digest, record_type, refers_to, refers_to_url and _payload of each page.
 
-    Headers are reduced by payload digest to the smallest page_id of each digest, before the shuffle
-    and after it; the originals are then joined to all pages. A digest that a third of all pages
-    share is one row after the reduction, and its join is split by Spark's skew handling.
+    Headers (all but the payload) are cut from the pages first and reduced by payload digest to the
+    smallest page_id of each. Revisit records are made of headers alone: those of a digest that a third
+    of all pages share are split by Spark's skew handling, and no payload of theirs is shuffled.
+    Payloads are joined by digest and page_id, which few rows share, for responses only.
 
     A null html is an empty payload. Payloads under min_bytes are all responses. Rows that repeat
     the smallest page_id are all responses; a null page_id is never an original unless all are null.
+    Other columns of pages are not kept.
     """
     payload = F.coalesce(F.col("html"), F.lit(""))
+    names = ["page_id", "url", "payload_bytes", "payload_digest"]
     digested = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
         F.col("url").cast("string").alias("url"),
-        payload.alias("_payload"),
         F.octet_length(payload).cast("long").alias("payload_bytes"),
         base32_sha1(payload.cast("binary")).alias("payload_digest"),
+        payload.alias("_payload"),
     )
+    headers = cut(digested.select(*names))
     originals = (
-        digested.groupBy(F.col("payload_digest").alias("_digest"))
+        headers.where(F.col("payload_bytes") >= min_bytes)
+        .groupBy("payload_digest")
         .agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), F.col("page_id").alias("page_id"), F.col("url").alias("url"))).alias("_first"))
-        .select("_digest", F.col("_first.page_id").alias("_original"), F.col("_first.url").alias("_original_url"))
+        # The digest's own digits, but not the column that was grouped by: its partitions would be reused and hot ones not split.
+        .select(F.concat(F.substring("payload_digest", 1, 16), F.substring("payload_digest", 17, 16)).alias("_digest"), F.col("_first.page_id").alias("_original"), F.col("_first.url").alias("_original_url"))
     )
-    revisit = (F.col("payload_bytes") >= min_bytes) & F.col("_original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_original"))
-    return (
-        digested.join(originals, F.col("payload_digest") == F.col("_digest"))
-        .withColumn("record_type", F.when(revisit, "revisit").otherwise("response"))
-        .withColumn("refers_to", F.when(revisit, F.col("_original")))
-        .withColumn("refers_to_url", F.when(revisit, F.col("_original_url")))
-        .drop("_digest", "_original", "_original_url")
+    same = F.col("payload_digest") == F.col("_digest")
+    again = headers.where(F.col("payload_bytes") >= min_bytes).join(originals, same & F.col("_original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_original")))
+    revisits = again.select(
+        *names, F.lit("revisit").alias("record_type"), F.col("_original").alias("refers_to"), F.col("_original_url").alias("refers_to_url"), F.lit(None).cast("string").alias("_payload")
     )
+    first = digested.where(F.col("payload_bytes") >= min_bytes).join(originals, same & F.col("page_id").eqNullSafe(F.col("_original")), "left_semi")
+    if min_bytes > 0:
+        first = first.unionByName(digested.where(F.col("payload_bytes") < min_bytes))
+    none = F.lit(None)
+    responses = first.select(*names, F.lit("response").alias("record_type"), none.cast("long").alias("refers_to"), none.cast("string").alias("refers_to_url"), "_payload")
+    return revisits.unionByName(responses)
 
 
 def _header(name: str, value: Column) -> Column:
@@ -77,7 +88,10 @@ def _record_id(page_id: Column) -> Column:
 
 
 def format_records(resolved: DataFrame, date: str = "2026-01-01T00:00:00Z") -> DataFrame:
-    """Each row as one WARC/1.1 record without its closing blank lines, in a column named record."""
+    """Each row as one WARC/1.1 record without its closing blank lines, in a column named record.
+
+    A record's id is that of its page; rows that repeat a page_id repeat it. All records bear one date.
+    """
     http = F.concat(
         F.lit(f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}Content-Length: "),
         F.col("payload_bytes").cast("string"),
@@ -104,17 +118,25 @@ def format_records(resolved: DataFrame, date: str = "2026-01-01T00:00:00Z") -> D
     return resolved.withColumn("_block", block).select(F.concat(*fields).alias("record"))
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, records_per_file: int = 4000) -> None:
+def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     """Write pages as gzip WARC files under path with Spark's own text writer.
 
     A record is UTF-8 text that ends in two line ends, which is what the writer puts between rows;
     the writer's commit protocol copes with lost executors on any file system that Spark writes to.
-    A file holds records_per_file records at most, so that readers may take files whole. An empty
+    Payloads of one class of size lie in one folder, and a file holds at most as many of them as make
+    128 MB (a larger payload has a file of its own), so that readers may take files whole. An empty
     table gives archives without records.
     """
-    format_records(resolve_revisits(pages, min_bytes)).write.mode("overwrite").option("lineSep", END + END).option("compression", "gzip").option(
-        "maxRecordsPerFile", records_per_file
-    ).text(path)
+    resolved = resolve_revisits(pages, min_bytes)
+    held = F.when(F.col("record_type") == "revisit", 0).otherwise(F.col("payload_bytes"))
+    size = F.lit("large")
+    for name, (bound, _) in reversed(SIZE_CLASSES.items()):
+        size = F.when(held <= bound, name).otherwise(size) if bound else size
+    found = {r["size"] for r in pages.select(F.octet_length(F.coalesce(F.col("html"), F.lit(""))).alias("payload_bytes"), F.lit("response").alias("record_type")).select(size.alias("size")).distinct().collect()}
+    for name, (_, records) in SIZE_CLASSES.items():
+        if name == "small" or name in found:
+            chosen = format_records(resolved.where(size == name))
+            chosen.write.mode("overwrite").option("lineSep", END + END).option("compression", "gzip").option("maxRecordsPerFile", records).text(f"{path}/{name}")
 
 
 def _parse(content: bytes) -> Iterator[tuple]:
@@ -169,7 +191,7 @@ def _parse_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """The records of the archives under path; digest_ok tells whether a payload has the digest that its header gives."""
-    files = spark.read.format("binaryFile").load(path).select("content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
     return files.mapInArrow(_parse_files, READ_SCHEMA)
 
 
