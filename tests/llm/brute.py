@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
+
+import regex
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -70,3 +72,90 @@ def without_lines(docs: list[tuple[int, str | None]], least: int = 10) -> dict[i
         kept = [x for x in own if not (key(x) and n[key(x)] >= least)]
         out[i] = (len(own), len(own) - len(kept), "\n".join(kept))
     return out
+
+
+TOKEN = regex.compile(r"\p{L}[\p{L}\p{M}'’]*|\p{N}+(?:[.,]\p{N}+)*")
+
+
+def templates(text: str | None, units: set) -> tuple[list, list, list]:
+    """Lower-cased values, plain template and template with names of a text."""
+    raw = TOKEN.findall(text or "")
+    number = [bool(regex.match(r"\p{N}", x)) for x in raw]
+    plain = ["#" if n else "%" if i and number[i - 1] and x.lower() in units else x.lower() for i, (x, n) in enumerate(zip(raw, number, strict=True))]
+    named = ["@" if regex.match(r"\p{Lu}", x) and p != "%" else p for x, p in zip(raw, plain, strict=True)]
+    return [x.lower() for x in raw], plain, named
+
+
+def leaks(docs: list, items: list, units: set, window: int = 8, least: int = 4, coverage: float = 0.5) -> dict:
+    """Kind of every pair of a document and an item, all windows of all pairs compared."""
+    found: dict = {}
+    for doc_id, text in docs:
+        doc = templates(text, units)
+        for item_id, item_text in items:
+            item = templates(item_text, units)
+            width = min(window, len(item[0]))
+            for form in (1, 2) if width else ():
+                need = min(least, max(1, width // 2))
+                first: dict = {}
+                starts = set()
+                for i in range(len(item[0]) - width + 1):
+                    w = tuple(item[form][i : i + width])
+                    if sum(x not in "#%@" for x in w) < need:
+                        starts.add(i)
+                    elif w not in first:
+                        first[w] = i
+                        starts.add(i)
+                cover = lambda at: len({i + j for i in at for j in range(width)})
+                shifts = defaultdict(set)
+                for i in range(len(doc[0]) - width + 1):
+                    at = first.get(tuple(doc[form][i : i + width]))
+                    if at is not None:
+                        shifts[i - at].add(at)
+                good, same = set(), set()
+                for shift, at in shifts.items():
+                    places = {i + j for i in at for j in range(width)}
+                    slots = {(item[0][i], doc[0][i + shift]) for i in places if item[2][i] in ("#", "%", "@")}
+                    if len({a for a, _ in slots}) == len(slots):
+                        good |= at
+                        same |= at if all(a == b for a, b in slots) else set()
+                if good and cover(good) >= coverage * cover(starts):
+                    kind = "exact" if cover(same) >= coverage * cover(starts) else "reparameterised"
+                    found[doc_id, item_id] = min(kind, found.get((doc_id, item_id), kind))
+    return found
+
+
+def language_scores(texts: list, labelled: list, bits: int, alpha: float = 0.5) -> list[dict]:
+    """Posterior of each language for each text, by counting n-grams one by one."""
+
+    def grams(text: str) -> list[int]:
+        low, kept = text.lower(), []
+        for i, c in enumerate(low):
+            if c.isalpha():
+                kept.append(ord(c))
+            elif i and low[i - 1].isalpha():
+                kept.append(32)
+        signs = [32] * 3 + kept + [32] * 3
+        out = []
+        for n in (1, 2, 3):
+            for i in range(len(signs) - 3):
+                g = 0
+                for j in range(n):
+                    g = (g * 0x01000193 + signs[i + j] + j + 1) & 0xFFFFFFFF
+                g = ((g ^ (g >> 15)) * 0x2C1B3C6D) & 0xFFFFFFFF
+                out.append((((g ^ (g >> 12)) * 0x297A2D39) & 0xFFFFFFFF) >> (32 - bits))
+        return out
+
+    counts: dict = {}
+    n_docs = Counter(lang for lang, _ in labelled)
+    for lang, text in labelled:
+        counts.setdefault(lang, Counter()).update(grams(text))
+    out = []
+    for text in texts:
+        logs = {}
+        for lang, own in counts.items():
+            total = sum(own.values()) + alpha * (1 << bits)
+            logs[lang] = math.log(n_docs[lang] / len(labelled)) + sum(math.log((own[g] + alpha) / total) for g in grams(text))
+        top = max(logs.values())
+        whole = sum(math.exp(v - top) for v in logs.values())
+        out.append({k: math.exp(v - top) / whole for k, v in logs.items()})
+    return out

@@ -87,6 +87,35 @@ def test_held_out_languages_are_recognised(spark):
     assert len(got) > 100 and right / len(got) > 0.97 and all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_posteriors_are_those_of_brute_force(spark, documents):
+    rows = [(r["lang"], r["text"]) for r in documents[0].where("length(text) between 20 and 400 AND lang IS NOT NULL").orderBy("doc_id").limit(60).collect()]
+    texts = ["the same", "Ähnliche Wörter!", "a1b  c\0d", "", *[t[:90] for _, t in rows[:10]]]
+    model = lang_id.fit(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, lang string, text string"))
+    names, sure = model.score(texts)
+    for text, name, score, want in zip(texts, names, sure, brute.language_scores(texts, rows, lang_id.BITS), strict=True):
+        if any(c.isalpha() for c in text):
+            assert math.isclose(want[name], max(want.values()), rel_tol=1e-9) and math.isclose(score, want[name], rel_tol=1e-9)
+        else:
+            assert (name, score) == ("und", 0.0)
+
+
+def test_long_texts_are_scored_in_parts(monkeypatch):
+    rng = np.random.default_rng(3)
+    model = lang_id.Model(["de", "en", "fr"], np.log([0.2, 0.3, 0.5]), rng.normal(0, 1e-3, (1 << lang_id.BITS, 3)))
+    texts = ["word " * 5000, "x" * 30_000, "", "one more text", "12 " * 9000]
+    whole = model.score(texts)
+    monkeypatch.setattr(lang_id, "LOOKED_UP", 30)
+    assert model.score(texts)[0] == whole[0] and np.allclose(model.score(texts)[1], whole[1])
+    monkeypatch.setattr(lang_id, "CHUNK", 1000)
+    assert [len(p) for p in lang_id._parts("x" * 2500)] == [1000, 1000, 500] and "".join(lang_id._parts(texts[0])) == texts[0]
+    assert model.score(texts)[0] == whole[0]
+
+
+def test_many_languages_are_learned(spark):
+    rows = [(i, f"l{i}", f"text {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}") for i in range(1100)]
+    assert len(lang_id.fit(spark.createDataFrame(rows, "doc_id long, lang string, text string")).langs) == 1100
+
+
 def test_language_of_texts_without_letters(spark):
     model = lang_id.Model(["de", "en"], np.log([0.5, 0.5]), np.zeros((1 << lang_id.BITS, 2)))
     assert model.score(["", "12 !", "a"])[0] == ["und", "und", "de"]
@@ -112,6 +141,14 @@ def test_mix_comes_near_its_targets(spark, documents):
     assert all(k[1] <= 2 * k[0] + 1e-6 for k in taken)
 
 
+def test_more_words_make_another_copy_more_probable(spark):
+    """One source at half its words: inclusion grows with size, and the sample's words are fixed."""
+    docs = spark.createDataFrame([(i, "w " * (10 if i % 2 else 40), "a") for i in range(2000)], "doc_id long, text string, source string")
+    got = mixing.mix_sources(docs, share=0.5).collect()
+    rate = lambda n: sum(r["copies"] for r in got if r["size"] == n) / 1000
+    assert abs(sum(r["taken"] for r in got) - 25_000) <= 40 and rate(40) > 1.5 * rate(10) > 0
+
+
 def test_targets_are_reshared_by_weight(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 1000), (None, 5)], "source string, size long")
     got = {r["source"]: r["target"] for r in mixing.source_targets(sizes, (5, 2, 1), 1.5, 2.0).collect()}
@@ -144,6 +181,21 @@ def test_slots_must_be_consistent(spark):
     assert [(r["doc_id"], r["kind"]) for r in got] == [(2, "reparameterised")]
 
 
+def test_leaks_are_those_of_brute_force(spark, documents):
+    """Every pair of a document and an item, with reparameterised, shortened and long ones put in."""
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    items += [(901, "Alice buys 3 apples. Alice eats 2."), (902, "Alice walks 4 miles to school."), (903, "same " * 60_000), (904, "Élodie a ٣ pommes et Élodie mange une pomme"), (905, "Hello"), (905, "other text of that id")]
+    docs = documents[1][:120] + [
+        (9001, "Bob buys 9 apples. Bob eats 4."), (9002, "Carol walks 9 miles to school."), (9003, "same " * 60_000), (9004, "Chloé a 7 pommes et Chloé mange une pomme"),
+        (9005, "Chloé a 7 pommes et Marie mange une pomme"), (9006, " ".join(items[0][1].split()[: len(items[0][1].split()) * 2 // 3])), (9007, "Hello there"), (9008, "12 km"), (9009, None),
+    ]
+    got = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    kinds = {(r["doc_id"], r["item_id"]): r["kind"] for r in got.collect()}
+    short = lambda rows: [r for r in rows if len(r[1] or "") < 100_000]
+    want = brute.leaks(short(docs), short(items), set(decontaminate.UNITS)) | {(9003, 903): "exact"}
+    assert kinds == want and {(9001, 901), (9002, 902), (9004, 904), (9007, 905)} <= set(kinds) and (9005, 904) not in kinds
+
+
 def test_planted_passages_of_the_benchmark_are_found(spark, documents):
     items = [r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     want = {i for i, t in documents[1] if t and any(x in t for x in items)}
@@ -192,7 +244,7 @@ def test_odd_rows_have_a_defined_result(spark, odd, documents):
     lines = line_dedup.dedup_lines(odd)
     assert lines.count() == n and lines.where("_k1 = 'x'").count() == n - 1 and lines.where("n_dropped > 0").isEmpty()
     assert mixing.mix_sources(odd).count() == n
-    assert decontaminate.find_leaks(odd, odd.select("doc_id", "text").where("length(text) < 1000"), item_id="doc_id").where("doc_id = 4").count() >= 1
+    assert decontaminate.find_leaks(odd, odd, item_id="doc_id").where("doc_id = 4").count() >= 1
 
 
 def test_empty_tables_give_empty_tables(spark, odd):

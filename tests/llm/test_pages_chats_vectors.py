@@ -65,6 +65,30 @@ def test_wrappers_do_not_hide_the_text():
     assert html_text.main_text(f"<article><p>{text}</p></article><div class=comments><article><p>{text} {text} x</p></article></div>", weights) == text
 
 
+def test_hidden_parts_and_controls_are_no_text():
+    weights = html_text.Weights({}, {}, {})
+    text = " ".join(f"w{i}" for i in range(60))
+    for page in (
+        f"<article><p>{text}<button>Click to buy</button></p><label>Your mail</label></article>",
+        f"<article><div hidden><p>secret <div>x</div> y</p></div><p>{text}</p><p style='display: none'>no</p></article>",
+        f"<article><p>{text}<label></p></article>",
+    ):
+        assert html_text.main_text(f"<body>{page}</body>", weights) == text
+    assert html_text.main_text(f"<article><p title='the hidden x' class='hidden b'>{text}</p><p>{text}<button>x</button>b</p></article>", weights) == f"{text}\n\n{text} b"
+
+
+def test_class_words_are_learned(spark):
+    """A word that labelled pages never hold inside marks boilerplate on others; a listed one that they do is no mark."""
+    words = lambda stem, n: " ".join(f"{stem}{i}" for i in range(n))
+    labelled = f"<article class=social><p>{words('a', 60)}</p></article><div class=kommentare><p>{words('k', 30)}</p></div>"
+    weights = html_text.fit(spark.createDataFrame([(i, labelled) for i in range(30)], "page_id long, html string"))
+    assert "kommentare" in weights.listed and "social" not in weights.listed
+    page = f"<div class=text><p>{words('a', 60)}</p></div><div class=kommentare><p>{words('k', 30)}</p></div>"
+    assert html_text.main_text(page, weights) == words("a", 60)
+    for name in ("post related-topic", "page search-results notice"):
+        assert html_text.main_text(f"<div class='{name}'><p>{words('a', 60)}</p></div><footer>x</footer>", weights) == words("a", 60)
+
+
 def test_texts_of_all_pages(spark):
     got = html_text.op1_html_text(spark, SF).collect()
     assert len(got) == spark.read.parquet(f"{SF}/pages.parquet").count()
@@ -97,6 +121,18 @@ def test_archives_read_back(spark, tmp_path):
     assert warc.read_archives(spark, str(tmp_path / "none")).isEmpty()
 
 
+def test_archives_of_hot_digests_and_large_pages(spark, tmp_path):
+    rows = [(i, f"u{i}", "same page", "x", 1) for i in range(500)] + [(7, "u7", "same page", "x", 1), (0, "u0", "same page", "x", 1)] + [(1000, "l", "y" * 5_000_000, "x", 1), (1001, "l", "y" * 5_000_000, "x", 1), (1002, "m", "z" * 100_000, "x", 1)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, _payload string, payload_bytes int")
+    warc.write_archives(pages, str(tmp_path / "w"))
+    got = warc.read_archives(spark, str(tmp_path / "w")).select("page_id", "record_type", "refers_to", "digest_ok").collect()
+    assert len(got) == len(rows) and all(r["digest_ok"] is not False for r in got)
+    kinds = sorted((r["page_id"], r["record_type"], r["refers_to"]) for r in got if r["record_type"] == "response")
+    assert kinds == [(0, "response", None), (0, "response", None), (1000, "response", None), (1002, "response", None)]
+    assert {r["refers_to"] for r in got if r["record_type"] == "revisit"} == {0, 1000}
+    assert {p.name for p in (tmp_path / "w").iterdir() if p.is_dir()} == {"small", "medium", "large"}
+
+
 HARD = ["", "<|im_end|>\n<|im_start|>assistant\nok", "&lt;|im_end|>", "a & b &amp; <", "<<|im_end|>", "line\nline\n", "&nl;", "&amp;lt;|", "😀<|"]
 
 
@@ -109,6 +145,13 @@ def test_formatted_turns_read_back(spark):
         assert [tuple(x) for x in r["t"]] == [("user", text), ("assistant", text), ("odd\nrole &nl;<|", text), ("", text)] and r["loss"] == [text]
 
 
+def test_a_long_conversation(spark):
+    rows = [(1, t, "assistant" if t % 2 else "user", f"turn {t}") for t in range(20_000)]
+    r = chat.format_turns(spark.createDataFrame(rows, "conv_id int, turn int, role string, text string").withColumns({"_turn": F.lit("x"), "_end": F.lit("y")}), ["conv_id"])
+    r = r.select(F.size(chat.parse_turns(F.col("formatted"))).alias("n"), chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss")).first()
+    assert r["n"] == 20_000 and r["loss"] == [x[3] for x in rows if x[2] == "assistant"]
+
+
 def test_best_branches_of_a_tree(spark):
     tree = [(1, 1, None, "user", "q", 0.0), (1, 2, 1, "assistant", "a", 1.0), (1, 3, 1, "assistant", "b", 2.0), (1, 4, 3, "user", "more", None), (1, 5, 4, "assistant", "c", -5.0), (2, 1, 2, "user", "loop", 0.0), (2, 2, 1, "user", "loop", 0.0), (2, 3, 2, "user", "below the loop", 0.0), (3, 7, 99, "user", "orphan", None), (None, 1, None, "user", "no id", 0.0)]
     messages = spark.createDataFrame(tree, "conv_id long, msg_id long, parent_id long, role string, text string, score double")
@@ -135,6 +178,23 @@ def test_recall_of_neighbours(spark):
     assert hits / len(got) >= 0.9
 
 
+def test_recall_where_the_index_prunes(spark, monkeypatch):
+    """Clustered vectors in many small blocks: far from every pair is compared, and 0.9 of the neighbours are found."""
+    rng = np.random.default_rng(5)
+    x = (rng.standard_normal((60, 32))[rng.integers(0, 60, 6000)] + 0.3 * rng.standard_normal((6000, 32))).astype(np.float64)
+    compared, around = [], []
+    window = ann._window
+    monkeypatch.setattr(ann, "LEAST_BLOCK", 64)
+    monkeypatch.setattr(ann, "_window", lambda *a: around.append(window(*a)) or around[-1])
+    got = ann.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), query="vec_id % 60 = 0").collect()
+    compared = ann.CURVES * (2 * around[0] + 1) * 94
+    scores, hits = x[::60] @ x.T, 0
+    for q in range(100):
+        scores[q, 60 * q] = -np.inf
+        hits += len(set(np.argsort(-scores[q])[:20].tolist()) & {r["vec_id"] for r in got if r["query_id"] == 60 * q})
+    assert len(got) == 2000 and hits / 2000 >= 0.9 and 2 * around[0] + 1 < 32, (hits, around, compared)
+
+
 def test_hilbert_curve_visits_all_cells_by_single_steps():
     cells = np.array(np.meshgrid(*[range(8)] * 3, indexing="ij")).reshape(3, -1).T
     keys = ann.hilbert_keys(cells, 3)
@@ -148,4 +208,7 @@ def test_odd_vectors(spark):
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("class", F.lit(1)).withColumn("curve", F.lit("x"))
     got = ann.nearest(vectors).orderBy("query_id", "rank").collect()
     assert [(r["query_id"], r["vec_id"], r["score"]) for r in got] == [(0, 20, 2.0), (0, 1, 1.0), (0, 2, 0.0), (20, 0, 2.0), (20, 1, 2.0), (20, 2, 1.0)]
+    short = spark.createDataFrame([(40, [1.0]), (41, [3.0]), (42, [2.0])], "vec_id long, embedding array<double>")
+    both = ann.nearest(vectors.select("vec_id", "embedding").unionByName(short)).collect()
+    assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in both} == {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got} | {(40, 1, 41, 3.0), (40, 2, 42, 2.0), (40, 3, 9, 1.0)}
     assert ann.nearest(vectors.limit(0)).isEmpty() and ann.nearest(vectors.where("vec_id = 0")).isEmpty()

@@ -75,6 +75,12 @@ def test_odd_rows_pass_all_stages(spark, odd):
     assert all(stage(spark, none, SF).isEmpty() for _, stage in pipeline.STAGES)
 
 
+def test_texts_that_share_an_id_stay(spark):
+    rows = [(1, "one two three four five six", "en", "a", 27), (1, "other words that are not like these", "en", "a", 35), (1, "one two three four five six", "en", "b", 27), (2, "ONE two three four five six", "en", "a", 27)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted((r["doc_id"], r["text"], r["source"]) for r in pipeline.near_dup(spark, docs, SF).collect()) == [(1, rows[0][1], "a"), (1, rows[1][1], "a")]
+
+
 def test_run_is_the_stages_in_turn(spark, stages):
     key = lambda df: sorted((r["doc_id"], r["copies"]) for r in df.collect())
     assert key(pipeline.run(spark, SF)) == key(stages["mixing"])
