@@ -30,6 +30,21 @@ def last_n_ascending(df: DataFrame, keys: Sequence[str], order: str, n: int) ->
     return latest.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
 
 
+def numbered(df: DataFrame, order: str, *keys_and_order: str) -> DataFrame:
+    """Add place (from 1) by order; further names are the group's key, then more columns to order by."""
+    window = Window.partitionBy(*keys_and_order[:1]) if keys_and_order else Window.partitionBy(F.lit(0))
+    return df.withColumn("place", F.row_number().over(window.orderBy(order, *keys_and_order[1:])))
+
+
+def consecutive_change(df: DataFrame, key: str, year: str, value: str) -> DataFrame:
+    """Add change: percent against the size of the value of the year right before; null without that year or where it was 0."""
+    window = Window.partitionBy(key).orderBy(year)
+    before, last = F.lag(value).over(window), F.lag(year).over(window)
+    rows = df.withColumns({"_before": before, "_last": last})
+    change = F.when((F.col("_last") == F.col(year) - 1) & (F.col("_before") != 0), F.round((F.col(value) - F.col("_before")) / F.abs("_before") * 100, 1))
+    return rows.withColumn("change", change).drop("_before", "_last")
+
+
 def fair_cap(df: DataFrame, group: str, order: Sequence[Column], limit: int) -> DataFrame:
     """At most limit rows in all, dealt round-robin over the groups in their order.
 

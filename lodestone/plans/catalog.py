@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestone.plans import document_queries, fact_queries, match_queries, merge_queries, price_queries, retrieval_queries, text_queries, time_queries
+from lodestone.plans import document_queries, fact_queries, join_queries, match_queries, merge_queries, price_queries, retrieval_queries, source_queries, text_queries, time_queries
 from lodestone.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
-MODULES = (document_queries, fact_queries, match_queries, merge_queries, price_queries, retrieval_queries, text_queries, time_queries)
+MODULES = (document_queries, fact_queries, join_queries, match_queries, merge_queries, price_queries, retrieval_queries, source_queries, text_queries, time_queries)

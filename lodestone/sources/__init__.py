@@ -1 +1 @@
-"""Readers that turn landed files and markup into typed DataFrames."""
+"""Readers of landed files and pages: price files, feeds, company pages."""
