@@ -190,13 +190,13 @@ def fair_cap(spark, sf_dir):
     return rank.fair_cap(table(spark, sf_dir, "events").select("event_id", "event_type"), "event_type", [F.col("event_id")], 33).select("event_id", "event_type", _long("depth"))
 
 
-@query("""SELECT source, round((coalesce(sum(n_chars), 0)::DECIMAL(28,0) * 0.15::DECIMAL(10,4) + coalesce(sum(n_chars % 100), 0)::DECIMAL(28,0) * 0.60::DECIMAL(10,4))::DOUBLE / 1000000, 7) AS usd,
+@query("""SELECT source, round((coalesce(sum(n_chars), 0)::DECIMAL(28,0) * 0.15::DECIMAL(10,4) + coalesce(sum(n_chars % 100), 0)::DECIMAL(28,0) * 0.60::DECIMAL(10,4))::DOUBLE / 1000000, 9) AS usd,
   (coalesce(sum(n_chars), 0)::DECIMAL(28,0) * 0.15::DECIMAL(10,4) + coalesce(sum(n_chars % 100), 0)::DECIMAL(28,0) * 0.60::DECIMAL(10,4))::DOUBLE / 1000000 < 0.02 AS allowed FROM documents GROUP BY 1""")
 def token_spend(spark, sf_dir):
     """A-01, A-02, Q-16: exact cost of tokens by group, and whether it is below a cap."""
     calls = table(spark, sf_dir, "documents").select("source", "n_chars", (F.col("n_chars") % 100).alias("n_out"))
     spent = ops.within_budget(ops.spend(calls, "source", "n_chars", "n_out", "0.15", "0.60"), "0.02")
-    return spent.withColumn("usd", F.round(F.col("usd").cast("double"), 7))
+    return spent.withColumn("usd", F.round(F.col("usd").cast("double"), 9))
 
 
 @query(f"WITH {FACTS_SQL}, {STOCKS_SQL} SELECT DISTINCT f.stock_id, f.metric FROM facts f JOIN stocks s USING (stock_id) WHERE NOT (s.is_financial AND f.metric IN ('revenue_from_operations', 'total_borrowings'))")

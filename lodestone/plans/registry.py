@@ -20,3 +20,12 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
         return function
 
     return register
+
+
+def values_sql(rows: list[tuple], names: str) -> str:
+    """A query that returns the given rows: what an operator must give for seeded input."""
+
+    def show(x: object) -> str:
+        return "NULL" if x is None else f"'{x.replace(chr(39), chr(39) * 2)}'" if isinstance(x, str) else str(x)
+
+    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(show, r)) + ")" for r in rows) + f") v({names})"
