@@ -146,7 +146,7 @@ def protect_block(text: Column, name: str = "document") -> Column:
 
 def sentences(text: Column) -> Column:
     """Sentences with their end marks."""
-    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"[^.!?\n]+[.!?]*"), F.lit(0)), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"[^.!?\n]+[.!?]*"), F.lit(0)), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def without_quotes(text: Column) -> Column:

@@ -255,3 +255,17 @@ def validate_candidates(candidates: DataFrame) -> DataFrame:
             "basis": F.when(said, F.col("basis")).otherwise("unspecified"),
         }
     )
+
+
+def validate_events(events: DataFrame) -> DataFrame:
+    """Accept a proposed event if its page is among those shown and holds its quote: the first code that applies, else null.
+
+    events: pages (those shown), page, quote, page_text.
+    """
+    read = events.withColumns({"_quote": t.normalise(F.col("quote")), "_page": t.normalise(F.col("page_text"))})
+    code = (
+        F.when(F.coalesce("_quote", F.lit("")) == "", "bad_quote")
+        .when(~F.array_contains("pages", F.col("page")), "page_outside_window")
+        .when(~F.coalesce(F.contains("_page", "_quote"), F.lit(False)), "quote_not_on_page")
+    )
+    return read.withColumn("code", code).drop("_quote", "_page")

@@ -79,11 +79,36 @@ def replace_children(existing: DataFrame, incoming: DataFrame, parent: str) -> D
     return existing.join(parents, F.col(parent).eqNullSafe(F.col("_parent")), "left_anti").unionByName(incoming)
 
 
-def current_version(rows: DataFrame, parent: str, version: Column) -> DataFrame:
-    """Drop derived rows of parents that were made by another version than the given one."""
+def replace_version(existing: DataFrame, incoming: DataFrame, parent: str, version: str) -> DataFrame:
+    """Rows of the incoming version replace those of their parents that another version derived; other parents keep theirs."""
+    done = incoming.select(F.col(parent).alias("_p"), F.col(version).alias("_v")).distinct()
+    stale = F.col(parent).eqNullSafe(F.col("_p")) & ~F.col(version).eqNullSafe(F.col("_v"))
+    return existing.join(done, stale, "left_anti").unionByName(incoming)
+
+
+def current_version(rows: DataFrame, version: Column) -> DataFrame:
+    """The derived rows of the given version alone, as readers see them before the others are replaced."""
     return rows.where(version)
 
 
+def documents_and_jobs(incoming: DataFrame, key: str, content: str) -> tuple[DataFrame, DataFrame]:
+    """One document for each content (the smallest key of equal ones) and one pending job for it, both from one input."""
+    documents = incoming.groupBy(F.sha2(content, 256).alias("sha256")).agg(F.min(key).alias(key))
+    jobs = documents.select(key, F.concat(F.lit("ingest:"), F.col(key).cast("string")).alias("dedupe_key"), F.lit("pending").alias("status"))
+    return documents, jobs
+
+
+def add_exchange(turns: DataFrame, threads: DataFrame, exchanges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Append each exchange (conv_id, question, answer, at) as two turns after the thread's last one, and touch its thread."""
+    last = turns.groupBy("conv_id").agg(F.max("turn").alias("_last"))
+    placed = exchanges.join(last, "conv_id", "left").withColumn("_last", F.coalesce("_last", F.lit(-1)))
+    made = F.array(*[F.struct((F.col("_last") + i).cast("long").alias("turn"), F.lit(role).alias("role"), F.col(text).alias("text")) for i, role, text in ((1, "user", "question"), (2, "assistant", "answer"))])
+    added = placed.select("conv_id", F.explode(made).alias("_t")).select("conv_id", "_t.turn", "_t.role", "_t.text")
+    touched = exchanges.groupBy("conv_id").agg(F.max("at").alias("touched"))
+    kept = threads.join(touched.select(F.col("conv_id").alias("_c")), F.col("conv_id") == F.col("_c"), "left_anti")
+    return turns.unionByName(added), kept.unionByName(touched)
+
+
 def enqueue(jobs: DataFrame, wanted: DataFrame, now: str, cooldown_hours: int = 24) -> DataFrame:
     """New jobs for keys without a live job and without one made inside the cooldown: an anti join with a time condition.
 

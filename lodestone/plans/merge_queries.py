@@ -76,7 +76,7 @@ def replace_children(spark, sf_dir):
 @query("SELECT doc_id, quality FROM labels WHERE quality = 1")
 def current_version(spark, sf_dir):
     """K-07: rows of another version go."""
-    return ops.current_version(table(spark, sf_dir, "labels"), "doc_id", F.col("quality") == 1).select("doc_id", "quality")
+    return ops.current_version(table(spark, sf_dir, "labels"), F.col("quality") == 1).select("doc_id", "quality")
 
 
 @query("""WITH jobs AS (SELECT user_id::VARCHAR AS k, max(ts) AS created_at, bool_or(event_type = 'error') AS live FROM events GROUP BY 1)
