@@ -1 +1 @@
-"""Structured Streaming forms of the job, feed and window operators."""
+"""Streams: tumbling slots, sessions, and merges of micro-batches into tables."""
