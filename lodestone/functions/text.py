@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 CURLY, STRAIGHT = "‘’‚‛“”„‐‒–—―−", "''''\"\"\"------"
 FULL_WIDTH = "".join(chr(0xFF01 + i) for i in range(94))
 HALF_WIDTH = "".join(chr(0x21 + i) for i in range(94))
-#: A rupee sign, "Rs", "INR", or the "h" that some extractors make of the sign before a number.
+#: A rupee sign, "Rs", "INR", or the "h" that some extractors make of the sign before a number.
 RUPEE = r"₹|\brs\b\.?|\binr\b|(?<![^\s(])h(?= ?\d)(?![12](?!\d|[,.]\d))"
-#: Digits with Indian or Western grouping, or plain, and an optional fraction.
+#: Digits with Indian or Western grouping, or plain, and an optional fraction.
 DIGITS = r"(?:\d{1,3}(?:,\d{2})*,\d{3}|\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?"
 NUMBER_IN_TEXT = rf"(?<![\w.,])(?:\({DIGITS}\)|-?{DIGITS})(?!\d|[.,]\d)"
 DECIMAL = "decimal(24,6)"

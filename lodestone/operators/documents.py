@@ -63,15 +63,17 @@ def event_pages(pages: DataFrame, budget: int = WINDOW_CHARS) -> DataFrame:
 
 
 def pack(pieces: Column, separator: str, limit: int) -> Column:
-    """Join neighbouring pieces while the result fits: an ordered fold over one row's array."""
+    """Join neighbouring pieces while the result fits: an ordered fold over one row's array that holds the open piece apart from the closed ones."""
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("open"))
 
     def step(acc: Column, piece: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joined = F.concat(last, F.lit(separator), piece)
-        fits = (F.size(acc) > 0) & (F.char_length(joined) <= limit)
-        return F.when(fits, F.array_append(F.slice(acc, 1, F.size(acc) - 1), joined)).otherwise(F.array_append(acc, piece))
+        joined = F.concat(acc["open"], F.lit(separator), piece)
+        fits = F.char_length(joined) <= limit
+        return F.when(acc["open"].isNull(), F.struct(acc["done"].alias("done"), piece.alias("open"))).when(fits, F.struct(acc["done"].alias("done"), joined.alias("open"))).otherwise(
+            F.struct(F.array_append(acc["done"], acc["open"]).alias("done"), piece.alias("open"))
+        )
 
-    return F.aggregate(pieces, F.array().cast("array<string>"), step)
+    return F.aggregate(pieces, start, step, lambda acc: F.when(acc["open"].isNull(), acc["done"]).otherwise(F.array_append(acc["done"], acc["open"])))
 
 
 def _fixed_cuts(word: Column, limit: int) -> Column:
@@ -159,6 +161,10 @@ LABELS = {
     "net_interest_margin": r"net interest margin|nim",
     "gross_npa_ratio": r"gross npas?|gross non[- ]performing|gnpa",
 }
+#: Wording of adjusted profits, of dividends that were paid and of those that are a part of the year's.
+DIVIDEND_PAID, DIVIDEND_PART, DIVIDEND_TOTAL = r"\bdividends? (?:on equity shares|paid)\b|\bappropriation", r"\b(?:final|interim|special) dividend", r"\btotal dividend"
+#: How percentages and figures by share are written, and what shows rupees.
+PERCENT_SHOWN, SHARE_SHOWN, RUPEE_SCALES = r"%|\bper ?cent\b", r"\bper (?:equity |ordinary )?share\b|/ ?share\b|\beps\b|\bdps\b", r"\b(?:crores?|cr|lakhs?|lacs?)\b"
 ADJUSTED = r"\b(?:excluding|before) exceptional|\badjusted\b|\bunderlying\b|\bnormali[sz]ed\b"
 SCALE = {"crore": r"\b(?:crores?|cr)\b", "lakh": r"\b(?:lakhs?|lacs?)\b", "million": r"\b(?:millions?|mn|mln)\b", "billion": r"\b(?:billions?|bn)\b", "thousand": r"\bthousands?\b"}
 TO_CRORE = {"lakh": "0.01", "crore": "1", "million": "0.1", "billion": "100", "thousand": "0.0001"}
@@ -177,7 +183,7 @@ def evidenced_currency(quote: Column, page: Column) -> Column:
 
     def shown(text: Column) -> Column:
         marked = t.prepare(text)
-        rupee, dollar = marked.rlike(rf"{t.RUPEE}|\b(?:crores?|cr|lakhs?|lacs?)\b"), marked.rlike(r"\$|\busd\b")
+        rupee, dollar = marked.rlike(rf"{t.RUPEE}|{RUPEE_SCALES}"), marked.rlike(r"\$|\busd\b")
         return F.when(rupee & dollar, "both").when(rupee, "INR").when(dollar, "USD")
 
     found = F.coalesce(shown(quote), shown(page))
@@ -191,18 +197,28 @@ def validate_candidates(candidates: DataFrame) -> DataFrame:
     basis, quote, page_text (null if the page was not shown), is_financial. Adds code, value (in the
     metric's unit), unit, evidenced currency and basis.
     """
-    metric, quote, page = F.col("metric"), t.normalise(F.col("quote")), t.normalise(F.col("page_text"))
+    # What all conditions read is prepared once, in columns of its own.
+    rows = candidates.withColumns(
+        {
+            "_quote": t.normalise(F.col("quote")),
+            "_page": t.normalise(F.col("page_text")),
+            "_number": t.parse_number(F.col("value_text")),
+            "_numbers": t.numbers_in(F.col("quote")),
+            "_evidenced": evidenced_currency(F.col("quote"), F.col("page_text")),
+        }
+    )
+    metric, quote, page = F.col("metric"), F.col("_quote"), F.col("_page")
     kind = _by_metric(metric, {k: v[0] for k, v in METRICS.items()}, F.lit(None))
     applies = _by_metric(metric, {k: v[1] for k, v in METRICS.items()}, F.lit(None))
     labelled = _by_metric(metric, {k: quote.rlike(rf"\b(?:{v})\b") for k, v in LABELS.items()}, F.lit(False))
     problem = F.when((metric == "net_profit") & quote.rlike(ADJUSTED), "adjusted_figure").when(
         metric == "dividend_per_share",
-        F.when(quote.rlike(r"\bdividends? (?:on equity shares|paid)\b|\bappropriation"), "dividend_paid_not_declared").when(
-            quote.rlike(r"\b(?:final|interim|special) dividend") & ~quote.rlike(r"\btotal dividend"), "partial_dividend"
+        F.when(quote.rlike(DIVIDEND_PAID), "dividend_paid_not_declared").when(
+            quote.rlike(DIVIDEND_PART) & ~quote.rlike(DIVIDEND_TOTAL), "partial_dividend"
         ),
     )
-    number = t.parse_number(F.col("value_text"))
-    currency = F.when(kind != "percent", evidenced_currency(F.col("quote"), F.col("page_text")))
+    number = F.col("_number")
+    currency = F.when(kind != "percent", F.col("_evidenced"))
     word = F.col("unit_word")
     scale_shown = _by_metric(word, {k: page.rlike(v) for k, v in SCALE.items()}, F.lit(False))
     factor = F.when(currency == "INR", _by_metric(word, {k: F.lit(v).cast("decimal(10,4)") for k, v in TO_CRORE.items()}, F.lit(None))).otherwise(
@@ -212,8 +228,8 @@ def validate_candidates(candidates: DataFrame) -> DataFrame:
         F.concat(currency, F.when(kind == "per_share", "_PER_SHARE").when(currency == "INR", "_CRORE").otherwise("_MILLION"))
     )
     shown = (
-        F.when(kind == "percent", word.isin("percent", "none") & quote.rlike(r"%|\bper ?cent\b"))
-        .when(kind == "per_share", word.isin("per_share", "none") & quote.rlike(r"\bper (?:equity |ordinary )?share\b|/ ?share\b|\beps\b|\bdps\b"))
+        F.when(kind == "percent", word.isin("percent", "none") & quote.rlike(PERCENT_SHOWN))
+        .when(kind == "per_share", word.isin("per_share", "none") & quote.rlike(SHARE_SHOWN))
         .otherwise(factor.isNotNull() & scale_shown)
     )
     value = F.when(kind == "amount", number * factor).otherwise(number).cast("decimal(24,4)")
@@ -236,7 +252,7 @@ def validate_candidates(candidates: DataFrame) -> DataFrame:
         .when(~page.contains(quote), "quote_not_on_page")
         .when(~labelled, "label_not_in_quote")
         .when(problem.isNotNull(), problem)
-        .when(number.isNull() | ~F.array_contains(t.numbers_in(F.col("quote")), number), "number_not_in_quote")
+        .when(number.isNull() | ~F.array_contains("_numbers", number), "number_not_in_quote")
         .when((kind != "percent") & currency.isNull(), "ambiguous_currency")
         .when((kind != "percent") & (F.col("currency") != "none") & (F.col("currency") != currency), "currency_mismatch")
         .when(~shown, "unit_not_evidenced")
@@ -245,7 +261,7 @@ def validate_candidates(candidates: DataFrame) -> DataFrame:
         .when(~in_range, "out_of_range")
     )
     said = F.col("basis").isin("consolidated", "standalone") & F.regexp_like(page, F.concat(F.lit(r"\b"), F.col("basis"), F.lit(r"\b")))
-    out = candidates.withColumn("code", code)
+    out = rows.withColumn("code", code)
     accepted = F.col("code").isNull()
     return out.withColumns(
         {
@@ -254,7 +270,7 @@ def validate_candidates(candidates: DataFrame) -> DataFrame:
             "evidenced": F.when(accepted, currency),
             "basis": F.when(said, F.col("basis")).otherwise("unspecified"),
         }
-    )
+    ).drop("_quote", "_page", "_number", "_numbers", "_evidenced")
 
 
 def validate_events(events: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.periods import fiscal_quarter, fiscal_year, period_end
+from lodestone.functions.periods import fiscal_quarter, fiscal_year
 from lodestone.operators.dims import AGREEMENT, BASES, CURRENCIES, METRICS, SOURCES, rank_of
 from lodestone.operators.rank import winner_per_group
 
@@ -73,20 +73,21 @@ def _per_source(facts: DataFrame) -> DataFrame:
     return with_period(choose_facts(facts, [*KEY, "source"]))
 
 
-def _earlier(chosen: DataFrame, back: int, name: str) -> DataFrame:
-    """Chosen facts keyed as the facts of back years later."""
-    keys = {c: F.col(c).alias(f"_{c}") for c in ("stock_id", "metric", "source", "basis", "currency", "unit", "quarter")}
-    return chosen.select(*keys.values(), (F.col("year") + back).alias("_year"), F.col("value").alias(name), F.col("id").alias(f"{name}_id"), F.col("period").alias(f"{name}_period"))
+_SERIES = ("stock_id", "metric", "source", "basis", "currency", "unit", "quarter")
 
 
-def _same_series(earlier: DataFrame) -> Column:
-    on = F.lit(True)
-    for c in ("stock_id", "metric", "source", "basis", "unit", "quarter", "year"):
-        on = on & (F.col(c) == F.col(f"_{c}"))
-    return on & F.col("currency").eqNullSafe(F.col("_currency"))
+def _with_earlier(chosen: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """The figures of the years right before, one for each name, in the same series; null where a year is missing.
 
-
-_SERIES = [f"_{c}" for c in ("stock_id", "metric", "source", "basis", "currency", "unit", "quarter", "year")]
+    One window over each series, in which a year occurs once, instead of a self-join for each year.
+    """
+    order = Window.partitionBy(*_SERIES).orderBy("year")
+    fields = F.struct("value", "id", "period", "year")
+    rows = chosen.withColumns({f"_{n}": F.lag(fields, back).over(order) for back, n in enumerate(names, 1)})
+    for back, n in enumerate(names, 1):
+        there = F.col(f"_{n}.year") == F.col("year") - back
+        rows = rows.withColumns({c: F.when(there, F.col(f"_{n}.{f}")) for c, f in ((n, "value"), (f"{n}_id", "id"), (f"{n}_period", "period"))})
+    return rows.drop(*[f"_{n}" for n in names])
 
 
 def growth_yoy(facts: DataFrame) -> DataFrame:
@@ -95,9 +96,11 @@ def growth_yoy(facts: DataFrame) -> DataFrame:
     Of all pairs the preferred one counts: a full year over a quarter, then the latest, then the
     better basis, source and currency. A prior value that is not positive is not_assessable.
     """
-    chosen = _per_source(facts)
-    prior = _earlier(chosen, 1, "prior")
-    pairs = chosen.join(prior, _same_series(prior)).drop(*_SERIES)
+    return _growth(_with_earlier(_per_source(facts), ("prior",)))
+
+
+def _growth(rows: DataFrame) -> DataFrame:
+    pairs = rows.where("prior_id IS NOT NULL")
     order = [F.col("quarter") == 0, F.col("year"), F.col("quarter"), *_preferred(("basis", BASES), ("source", SOURCES), ("currency", CURRENCIES))]
     best = winner_per_group(pairs, ["stock_id", "metric"], order)
     change = F.when(F.col("prior") > 0, F.round(F.try_divide(F.col("value") - F.col("prior"), F.col("prior")) * 100, 1))
@@ -109,10 +112,7 @@ def growth_yoy(facts: DataFrame) -> DataFrame:
 
 def growth_chain(facts: DataFrame) -> DataFrame:
     """The latest three consecutive full years of a metric from one source, basis, currency and unit."""
-    chosen = _per_source(facts).where("quarter = 0")
-    one, two = _earlier(chosen, 1, "middle"), _earlier(chosen, 2, "oldest")
-    chains = chosen.join(one, _same_series(one)).drop(*_SERIES)
-    chains = chains.join(two, _same_series(two)).drop(*_SERIES)
+    chains = _with_earlier(_per_source(facts).where("quarter = 0"), ("middle", "oldest")).where("middle_id IS NOT NULL AND oldest_id IS NOT NULL")
     best = winner_per_group(chains, ["stock_id", "metric"], [F.col("year"), *_preferred(("basis", BASES), ("source", SOURCES), ("currency", CURRENCIES))])
     return best.select(
         "stock_id", "metric", "year", "basis", "source", "unit", F.col("oldest").alias("first_value"), F.col("middle").alias("middle_value"), F.col("value").alias("latest_value"),
@@ -155,15 +155,15 @@ def derived_views(facts: DataFrame, stocks: DataFrame) -> DataFrame:
     top = F.when(F.col("is_financial"), "net_interest_income").otherwise("revenue_from_operations")
     empty = F.array().cast("array<bigint>")
 
-    def grown(name: str, order: int, metric: Column) -> DataFrame:
-        wanted = names.withColumn("metric", metric)
-        found = wanted.join(growth, ["stock_id", "metric"], "left")
-        return found.select("stock_id", F.lit(order).alias("place"), F.lit(name).alias("name"), F.coalesce("status", F.lit("not_assessable")).alias("status"), F.col("value").cast("decimal(38,4)").alias("value"), F.coalesce("fact_ids", empty).alias("fact_ids"))
-
+    lines = F.array(F.struct(F.lit(2).alias("place"), F.lit("revenue_growth").alias("name"), top.alias("metric")), F.struct(F.lit(3).alias("place"), F.lit("profit_growth").alias("name"), F.lit("net_profit").alias("metric")))
+    wanted = names.select("stock_id", F.explode(lines).alias("_l")).select("stock_id", "_l.*")
+    grown = wanted.join(growth, ["stock_id", "metric"], "left").select(
+        "stock_id", "place", "name", F.coalesce("status", F.lit("not_assessable")).alias("status"), F.col("value").cast("decimal(38,4)").alias("value"), F.coalesce("fact_ids", empty).alias("fact_ids")
+    )
     debt = debt_to_equity(facts, stocks).select("stock_id", F.lit(1).alias("place"), F.lit("debt_to_equity").alias("name"), "status", F.col("value").cast("decimal(38,4)").alias("value"), "fact_ids")
     paid = names.join(latest_dividend(facts), "stock_id", "left")
     paid = paid.select("stock_id", F.lit(4).alias("place"), F.lit("latest_dividend").alias("name"), F.coalesce("status", F.lit("insufficient_data")).alias("status"), F.col("value").cast("decimal(38,4)").alias("value"), F.coalesce("fact_ids", empty).alias("fact_ids"))
-    return debt.unionByName(grown("revenue_growth", 2, top)).unionByName(grown("profit_growth", 3, F.lit("net_profit"))).unionByName(paid)
+    return debt.unionByName(grown).unionByName(paid)
 
 
 def measure_facts(facts: DataFrame, years: int = 3) -> DataFrame:
@@ -232,6 +232,3 @@ def metrics_panel(facts: DataFrame) -> DataFrame:
     growth = growth_yoy(facts).select("stock_id", "metric", F.col("value").alias("growth"))
     return newest.join(growth, ["stock_id", "metric"], "left").select("stock_id", "metric", "period", "basis", "value", "growth")
 
-
-def with_period_end(facts: DataFrame) -> DataFrame:
-    return facts.withColumn("period_end", period_end(F.col("period")))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators import dims as d
 
+#: Profiles that are matched at once, and events that a caution cites.
+MAX_PROFILES, CAUTION_CITATIONS = 1000, 3
 #: Criteria in the order in which reasons are listed.
 CRITERIA = ("debt", "dividend", "revenue_growth", "profit_growth", "quality", "value", "momentum", "horizon")
 
@@ -80,21 +82,32 @@ def status(found: Column) -> Column:
 
 
 def match_profiles(stocks: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Status and reasons of every stock for every profile. Profiles (profile_id, wanted) are a stated small set and are broadcast.
+    """Status, reasons and cautions of every stock for every profile.
 
-    A profile without wishes matches nothing for lack of data.
+    Profiles (profile_id, wanted) are few beside stocks and are broadcast; more than MAX_PROFILES are an error, to be matched in parts.
+    A profile without wishes matches nothing for lack of data. Negative news (mood_label, mood_score and
+    negative_events, newest first, of the row) is a caution that cites three events and leaves the status as it is.
     """
+    if profiles.limit(MAX_PROFILES + 1).count() > MAX_PROFILES:
+        raise ValueError(f"more than {MAX_PROFILES} profiles: match them in parts")
     pairs = stocks.join(F.broadcast(profiles))
     judged = pairs.withColumn("reasons", reasons(F.col("wanted")))
-    return judged.select("profile_id", "stock_id", F.when(F.size("wanted") == 0, "not_enough_data").otherwise(status(F.col("reasons"))).alias("status"), "reasons")
+    caution = F.struct(F.lit("sentiment").alias("criterion"), F.col("mood_score").alias("figure"), F.slice("negative_events", 1, CAUTION_CITATIONS).alias("events"))
+    cautions = F.filter(F.array(F.when(F.col("mood_label") == "negative", caution)), lambda c: c.isNotNull())
+    return judged.select("profile_id", "stock_id", F.when(F.size("wanted") == 0, "not_enough_data").otherwise(status(F.col("reasons"))).alias("status"), "reasons", cautions.alias("cautions"))
 
 
 def shared_reasons(matches: DataFrame) -> DataFrame:
-    """Reasons that all stocks of a profile share, to be told once: profile_id, criterion, outcome."""
-    rows = matches.select("profile_id", "stock_id", F.explode("reasons").alias("_r")).select("profile_id", "stock_id", "_r.criterion", "_r.outcome")
-    n = matches.groupBy("profile_id").agg(F.count_distinct("stock_id").alias("_n"))
+    """Reasons that all stocks of a profile share, to be told once: profile_id, criterion, outcome.
+
+    Each stock adds a row without a criterion, whose count is that of the profile's stocks, so that matches are made once.
+    """
+    told = F.transform("reasons", lambda r: F.struct(r["criterion"].alias("criterion"), r["outcome"].alias("outcome")))
+    every = F.array(F.struct(F.lit(None).cast("string").alias("criterion"), F.lit(None).cast("string").alias("outcome")))
+    rows = matches.select("profile_id", "stock_id", F.explode(F.concat(told, every)).alias("_r")).select("profile_id", "stock_id", "_r.criterion", "_r.outcome")
     counted = rows.groupBy("profile_id", "criterion", "outcome").agg(F.count_distinct("stock_id").alias("_have"))
-    return counted.join(n, "profile_id").where("_have = _n").select("profile_id", "criterion", "outcome")
+    n = F.max(F.when(F.col("criterion").isNull(), F.col("_have"))).over(Window.partitionBy("profile_id"))
+    return counted.withColumn("_n", n).where("criterion IS NOT NULL AND _have = _n").select("profile_id", "criterion", "outcome")
 
 
 #: The card's values in order, with their units; those that are computed name their parts.

@@ -159,4 +159,5 @@ def document_statuses(attempts: DataFrame) -> DataFrame:
 
 
 def unique_window(keys: Sequence[str], order: Sequence[Column]) -> Column:
+    """Place of a row among those that share its keys."""
     return F.row_number().over(Window.partitionBy(*keys).orderBy(*order))

@@ -27,20 +27,29 @@ def scan_rejection(spark, sf_dir):
     return ops.scan_status(_pages(spark, sf_dir))
 
 
-@query(f"""WITH {_PAGES_SQL}, c AS (SELECT document_id, page_number, len(string_split(text, 'en')) - 1 AS n FROM pages_v WHERE kind = 'annual_report' AND regexp_matches(text, 'the|der|les|que')),
-n AS (SELECT document_id, page_number, len(regexp_extract_all(text, '[0-9][0-9,]*(?:\\.[0-9]+)?')) AS n_numbers FROM pages_v WHERE kind = 'annual_report' AND regexp_matches(text, 'the|der|les|que'))
-SELECT document_id, page_number, n_numbers FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY n_numbers DESC, page_number) AS i FROM n) WHERE i <= 3""")
+_HEADLINE, _METRIC = "Statement of  Profit and Loss for the year ", "Net profit of Rs. 5 crore 1 2 3 4 5 6 7 8 "
+
+
+@query(f"""WITH {_PAGES_SQL}, t AS (SELECT document_id, kind, page_number, CASE WHEN page_number % 3 = 0 THEN '{_HEADLINE}' WHEN page_number % 5 = 0 THEN '{_METRIC}' ELSE '' END || text AS text FROM pages_v),
+n AS (SELECT *, len(regexp_extract_all(text, '[0-9][0-9,]*(?:\\.[0-9]+)?')) AS n_numbers FROM t)
+SELECT document_id, page_number, n_numbers FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY n_numbers DESC, page_number) AS i FROM n WHERE kind = 'annual_report' AND page_number % 3 = 0) WHERE i <= 40
+UNION ALL SELECT document_id, page_number, n_numbers FROM n WHERE kind IN ('presentation', 'transcript') AND page_number % 5 = 0 AND page_number % 3 <> 0""")
 def headline_pages(spark, sf_dir):
-    """T-19, A-15, O-08, C-03: headline pages with most numbers; the page test is one that this prose can meet."""
-    found = ops.fact_pages(_pages(spark, sf_dir), F.col("text").rlike("the|der|les|que"), F.lit(False), 3)
-    return found.select("document_id", "page_number", F.col("n_numbers").cast("long").alias("n_numbers"))
+    """T-19, A-15, O-08, C-03: headline pages with most numbers of annual reports, metric pages of others.
+
+    This prose has no headlines, so every third page gets one and every fifth a metric with its figures.
+    """
+    at = F.col("page_number")
+    lead = F.when(at % 3 == 0, _HEADLINE).when(at % 5 == 0, _METRIC).otherwise("")
+    pages = _pages(spark, sf_dir).withColumn("text", F.concat(lead, "text"))
+    return ops.fact_pages(pages).select("document_id", "page_number", F.col("n_numbers").cast("long").alias("n_numbers"))
 
 
 @query(f"""WITH {_PAGES_SQL} SELECT document_id, page_number FROM (
-  SELECT *, sum(length(text)) OVER w AS used, row_number() OVER w AS i FROM pages_v WHERE kind IN ('transcript','announcement') WINDOW w AS (PARTITION BY document_id ORDER BY page_number)) WHERE used <= 1000 OR i = 1""")
+  SELECT *, sum(length(text)) OVER w AS used, row_number() OVER w AS i FROM pages_v WHERE kind IN ('transcript','announcement') WINDOW w AS (PARTITION BY document_id ORDER BY page_number)) WHERE used <= 12000 OR i = 1""")
 def event_page_budget(spark, sf_dir):
     """W-10, C-04, T2: pages within a budget, the first always."""
-    return ops.event_pages(_pages(spark, sf_dir), 1000).select("document_id", "page_number")
+    return ops.event_pages(_pages(spark, sf_dir)).select("document_id", "page_number")
 
 
 @query()
@@ -53,7 +62,7 @@ def chunks(spark, sf_dir):
 @query()
 def windows_packed(spark, sf_dir):
     """C-05, W-11, T2: greedy packing of pages into windows."""
-    return ops.page_windows(_pages(spark, sf_dir), 2000)
+    return ops.page_windows(_pages(spark, sf_dir))
 
 
 @query("""SELECT sha256(text) AS sha256, min(doc_id) AS doc_id, count(*) AS n_copies, 'documents/' || sha256(text) || '.pdf' AS blob_key FROM documents WHERE doc_id % 2 = 1 AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0) GROUP BY text""")

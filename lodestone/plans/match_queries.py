@@ -24,6 +24,7 @@ def _stock_rows(spark, sf_dir):
     out = names.join(debt, "stock_id", "left").join(wide, "stock_id", "left").join(chain, "stock_id", "left").withColumnRenamed("latest_dividend", "dividend")
     out = out.withColumns({
         "roe": F.when(i % 4 != 3, i.cast("double")), "pe": F.when(i % 3 == 0, i + 5.0), "pe_status": F.when(i % 3 == 0, "ok").when(i % 3 == 1, "no_figure").otherwise("not_positive"),
+        "mood_label": F.when(i % 6 == 1, "negative").otherwise("neutral"), "mood_score": F.when(i % 6 == 1, -0.4), "negative_events": F.transform(F.sequence(F.lit(4), F.lit(1)), lambda x: i * 10 + x),
         "has_prices": i % 7 != 0, "return_6m": F.when(i % 2 == 0, i - 12.0), "volatility": F.when(i % 5 != 4, i * 2.0),
     })
     return out.withColumns({c: F.col(c).cast("double") for c in DOUBLES})
@@ -78,13 +79,15 @@ def _matches(spark, sf_dir):
 
 
 @query(f"""{_JUDGED_SQL} SELECT h.profile_id, h.stock_id, count(r.outcome) AS n_reasons, coalesce(string_agg(r.criterion || ':' || r.outcome, ',' ORDER BY list_position(['debt','dividend','revenue_growth','profit_growth','quality','value','momentum','horizon'], r.criterion)), '') AS reasons,
+  CASE WHEN h.stock_id % 6 = 1 THEN 'sentiment:' || (h.stock_id * 10 + 4) || ',' || (h.stock_id * 10 + 3) || ',' || (h.stock_id * 10 + 2) ELSE '' END AS cautions,
   CASE WHEN any_value(len(wanted)) = 0 THEN 'not_enough_data' WHEN bool_or(outcome = 'fail') THEN 'no_match' WHEN bool_or(hard AND outcome = 'no_data') THEN 'not_enough_data' WHEN NOT bool_or(outcome IN ('pass','miss','fail')) THEN 'not_enough_data'
        WHEN bool_and(outcome IN ('pass','not_assessable')) THEN 'match' ELSE 'partial' END AS status
 FROM has h LEFT JOIN reasons r ON r.profile_id = h.profile_id AND r.stock_id = h.stock_id GROUP BY 1, 2""")
 def match_profiles(spark, sf_dir):
     """J-18, A-12, R-18, T12, T13: all criteria for all stocks and profiles."""
     shown = F.array_join(F.transform("reasons", lambda r: F.concat(r["criterion"], F.lit(":"), r["outcome"])), ",")
-    return _matches(spark, sf_dir).select("profile_id", "stock_id", F.size("reasons").cast("long").alias("n_reasons"), shown.alias("reasons"), "status")
+    warned = F.array_join(F.transform("cautions", lambda c: F.concat(c["criterion"], F.lit(":"), F.array_join(c["events"].cast("array<string>"), ","))), ";")
+    return _matches(spark, sf_dir).select("profile_id", "stock_id", F.size("reasons").cast("long").alias("n_reasons"), shown.alias("reasons"), warned.alias("cautions"), "status")
 
 
 @query(f"""{_JUDGED_SQL} SELECT profile_id, criterion, outcome FROM reasons GROUP BY ALL HAVING count(DISTINCT stock_id) = (SELECT count(*) FROM stocks)""")

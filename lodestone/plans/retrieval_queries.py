@@ -26,13 +26,13 @@ def top_k_similarity(spark, sf_dir):
     return ops.top_k(_chunks(spark, sf_dir), asked).select("chunk_id", "document_id", F.round("similarity", 9).alias("similarity"))
 
 
-_PER_QUERY_SQL = f"""WITH {_CHUNKS_SQL}, q AS (SELECT vec_id AS question_id, embedding FROM embeddings WHERE vec_id < 10),
+_PER_QUERY_SQL = f"""WITH {_CHUNKS_SQL}, q AS (SELECT vec_id AS question_id, embedding FROM embeddings WHERE vec_id % 20 = 0),
 scored AS (SELECT q.question_id, a.chunk_id, a.document_id, a.content_hash, {_COS} AS similarity FROM chunks a, q),
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY similarity DESC, chunk_id) AS place FROM scored) WHERE place <= 50)"""
 
 
 def _per_query(spark, sf_dir):
-    questions = table(spark, sf_dir, "embeddings").where("vec_id < 10").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("question"))
+    questions = table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("question"))
     return ops.top_k_per_query(_chunks(spark, sf_dir), questions, 50)
 
 
