@@ -21,18 +21,3 @@ def con():
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_same_rows_as_sql(spark, con, name):
     assert differences(QUERIES[name](spark, SF), ORACLE_SQL[name], con) == ""
-
-
-def test_windows_keep_every_page(spark):
-    from lodestone.plans.document_queries import _pages
-
-    packed = QUERIES["windows_packed"](spark, SF)
-    assert packed.count() > 0 and packed.count() <= _pages(spark, SF).count()
-
-
-def test_chunks_are_bounded_and_numbered(spark):
-    rows = QUERIES["chunks"](spark, SF).collect()
-    by_doc = {}
-    for r in rows:
-        by_doc.setdefault(r["document_id"], []).append(r["ordinal"])
-    assert rows and all(sorted(x) == list(range(min(x), min(x) + len(x))) for x in by_doc.values())
