@@ -12,26 +12,22 @@ from lodestone.sources import feeds, landing, price_files
 from lodestone.session import table
 
 
-@query(f"""WITH {PRICES_SQL} SELECT symbol AS bse_code, trade_date, round(o, 2)::DECIMAL(14,2)::DOUBLE AS open, close::DOUBLE AS close, prev_close::DOUBLE AS prev_close, volume FROM prices
+@query(f"""WITH {PRICES_SQL} SELECT symbol AS bse_code, trade_date, round(o, 2)::DECIMAL(14,2)::DOUBLE AS open, round(h, 2)::DECIMAL(14,2)::DOUBLE AS high, round(l, 2)::DECIMAL(14,2)::DOUBLE AS low, close::DOUBLE AS close, volume FROM prices
 WHERE symbol <> '5-LOW' AND day(trade_date) NOT IN (7, 8, 9, 10)""")
 def price_csv(spark, sf_dir):
-    """S-06, P-10: prices as a file with faults of every kind (other instruments, bad numbers, bad days, short rows), read back."""
+    """S-06, P-10: prices as a file with faults of every kind (other instruments, bad numbers, bad days, empty cells), read back."""
     rows, day = prices(spark, sf_dir), F.dayofmonth("trade_date")
     cell = lambda c: F.col(c).cast("string")
-    fields = [
-        F.when(day == 7, "31/12/1999").otherwise(cell("trade_date")), F.when(day == 8, "BND").otherwise("STK"), F.concat(F.lit(" "), cell("symbol")), F.when(day == 9, "n.a.").otherwise(cell("open")),
-        cell("high"), cell("low"), cell("close"), F.concat(cell("prev_close"), F.lit(" ")), cell("volume"), F.lit("x"),
-    ]
-    lines = rows.select(F.when(day == 10, F.concat_ws(",", *fields[:4])).otherwise(F.concat_ws(",", *fields)).alias("value"))
-    header = "﻿TradDt,FinInstrmTp,FinInstrmId,OpnPric,HghPric,LwPric,ClsPric,PrvsClsgPric,TtlTradgVol,Rmks"
+    columns = {
+        "TradDt": F.when(day == 7, "31/12/1999").otherwise(cell("trade_date")), "FinInstrmTp": F.when(day == 8, "BND").otherwise("STK"), "FinInstrmId": F.concat(F.lit(" "), cell("symbol")),
+        "OpnPric": F.when(day == 9, "n.a.").otherwise(cell("open")), "HghPric": cell("high"), "LwPric": cell("low"), "ClsPric": F.when(day != 10, cell("close")), "PrvsClsgPric": F.concat(cell("prev_close"), F.lit(" ")),
+        "TtlTradgVol": cell("volume"), "Rmks": F.lit("x"),
+    }
     folder = landing.landing_folder(spark, "prices")
-    # One file for each symbol, each with the header.
-    whole = rows.select("symbol").distinct().select(F.lit(header).alias("value"), F.col("symbol").alias("_s"), F.lit(0).alias("_o"))
-    whole = whole.unionByName(lines.withColumn("_s", F.trim(F.split_part("value", F.lit(","), F.lit(3)))).withColumn("_o", F.lit(1)))
-    whole.groupBy("_s").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_o", "value"))), lambda x: x["value"]), "\n").alias("value")).select("value").repartition(5, "value").write.text(folder)
-    codes = rows.where("symbol <> '5-LOW'").select(F.col("symbol").alias("bse_code"))
+    rows.select(*[c.alias(name) for name, c in columns.items()]).write.option("header", True).option("ignoreLeadingWhiteSpace", False).csv(folder)
+    codes = rows.select(F.col("symbol").alias("bse_code")).where("bse_code <> '5-LOW'").distinct()
     read = price_files.read_price_file(spark, folder, codes)
-    return read.select("bse_code", "trade_date", *[F.col(c).cast("double").alias(c) for c in ("open", "close", "prev_close")], "volume")
+    return read.select("bse_code", "trade_date", *[F.col(c).cast("double").alias(c) for c in ("open", "high", "low", "close")], "volume")
 
 
 _ITEM_SQL = "SELECT page_id, url, replace(trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g')), '&amp;', '&') AS title FROM pages"
