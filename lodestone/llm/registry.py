@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import ann, chat, decontaminate, html_text, lang_id, line_dedup, mixing, near_dup, ngram_lm, warc
+from lodestone.llm import ann, chat, decontaminate, html_text, lang_id, line_dedup, mixing, near_dup, ngram_lm, token_files, warc
 
 QUERIES = {
     "op1_html_text": html_text.op1_html_text,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_language_id": lang_id.op8_language_id,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_warc": warc.op10_warc,
+    "op11_token_files": token_files.op11_token_files,
 }
 
 ORACLE_SQL = {
