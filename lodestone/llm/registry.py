@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import ann, chat, decontaminate, html_text, lang_id, lexical, line_dedup, mixing, near_dup, ngram_lm, token_files, warc
+from lodestone.llm import ann, chat, decontaminate, html_text, lang_id, lexical, line_dedup, mixing, near_dup, ngram_lm, token_files, turns, warc
 
 QUERIES = {
     "op1_html_text": html_text.op1_html_text,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_warc": warc.op10_warc,
     "op11_token_files": token_files.op11_token_files,
+    "op12_repair": turns.op12_repair,
     "op13_lexical_search": lexical.op13_lexical_search,
 }
 
