@@ -25,5 +25,6 @@ ORACLE_SQL = {
     "op7_mixing": mixing.OP7_SQL,
     "op9_line_dedup": line_dedup.OP9_SQL,
     "op10_warc": warc.OP10_SQL,
+    "op12_repair": turns.OP12_SQL,
     "op13_lexical_search": lexical.OP13_SQL,
 }

@@ -305,3 +305,65 @@ def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = table(spark, sf_dir, "conversations")
     found = repair(damage(conversations), conversations)
     return found.withColumn("repaired_sha256", F.sha2("repaired", 256)).drop("repaired")
+
+
+def _sql() -> str:
+    """The repair in SQL: a dynamic programme over turns. k0, ks, ku, ka are the cheapest (cost, audit, text) by state."""
+
+    def edit(state: str, cost: str, letter: str, line: str) -> str:
+        return f"CASE WHEN {state} IS NOT NULL THEN {{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 't': {state}.t || {line}}} END"
+
+    def insert(state: str, role: str) -> str:
+        return edit(state, "2", "I", f"chr(10) || '{role}:'")
+
+    def turn(state: str, role: str) -> str:
+        own = f"chr(10) || '{role}:' || text"
+        reroled = f"CASE WHEN fault NOT IN (1, 2) THEN {edit(state, '2 + more', 'R', own)} END"
+        kept = f"CASE WHEN fault NOT IN (1, 2) AND left(role, 1) = '{role[0]}' THEN {edit(state, 'more', 'K', 'chr(10) || role || chr(58) || text')} END"
+        return f"{reroled}, {kept}"
+
+    def deleted(state: str) -> str:
+        return edit(state, "3", "D", "''")
+
+    system = "CASE WHEN fault NOT IN (1, 2) AND left(role, 1) = 's' THEN " + edit("k0", "more", "K", "chr(10) || role || chr(58) || text") + " END"
+    return f"""
+WITH RECURSIVE damaged AS (
+  SELECT conv_id, turn, CASE code WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE code WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           xor(list_reduce(list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda ch: ascii(ch)::BIGINT),
+               lambda crc, b: list_reduce(range(8), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)), xor(crc, b)), 4294967295::BIGINT), 4294967295::BIGINT) % 20 AS code
+    FROM conversations) WHERE code <> 0
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, trim(text, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)) AS bare FROM damaged
+), turns AS (
+  SELECT *, (fault = 3)::INT AS more FROM (
+    SELECT *, CASE WHEN bare = '' THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2
+                   WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+           lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair
+    FROM numbered)
+), counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 1) AS blank, count(*) FILTER (WHERE fault = 2) AS duplicate,
+         count(*) FILTER (WHERE fault = 3) AS truncated, count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+  FROM turns GROUP BY conv_id
+), walk AS (
+  SELECT conv_id, 0::BIGINT AS i, {{'c': 0, 'a': '', 't': ''}} AS k0, NULL::STRUCT(c INT, a VARCHAR, t VARCHAR) AS ks, {{'c': 2, 'a': 'I', 't': chr(10) || 'user:'}} AS ku,
+         {{'c': 4, 'a': 'II', 't': chr(10) || 'user:' || chr(10) || 'assistant:'}} AS ka
+  FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT conv_id, i, k0, ks, u AS ku, least(a, {insert("u", "assistant")}) AS ka FROM (
+    SELECT conv_id, i, k0, ks, a, least(u, {insert("k0", "user")}, {insert("ks", "user")}, {insert("a", "user")}) AS u FROM (
+      SELECT w.conv_id, w.i + 1 AS i, {deleted("k0")} AS k0, least({deleted("ks")}, {system}) AS ks,
+             least({deleted("ku")}, {turn("k0", "user")}, {turn("ks", "user")}, {turn("ka", "user")}) AS u,
+             least({deleted("ka")}, {turn("ku", "assistant")}) AS a
+      FROM walk w JOIN turns t ON w.conv_id IS NOT DISTINCT FROM t.conv_id AND t.i = w.i + 1))
+)
+SELECT w.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, least(k0, ka).c::BIGINT AS cost, least(k0, ka).a AS audit, sha256(substr(least(k0, ka).t, 2)) AS repaired_sha256
+FROM walk w LEFT JOIN counts c ON w.conv_id IS NOT DISTINCT FROM c.conv_id WHERE w.i = coalesce(c.n, 0)
+"""
+
+
+OP12_SQL = _sql()
