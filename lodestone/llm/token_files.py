@@ -8,11 +8,12 @@ import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,13 +31,18 @@ MAGIC = b"LTF1"
 HEAD = struct.Struct("<4sQQQQIIBII")
 #: Segments in a file, which a reader takes whole.
 SEGMENTS_PER_FILE = 4
-#: Words that a worker remembers the ids of, and the longest of them.
-REMEMBERED, LONGEST_WORD = 300_000, 48
-
-_SPACE = r"\s\x1c-\x1f\x85\u180e\u200b\ufeff"
-_RUN = re.compile(f"[{_SPACE}] ")
-_CUT = re.compile(f"(?<![{_SPACE}]) ")
-
+#: Words that a worker remembers the ids of (some 200 MB; twice as many with older ones), and the longest of them.
+REMEMBERED, LONGEST_PART = 1_000_000, 48
+
+#: All that some library may take for white space, before a space; there a text is not cut.
+_SPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}-\x{2060}\x{3000}\x{feff}"
+_CUT = re.compile("(?<![" + re.sub(r"x\{(\w+)\}", lambda m: f"u{int(m[1], 16):04x}", _SPACE) + "]) ")
+# Words of letters of Latin-1, marks and single line ends between them: always split where these meet.
+_LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
+_PLAIN = re.compile(f" ?[{_LETTER}][{_LETTER}.,;:!?\n]*")
+_PART = re.compile(f" ?[{_LETTER}]+|[.,;:!?]+|\n")
+#: Bytes of texts that are looked up together.
+SLICE = 8_000_000
 
 # ---- text to ids ------------------------------------------------------------------------------------------
 
@@ -44,9 +50,9 @@ _CUT = re.compile(f"(?<![{_SPACE}]) ")
 class Encoder:
     """Ids of texts by a tokenizer of the tokenizers library, given as its JSON.
 
-    A tokenizer that splits texts at each space after a visible character before it looks at anything else
-    (byte-level without a prefix space or normaliser, no added token with a space) gives a text the ids of
-    its words in turn, so words seen before are looked up. Any other tokenizer gets whole texts.
+    A byte-level tokenizer that splits texts by the usual pattern before it looks at anything else (no
+    normaliser, prefix space, or added token with spaces) always splits before a space behind a visible character, so
+    a text has the ids of its words in turn; each word of a batch is looked up once. Any other tokenizer gets whole texts.
     """
 
     def __init__(self, tokenizer: str, remembered: int = REMEMBERED):
@@ -68,32 +74,73 @@ class Encoder:
             and not any(" " in t["content"] or t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in setup.get("added_tokens", []))
         )
         self.remembered = remembered
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        #: Ids of words and parts seen, each with the space before it if it has one: now, and before there were too many.
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, U32).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        if not self.by_word:
-            return self._plain(texts)
-        words = [_CUT.split(t) if _RUN.search(t) else t.split(" ") for t in texts]
-        first, later = self.first, self.later
-        if len(first) + len(later) > self.remembered:
-            first.clear()
-            later.clear()
-        heads = {w[0] for w in words}.difference(first)
-        tails = set().union(*(w[1:] for w in words)).difference(later)
-        for known, new, mark in ((first, list(heads), ""), (later, list(tails), " ")):
-            known.update(zip(new, self._plain([mark + w for w in new]), strict=True))
-        found = [b"".join([first[w[0]], *map(later.__getitem__, w[1:])]) for w in words]
-        for known, new in ((first, heads), (later, tails)):
-            for w in new:
-                if len(w) > LONGEST_WORD:
-                    del known[w]
+    def _learn(self, parts: set[str]) -> dict[str, bytes]:
+        """The ids of each of parts; they are known from now on, unless they are too long to remember."""
+        known, older = self.known, self.older
+        found = {x: ids for x in parts if (ids := known.get(x) or older.get(x)) is not None}
+        new = [x for x in parts if x not in found]
+        found.update(zip(new, self._plain(new), strict=True))
+        if len(known) > self.remembered:
+            self.older, self.known = known, {}
+        self.known.update((x, ids) for x, ids in found.items() if len(x) <= LONGEST_PART)
         return found
 
+    def _look_up(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words, new ones by way of their parts."""
+        found = list(map(self.known.get, words))
+        gaps = [i for i, ids in enumerate(found) if ids is None]
+        parts = [_PART.findall(w) if _PLAIN.fullmatch(w) and "\n\n" not in w else [w] for w in map(words.__getitem__, gaps)]
+        learnt = self._learn(set().union(*parts))
+        for i, p in zip(gaps, parts, strict=True):
+            found[i] = learnt[p[0]] if len(p) == 1 else b"".join([learnt[x] for x in p])
+        return found
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and how many each has."""
+        if not self.by_word or not len(texts):
+            found = self._plain(texts.to_pylist())
+            return np.frombuffer(b"".join(found), U32), np.array([len(f) // 4 for f in found], np.int64)
+        odd = pc.match_substring_regex(texts, f"[{_SPACE}] ").to_numpy(zero_copy_only=False)
+        rows = [np.flatnonzero(~odd), np.flatnonzero(odd)]
+        cut = [pc.split_pattern(texts.take(rows[0]), " "), pa.array([_CUT.split(t) for t in texts.take(rows[1]).to_pylist()], pa.list_(pa.string()))]
+        sizes = np.concatenate([pc.list_value_length(c).to_numpy() for c in cut])
+        words = pa.concat_arrays([c.flatten() for c in cut]).dictionary_encode()
+        code = words.indices.to_numpy().copy()
+        spelled = pc.binary_join_element_wise(" ", words.dictionary, "").to_numpy(zero_copy_only=False).tolist()
+        begins = np.cumsum(sizes) - sizes
+        heads: dict[int, int] = {}
+        code[begins] = [heads.setdefault(c, len(spelled) + len(heads)) for c in code[begins].tolist()]
+        ids = self._look_up([*spelled, *[spelled[c][1:] for c in heads]])
+        counts = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        pool, starts, taken = np.frombuffer(b"".join(ids), U32), np.cumsum(counts) - counts, counts[code]
+        ends = np.cumsum(taken)
+        found = pool[np.repeat(starts[code] - ends + taken, taken) + np.arange(int(ends[-1]))]
+        lengths = np.add.reduceat(taken, begins)
+        if not len(rows[1]):
+            return found, lengths
+        # Back to the order of the texts.
+        at, places = np.cumsum(lengths) - lengths, np.concatenate(rows)
+        order = np.argsort(places)
+        return np.concatenate([found[at[i] : at[i] + lengths[i]] for i in order]), lengths[order]
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(tokenizer: str) -> Encoder:
+    """The worker's encoder, which later tasks of the worker find with all it has learnt."""
+    if tokenizer not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[tokenizer] = Encoder(tokenizer)
+    return _ENCODERS[tokenizer]
+
 
 # ---- ids to bytes and back --------------------------------------------------------------------------------
 
@@ -159,14 +206,13 @@ def decode_blocks(states: np.ndarray, words: list[np.ndarray], freq: np.ndarray,
     return symbols
 
 
-def pack_segment(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int], part: int, number: int) -> bytes:
+def pack_segment(ids: np.ndarray, doc_ids: list[int | None], lengths: Sequence[int], part: int, number: int) -> bytes:
     """One segment: a header, its packed lists (documents, table), a checkpoint and a checksum for each block, the blocks' words.
 
     A checkpoint is a block's coder states and where its words begin; with the table it decodes the block alone.
     """
-    symbols, at, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    symbols, at, counts = _table(ids)
     freq, bits = frequencies(counts) if len(symbols) else (np.zeros(0, U64), 12)
-    at = at.astype(np.int32).reshape(-1)
     whole = len(at) // BLOCK * BLOCK
     states, words = [], []
     for piece in (at[:whole].reshape(-1, BLOCK // LANES, LANES), _padded(at[whole:])):
@@ -174,7 +220,7 @@ def pack_segment(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int],
             s, w = encode_blocks(piece, freq, bits)
             states.append(s)
             words += w
-    checks = np.array([zlib.crc32(w.tobytes()) for w in words], U32)
+    checks = np.array([zlib.crc32(w.tobytes(), zlib.crc32(s.tobytes())) for s, w in zip((s for piece in states for s in piece), words, strict=True)], U32)
     sizes = np.array([len(w) for w in words], U32)
     lists = zlib.compress(
         b"".join(
@@ -196,6 +242,18 @@ def pack_segment(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int],
     return head + body + struct.pack("<I", zlib.crc32(lists, zlib.crc32(head)))
 
 
+def _table(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct ids in order, the place of each id among them, and how often each occurs."""
+    if len(ids) and int(ids.max()) >= 1 << 22:
+        symbols, at, counts = np.unique(ids, return_inverse=True, return_counts=True)
+        return symbols, at.astype(np.int32).reshape(-1), counts
+    times = np.bincount(ids.astype(np.int32))
+    symbols = np.flatnonzero(times)
+    place = np.zeros(len(times), np.int32)
+    place[symbols] = np.arange(len(symbols), dtype=np.int32)
+    return symbols.astype(U32), place[ids], times[symbols]
+
+
 def _padded(rest: np.ndarray) -> np.ndarray:
     """The ids after the last whole block as one short block, filled up with the first symbol."""
     steps = -(-len(rest) // LANES)
@@ -241,7 +299,7 @@ class Segment:
             if a < b:
                 words = [self.words[self.begins[i] : self.begins[i + 1]] for i in range(a, b)]
                 for i, w in zip(range(a, b), words, strict=True):
-                    if zlib.crc32(w.tobytes()) != self.checks[i]:
+                    if zlib.crc32(w.tobytes(), zlib.crc32(self.states[i].tobytes())) != self.checks[i]:
                         raise ValueError(f"block {i} of segment {self.part}.{self.number} does not have its checksum")
                 out.append(self.symbols[decode_blocks(self.states[a:b], words, self.freq, self.bits, steps)].reshape(-1))
         found = np.concatenate(out) if out else np.empty(0, U32)
@@ -262,31 +320,32 @@ def segments(content: bytes) -> Iterator[Segment]:
 
 def _write_part(tokenizer: object, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, number = Encoder(tokenizer.value), TaskContext.get().partitionId(), 0
-        ids: list[bytes] = []
+        encoder, part, number = encoder_of(tokenizer.value), TaskContext.get().partitionId(), 0
+        ids: list[np.ndarray] = []
         doc_ids: list[int | None] = []
-        lengths: list[int] = []
-        end = np.array([end_id], U32).tobytes()
+        lengths: list[np.ndarray] = []
+        held = 0
 
         def segment() -> pa.RecordBatch:
-            nonlocal number
-            record = pack_segment(np.frombuffer(b"".join(ids), U32), doc_ids, lengths, part, number)
-            number += 1
+            nonlocal number, held
+            record = pack_segment(np.concatenate(ids), doc_ids, np.concatenate(lengths), part, number)
+            number, held = number + 1, 0
             ids.clear(), doc_ids.clear(), lengths.clear()
             return pa.RecordBatch.from_arrays([pa.array([record], pa.binary())], names=["record"])
 
-        held = 0
         for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                some = batch.slice(low, 256)
-                for doc_id, found in zip(some.column(0).to_pylist(), encoder(some.column(1).to_pylist()), strict=True):
-                    doc_ids.append(doc_id)
-                    ids.append(found + end)
-                    lengths.append(len(found) // 4 + 1)
-                    held += lengths[-1]
-                    if held >= SEGMENT:
-                        yield segment()
-                        held = 0
+            sizes = np.cumsum(pc.binary_length(batch.column(1)).to_numpy().astype(np.int64))
+            low = 0
+            while low < batch.num_rows:
+                high = max(low + 1, int(np.searchsorted(sizes, SLICE + (sizes[low - 1] if low else 0), "right")))
+                found, counts = encoder(batch.column(1).slice(low, high - low))
+                ids.append(np.insert(found, np.cumsum(counts), end_id))
+                lengths.append(counts + 1)
+                doc_ids += batch.column(0).slice(low, high - low).to_pylist()
+                held += len(ids[-1])
+                low = high
+                if held >= SEGMENT:
+                    yield segment()
         if doc_ids:
             yield segment()
 
