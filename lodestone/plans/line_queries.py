@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import lines as ops
 from lodestone.plans.adapters import FACTS_SQL, facts
-from lodestone.plans.registry import query, values_sql
+from lodestone.plans.registry import query
+from lodestone.plans.text_queries import grouped_sql
 from lodestone.session import table
 
 
@@ -25,20 +26,20 @@ def event_lines(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", line.alias("line"))
 
 
-_LINES = [
-    ("price", "ACME · share price · 2026-09-01 · ₹12,34,567.50 (+1.5% on the day)"), ("price without change", "ACME · share price · 2026-09-01 · ₹12,34,567.50"),
-    ("sentiment", "ACME · News sentiment 0.40, positive, over 5 events"), ("no sentiment", "ACME · News sentiment is not known: too few events"),
-]
-
-
-@query(values_sql(_LINES, "name, line"))
+@query(f"""SELECT o_orderkey, CASE k WHEN 0 THEN s || ' · share price · ' || d || ' · ₹' || g || ' (' || CASE WHEN change > 0 THEN '+' ELSE '' END || format('{{:.1f}}', change) || '% on the day)'
+  WHEN 1 THEN s || ' · share price · ' || d || ' · ₹' || g WHEN 2 THEN s || ' · News sentiment ' || format('{{:.2f}}', score) || ', ' || CASE WHEN score > 0 THEN 'positive' ELSE 'negative' END || ', over ' || n || ' events'
+  ELSE s || ' · News sentiment is not known: too few events' END AS line
+FROM (SELECT o_orderkey, o_orderkey % 4 AS k, 'C' || o_custkey AS s, (o_orderdate::DATE)::VARCHAR AS d, {grouped_sql('round(o_totalprice, 2)::DECIMAL(20,2)')} AS g, ((o_orderkey % 101) - 50)::DOUBLE / 10 + 0.1 * (o_orderkey % 101 = 50)::INT AS change, ((o_orderkey % 21) - 10.5)::DOUBLE / 10.5 AS score, o_orderkey % 9 AS n FROM orders)""")
 def value_lines(spark, sf_dir):
-    """Q-23, M-10: prices and sentiment as lines of evidence; the expected texts are given."""
-    name = F.col("name")
-    price = lambda change: ops.price_line(F.lit("ACME"), F.to_date(F.lit("2026-09-01")), F.lit("1234567.5").cast("decimal(14,2)"), change)
-    mood = lambda score: ops.sentiment_line(F.lit("ACME"), score, F.lit("positive"), F.lit(5))
-    line = F.when(name == "price", price(F.lit(1.5))).when(name == "price without change", price(F.lit(None).cast("double"))).when(name == "sentiment", mood(F.lit(0.4))).otherwise(mood(F.lit(None).cast("double")))
-    return spark.createDataFrame([(n,) for n, _ in _LINES], "name string").select("name", line.alias("line"))
+    """Q-23, M-10: prices with and without their change, and sentiment, as lines of evidence."""
+    k = F.col("o_orderkey")
+    symbol, day = F.concat(F.lit("C"), F.col("o_custkey").cast("string")), F.to_date("o_orderdate")
+    change = ((k % 101) - 50).cast("double") / 10 + F.when(k % 101 == 50, 0.1).otherwise(0.0)
+    score = ((k % 21) - 10.5).cast("double") / 10.5
+    price = lambda moved: ops.price_line(symbol, day, F.round("o_totalprice", 2).cast("decimal(14,2)"), moved)
+    mood = lambda value: ops.sentiment_line(symbol, value, F.when(score > 0, "positive").otherwise("negative"), k % 9)
+    line = F.when(k % 4 == 0, price(change)).when(k % 4 == 1, price(F.lit(None).cast("double"))).when(k % 4 == 2, mood(score)).otherwise(mood(F.lit(None).cast("double")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", line.alias("line"))
 
 
 @query("""SELECT s_suppkey AS stock_id, CASE s_suppkey % 4 WHEN 0 THEN s_name || ' trades at a P/E of ' || (s_suppkey % 30 + 5) || '.5; whether that is cheap needs a view of its growth and its peers.'

@@ -1,118 +1,176 @@
-"""Queries over questions, preferences, nested forms and exchanges; seeded texts with the expected rows, driver rows where they have the shape."""
+"""Queries over questions, preferences, nested forms and exchanges: texts with facts of each order planted in them, and given rows."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as t
-from lodestone.operators import forms, merge
+from lodestone.operators import forms, merge, names
 from lodestone.operators import questions as ops
 from lodestone.operators import retrieval
-from lodestone.plans.registry import query, values_sql
+from lodestone.plans import planted
+from lodestone.plans.registry import query
 from lodestone.session import table
 
-_ALIASES = {"acme": "ACME", "acme industries": "ACME", "beta bank": "BETA", "beta": "BETA"}
 _QUESTIONS = [
-    (1, "What was the net profit of Acme in FY2026?", "ACME", "net_profit", "FY2026", "fact_lookup", "code"),
-    (2, "Compare the revenue and debt of Beta Bank and Acme over the last 3 years", "BETA,ACME", "revenue_from_operations,total_borrowings", "", "comparison", "retrieve"),
-    (3, "Why did margins of Beta fall in Q3 FY26 and FY 2024-25?", "BETA", "net_interest_margin", "Q3FY2026,FY2025", "explanation", "retrieve"),
-    (4, "Do you remember my preferences?", "", "", "", "memory_read", "memory"),
-    (5, "Will Acme's price rise next year?", "ACME", "", "", "future_unsupported", "refuse"),
-    (6, "What is Gamma Motors worth?", "", "", "", "unsupported_company", "retrieve"),
-    (7, "What is the return on equity?", "", "return_on_equity", "", "which_company", "ask"),
-    (8, "Is Acme undervalued?", "ACME", "", "", "valuation", "retrieve"),
-    (9, "Where did you get that?", "", "", "", "source_request", "replay"),
-    (10, "Which of them suits me?", "", "", "", "personalized", "retrieve"),
-    (11, "Any inconsistencies in the sales of Acme?", "ACME", "revenue_from_operations", "", "source_conflict", "retrieve"),
-    (12, "Calculate the dividend cover of Acme", "ACME", "dividend_per_share", "", "calculation", "retrieve"),
-    (13, "How did sales of Acme grow?", "ACME", "revenue_from_operations", "", "trend", "retrieve"),
-    (14, "Latest news on Beta", "BETA", "", "", "news", "retrieve"),
-    (15, "Tell me about the share price of Acme", "ACME", "", "", "price", "retrieve"),
-    (16, "How much did Acme have?", "ACME", "", "", "which_measure", "ask"),
-    (17, "Acme in general", "ACME", "", "", "general", "retrieve"),
+    ("What was the net profit of {a} in FY{y}?", "{a}", "net_profit", "FY{y}", "fact_lookup", "code"),
+    ("Compare the revenue and debt of {b} and {a} over the last 3 years", "{b},{a}", "revenue_from_operations,total_borrowings", "", "comparison", "retrieve"),
+    ("Why did margins of {b} fall in Q3 FY{z} and FY {p}-{z}?", "{b}", "net_interest_margin", "Q3FY{y},FY{y}", "explanation", "retrieve"),
+    ("Do you remember my preferences?", "", "", "", "memory_read", "memory"),
+    ("Will {a}'s price rise next year?", "{a}", "", "", "future_unsupported", "refuse"),
+    ("What is {e}gamma Motors worth?", "", "", "", "unsupported_company", "retrieve"),
+    ("What is the return on equity?", "", "return_on_equity", "", "which_company", "ask"),
+    ("Is {a} undervalued?", "{a}", "", "", "valuation", "retrieve"),
+    ("Where did you get that?", "", "", "", "source_request", "replay"),
+    ("Which of them suits me?", "", "", "", "personalized", "retrieve"),
+    ("Any inconsistencies in the sales of {a}?", "{a}", "revenue_from_operations", "", "source_conflict", "retrieve"),
+    ("Calculate the dividend cover of {a}", "{a}", "dividend_per_share", "", "calculation", "retrieve"),
+    ("How did sales of {a} grow? Not those of x{b}.", "{a}", "revenue_from_operations", "", "trend", "retrieve"),
+    ("Latest news on {b}", "{b}", "", "", "news", "retrieve"),
+    ("Tell me about the share price of {a}", "{a}", "", "", "price", "retrieve"),
+    ("How much did {a} have?", "{a}", "", "", "which_measure", "ask"),
+    ("{a} Holdings in general", "{a} Holdings", "", "", "general", "retrieve"),
+    ("What was said in the earnings call of {a} for FY{z}?", "{a}", "", "FY{y}", "which_measure", "ask"),
 ]
 
 
-def _understood(spark):
-    return ops.understand(spark.createDataFrame([q[:2] for q in _QUESTIONS], "question_id int, text string"), _ALIASES)
+def _aliases(spark, sf_dir):
+    """Nations as companies, and every one as a group of that name."""
+    name = F.initcap("n_name")
+    nations = table(spark, sf_dir, "nation").select(name.alias("symbol"), F.explode(F.array(F.lit(""), F.lit(" Holdings"))).alias("_more"))
+    return nations.select(F.concat("symbol", "_more").alias("symbol"), F.concat(F.lower("symbol"), "_more").alias("alias"))
 
 
-@query(values_sql([(i, s, m, p, k, r) for i, _, s, m, p, k, r in _QUESTIONS], "question_id, symbols, metrics, periods, intent, route").replace("SELECT *", "SELECT *"))
+def _understood(spark, sf_dir):
+    asked = planted.cases(spark, sf_dir, [q[:1] for q in _QUESTIONS], "text string").withColumnRenamed("id", "question_id")
+    return ops.understand(asked, _aliases(spark, sf_dir))
+
+
+@query(planted.cases_sql([q[1:] for q in _QUESTIONS], "symbols, metrics, periods, intent, route", "id AS question_id, * EXCLUDE (id)"))
 def understood_questions(spark, sf_dir):
-    """Q-01, Q-02, Q-05, T-18, T-25, D-14, X-09: what a question names, in which order, and what it asks for; all seventeen intents."""
+    """Q-01, Q-02, Q-05, T-18, T-25, D-14, X-09: what the question of each order names, in which order, and what it asks for; all seventeen intents."""
     listed = {c: F.array_join(c, ",").alias(c) for c in ("symbols", "metrics", "periods")}
-    return _understood(spark).select("question_id", *listed.values(), "intent", "route")
+    return _understood(spark, sf_dir).select("question_id", *listed.values(), "intent", "route")
+
 
+_WANTED = ["net_profit", "revenue_from_operations,total_borrowings,net_profit", "net_interest_margin", None, None, None, "return_on_equity", None, None, None, "revenue_from_operations", "dividend_per_share", "revenue_from_operations", None, None, None, None, None]
 
-@query(values_sql([(1, "net_profit"), (2, "revenue_from_operations,total_borrowings,net_profit"), (8, "revenue_from_operations,net_profit"), (14, "net_interest_income,net_profit")], "question_id, wanted"))
+
+@query(planted.cases_sql([(w, w is None) for w in _WANTED], "named, main", "id AS question_id, CASE WHEN NOT main THEN named WHEN id % 2 = 0 THEN 'net_interest_income,net_profit' ELSE 'revenue_from_operations,net_profit' END AS wanted"))
 def measures_of_questions(spark, sf_dir):
     """Q-06: metrics to look up for a question, those named or the main ones of its kind of company."""
-    wanted = ops.measures_for(F.col("metrics"), F.array_contains("symbols", "BETA"), F.col("intent") == "comparison")
-    return _understood(spark).where(F.col("question_id").isin(1, 2, 8, 14)).select("question_id", F.array_join(wanted, ",").alias("wanted"))
+    wanted = ops.measures_for(F.col("metrics"), F.col("question_id") % 2 == 0, F.col("intent") == "comparison")
+    return _understood(spark, sf_dir).select("question_id", F.array_join(wanted, ",").alias("wanted"))
 
 
-@query(values_sql([(q, p, f"For {c}") for q in (7,) for p, c in enumerate(("Acme", "Beta"))], "question_id, place, choice"))
+@query(f"SELECT o_orderkey AS question_id, place, 'For ' || company AS choice FROM orders JOIN customer ON o_custkey = c_custkey, (VALUES (0, 'Acme'), (1, 'Beta')) v(place, company) WHERE o_orderkey % {len(_QUESTIONS)} = 6")
 def clarifying_choices(spark, sf_dir):
     """Q-22: a choice for each company where a question names none."""
-    return ops.clarify(_understood(spark), ["Acme", "Beta"]).select("question_id", "place", "choice")
+    return ops.clarify(_understood(spark, sf_dir), ["Acme", "Beta"]).select("question_id", "place", "choice")
+
+
+@query("""WITH u AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k FROM conversations WHERE role = 'user')
+SELECT conv_id, turn, 'Nation_' || ((conv_id + 5 * (k // 3)) % 25) AS symbols, CASE k % 3 WHEN 0 THEN CASE WHEN (k // 3) % 2 = 0 THEN 'net_profit' ELSE '' END WHEN 1 THEN CASE WHEN (k // 3) % 2 = 0 THEN 'net_profit' ELSE '' END ELSE 'total_borrowings' END AS metrics,
+  CASE k % 3 WHEN 0 THEN '' ELSE 'FY' || (2000 + conv_id % 20) END AS periods FROM u""")
+def questions_with_history(spark, sf_dir):
+    """Q-01, W-19, D-14: user turns as questions and follow-ups: company, measure and period of the topic are carried to the turns that leave them out; a new company begins a new topic."""
+    turns = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn")
+    k = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
+    topic = F.floor(F.col("k") / 3)
+    company = F.concat(F.lit("Nation_"), ((F.col("conv_id") + 5 * topic) % 25).cast("string"))
+    year = F.concat(F.lit(" in FY"), (2000 + F.col("conv_id") % 20).cast("string"))
+    text = F.when(F.col("k") % 3 == 0, F.concat(F.when(topic % 2 == 0, "What was the net profit of ").otherwise("Tell me about "), company, F.lit("?"))).when(F.col("k") % 3 == 1, F.concat(F.lit("And how was it"), year, F.lit("?"))).otherwise(F.lit("And its debt?"))
+    rows = turns.withColumn("k", k).withColumn("text", text).withColumn("row", F.struct("conv_id", "turn"))
+    read = ops.with_metrics(names.with_symbols(rows, _aliases(spark, sf_dir), "row"), "text").withColumn("periods", ops.periods_in(F.col("text")))
+    carried = ops.carry_context(read)
+    return carried.select("conv_id", "turn", *[F.array_join(f"asked_{c}", ",").alias(c) for c in ("symbols", "metrics", "periods")])
+
+
+@query("""SELECT id, place, symbol FROM (SELECT o_orderkey AS id, a.c_custkey AS a, b.c_custkey AS b, o_orderkey % 4 AS v FROM orders JOIN customer a ON o_custkey = a.c_custkey JOIN customer b ON b.c_custkey = o_custkey // 2),
+LATERAL (SELECT unnest([1, 2]) AS place, unnest([CASE WHEN v = 0 THEN a WHEN v = 1 THEN CASE WHEN a % 3 = 0 THEN -a - 1 ELSE a END WHEN v = 2 THEN b ELSE CASE WHEN b % 3 = 0 THEN -b - 1 ELSE b END END, CASE WHEN v IN (0, 1) THEN b END]) AS symbol) WHERE symbol IS NOT NULL""")
+def names_in_texts(spark, sf_dir):
+    """T-25, X-09, J-15, T-16: thousands of names (customers, and groups called after them) found in texts by an index of their words; the longest at each place counts."""
+    customers, orders = table(spark, sf_dir, "customer").select("c_custkey", "c_name"), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    named = lambda n: customers.select(F.col("c_custkey").alias(f"{n}_key"), F.col("c_name").alias(n))
+    rows = orders.join(named("a"), F.col("o_custkey") == F.col("a_key")).join(named("b"), F.floor(F.col("o_custkey") / 2) == F.col("b_key"))
+    v = F.col("o_orderkey") % 4
+    text = (
+        F.when(v == 0, F.concat(F.lit("Sales of "), "a", F.lit(" rose, "), F.upper("b"), F.lit(" fell.")))
+        .when(v == 1, F.concat("a", F.lit(" Holdings and "), "b"))
+        .when(v == 2, F.concat(F.lit("x"), "a", F.lit(" holdings; "), F.lower("b"), F.lit(" Holding")))
+        .otherwise(F.concat("a", F.lit("Holdings "), "b", F.lit(" holdings holdings")))
+    )
+    group = customers.where("c_custkey % 3 = 0").select(F.concat("c_name", F.lit(" Holdings")).alias("alias"), (-F.col("c_custkey") - 1).alias("symbol"))
+    aliases = customers.select(F.col("c_name").alias("alias"), F.col("c_custkey").alias("symbol")).unionByName(group)
+    return names.mentions(rows.select(F.col("o_orderkey").alias("id"), text.alias("text")), aliases, "id").select("id", "place", "symbol")
 
 
 _PERIODS = [
-    ("Q3 FY26", "Q3FY2026"), ("3QFY2026", "Q3FY2026"), ("FY2025", "FY2025"), ("FY 2024-25", "FY2025"), ("2025-26", "FY2026"), ("fiscal 2024", "FY2024"), ("quarter ended December 2025", "Q3FY2026"),
-    ("quarter ended 31 March 2026", "Q4FY2026"), ("year ended 31 March 2026", "FY2026"), ("H1 FY26", None), ("nine months FY26", None), ("Q4", "Q4FY2026"), ("Q1", "Q1FY2027"), ("no period", None),
+    ("Q3 FY{z}", "Q3FY{y}"), ("3QFY{y}", "Q3FY{y}"), ("FY{y}", "FY{y}"), ("FY {p}-{z}", "FY{y}"), ("{p}-{z}", "FY{y}"), ("fiscal {y}", "FY{y}"), ("quarter ended December {p}", "Q3FY{y}"),
+    ("quarter ended 31 March {y}", "Q4FY{y}"), ("year ended 31 March {y}", "FY{y}"), ("H1 FY{z}", None), ("nine months FY{z}", None), ("Q4", "Q4FY{y}"), ("Q1", "Q1FY{y}"), ("no period", None),
 ]
 
 
-@query(values_sql(_PERIODS, "text, period"))
+@query(planted.cases_sql([(p,) for _, p in _PERIODS], "period", "id, period"))
 def free_text_periods(spark, sf_dir):
-    """D-02: periods in words; a quarter alone is read with the document's month, July 2026."""
-    rows = spark.createDataFrame([(x,) for x, _ in _PERIODS], "text string")
-    return rows.withColumn("period", ops.parse_period(F.col("text"), F.to_date(F.lit("2026-07-01"))))
+    """D-02: periods in words; a quarter alone is read with the document's month, in which the year's first quarter is over or the year before it."""
+    made = planted.cases(spark, sf_dir, [(x,) for x, _ in _PERIODS], "text string").join(planted.rows(spark, sf_dir).select("id", F.col("{y}").cast("int").alias("_y")), "id")
+    return made.select("id", ops.parse_period(F.col("text"), F.make_date(F.when(F.col("text") == "Q1", F.col("_y") - 1).otherwise(F.col("_y")), F.lit(7), F.lit(1))).alias("period"))
 
 
-_DATED = [("transcript", "Jul 2026", "on 5 June 2026", "2026-07-01", "label"), ("announcement", "Jul 2026", "held on 5 June 2026 at noon", "2026-06-05", "text"), ("announcement", "x", "2026-05-04 board", "2026-05-04", "text"), ("presentation", "soon", "no date", "2026-09-01", "fetched")]
+_DATED = [("transcript", "{e} {y}", "on 9 June 2011", "label"), ("announcement", "{e} {y}", "held on 5 {e} {y} at noon", "text"), ("announcement", "x", "{d} board", "text"), ("presentation", "soon", "no date", "fetched")]
 
 
-@query(values_sql([(k, x, d, s) for k, _, x, d, s in _DATED], "kind, text, day, origin").replace("SELECT *", "SELECT kind, text, day::DATE AS day, origin"))
+@query(planted.cases_sql([(o, "{d}") for *_, o in _DATED], "origin, day", "id, CASE origin WHEN 'label' THEN date_trunc('month', day::DATE)::DATE WHEN 'text' THEN day::DATE ELSE DATE '2060-09-01' END AS day, origin"))
 def event_dates(spark, sf_dir):
-    """D-06: the day of an event with its origin."""
-    rows = spark.createDataFrame([r[:3] for r in _DATED], "kind string, label string, text string")
-    day, origin = ops.event_date(F.col("kind"), F.col("label"), F.col("text"), F.to_date(F.lit("2026-09-01")))
-    return rows.select("kind", "text", day.alias("day"), origin.alias("origin"))
+    """D-06: the day of an event with its origin: the month on its label, a date in its text in words or digits, the day of fetching."""
+    rows = planted.cases(spark, sf_dir, [r[:3] for r in _DATED], "kind string, label string, text string")
+    day, origin = ops.event_date(F.col("kind"), F.col("label"), F.col("text"), F.to_date(F.lit("2060-09-01")))
+    return rows.select("id", day.alias("day"), origin.alias("origin"))
 
 
 _MESSAGES = [
-    (1, "I am a conservative investor. I like growth and dividends, for years!"), (2, "Is growth good?"), (3, "I'm not aggressive. I want to avoid debt."), (4, "Tell me about my risk."), (5, "He said \"I like momentum\"; growth is fine."),
-    (6, "I am aggressive but my wife is cautious. I don't mind debt. Actually I am balanced."), (7, "My style is low-risk and I like stable trading"),
-]
-_TOLD = [
-    (1, "risk_preference", "conservative"), (1, "investment_style", "income,growth"), (1, "other_preferences", "long_term"), (3, "debt_preference", "avoid_high_debt"),
-    (6, "risk_preference", "moderate"), (6, "debt_preference", "debt_ok"), (7, "risk_preference", "conservative"), (7, "other_preferences", "short_term,stability"),
-]
+    ("I am a conservative investor. I like growth and dividends of {a}, for years!", [("risk_preference", "conservative"), ("investment_style", "income,growth"), ("other_preferences", "long_term")]),
+    ("Is growth of {a} good?", []),
+    ("I'm not aggressive. I want to avoid debt.", [("debt_preference", "avoid_high_debt")]),
+    ("Tell me about my risk in {a}.", []),
+    ('He said "I like momentum"; growth of {b} is fine.', []),
+    ("I am aggressive but my wife is cautious. I don't mind debt. Actually I am balanced since {y}.", [("risk_preference", "moderate"), ("debt_preference", "debt_ok")]),
+    ("My style is low-risk and I like stable trading", [("risk_preference", "conservative"), ("other_preferences", "short_term,stability")]),
+    ("I avoid highly leveraged companies such as {b}", [("debt_preference", "avoid_high_debt")]),
+]
+_TOLD = [(i, f, v) for i, (_, told) in enumerate(_MESSAGES) for f, v in told]
 
 
-def _preferences(spark):
-    return ops.extract_preferences(spark.createDataFrame(_MESSAGES, "message_id int, text string"))
+def _preferences(spark, sf_dir):
+    return ops.extract_preferences(planted.cases(spark, sf_dir, [m[:1] for m in _MESSAGES], "text string").withColumnRenamed("id", "message_id"))
 
 
-@query(values_sql(_TOLD, "message_id, field, vals"))
+@query(planted.cases_sql(_TOLD, "field, vals", "id AS message_id, field, vals", len(_MESSAGES)))
 def stated_preferences(spark, sf_dir):
     """Q-03, T-13, T-14, T-15, O-09: preferences in the first person, negations and quotes taken out, the last sentence of a field counts."""
-    return _preferences(spark).select("message_id", "field", F.array_join("values", ",").alias("vals"))
+    return _preferences(spark, sf_dir).select("message_id", "field", F.array_join("values", ",").alias("vals"))
 
 
-@query(values_sql([("debt_preference", "debt_ok"), ("investment_style", "quality"), ("risk_preference", "moderate")], "field, vals"))
+@query(f"WITH told AS ({planted.cases_sql(_TOLD, 'field, vals', 'id AS user_id, field, vals', len(_MESSAGES))}) SELECT * FROM told UNION ALL SELECT o_orderkey, field, vals FROM orders JOIN customer ON o_custkey = c_custkey, (VALUES ('risk_preference', 'aggressive'), ('investment_style', 'quality')) s(field, vals) WHERE NOT EXISTS (SELECT 1 FROM told WHERE told.user_id = o_orderkey AND told.field = s.field)")
 def merged_profile(spark, sf_dir):
     """Q-04, K-03: what is told replaces the stored value of its field."""
-    stored = spark.createDataFrame([(1, "risk_preference", ["aggressive"], "a"), (1, "investment_style", ["quality"], "b")], "user_id int, field string, values array<string>, quote string")
-    told = _preferences(spark).where("message_id = 6").select(F.lit(1).alias("user_id"), "field", "values", "quote")
-    return ops.merge_profile(stored, told).select("field", F.array_join("values", ",").alias("vals"))
+    stored = planted.cases(spark, sf_dir, [("risk_preference", "aggressive"), ("investment_style", "quality")], "field string, v string", whole=True).select(F.col("id").alias("user_id"), "field", F.array("v").alias("values"), F.lit("a").alias("quote"))
+    told = _preferences(spark, sf_dir).select(F.col("message_id").alias("user_id"), "field", "values", "quote")
+    return ops.merge_profile(stored, told).select("user_id", "field", F.array_join("values", ",").alias("vals"))
+
+
+_SUMMARIES = [
+    'conservative ("I am a conservative investor.") | income, growth; long_term ("I like growth and dividends of {a}, for years!")', None, 'avoid_high_debt ("I want to avoid debt.")', None, None,
+    'moderate ("Actually I am balanced since {y}.") | debt_ok ("I don\'t mind debt.")', 'conservative; short_term, stability ("My style is low-risk and I like stable trading")', 'avoid_high_debt ("I avoid highly leveraged companies such as {b}")',
+]
 
 
-@query(values_sql([(1, 'conservative ("I am a conservative investor.") | income, growth; long_term ("I like growth and dividends, for years!")')], "user_id, summary"))
+@query(planted.cases_sql([(x,) for x in _SUMMARIES], "summary", "id AS user_id, summary") + " WHERE summary IS NOT NULL")
 def profile_summaries(spark, sf_dir):
     """Q-21: fields grouped by the sentence that gave them, in the vocabulary's order."""
-    return ops.profile_summary(_preferences(spark).where("message_id = 1").withColumnRenamed("message_id", "user_id"))
+    return ops.profile_summary(_preferences(spark, sf_dir).withColumnRenamed("message_id", "user_id"))
 
 
 @query("""SELECT conv_id, 'Conversation:' || chr(10) || string_agg(role || ': ' || left(text, 50), chr(10) ORDER BY turn) || chr(10) || chr(10) || 'Question:' || chr(10) || 'q' AS message
@@ -133,21 +191,21 @@ def replayed_sources(spark, sf_dir):
 
 
 _FORMS = [
-    ('{"outcome": "answered", "claims": [{"text": "a", "citations": ["F1"]}, {"text": null}, {"text": "", "citations": []}, {"text": "b"}]}', "answered", "a,b"),
-    ('{"outcome": "sure", "claims": []}', "not_in_data", ""), ("no form", "not_in_data", ""), ('{"claims": {"text": "c"}}', "not_in_data", ""),
-    ('{"outcome": "partial", "claims": [' + ", ".join(f'{{"text": "c{i}"}}' for i in range(12)) + "]}", "partial", ",".join(f"c{i}" for i in range(8))),
+    ('{"outcome": "answered", "claims": [{"text": "{a}", "citations": ["F1"]}, {"text": null}, {"text": "", "citations": []}, {"text": "{n}"}]}', "answered", "{a},{n}"),
+    ('{"outcome": "sure", "claims": []}', "not_in_data", ""), ("no form of {a}", "not_in_data", ""), ('{"claims": {"text": "{a}"}}', "not_in_data", ""),
+    ('{"outcome": "partial", "claims": [' + ", ".join(f'{{"text": "{{n}}.{i}"}}' for i in range(12)) + "]}", "partial", ",".join(f"{{n}}.{i}" for i in range(8))),
 ]
 
 
-@query(values_sql([(i, o, c) for i, (_, o, c) in enumerate(_FORMS)], "form, outcome, claims"))
+@query(planted.cases_sql([f[1:] for f in _FORMS], "outcome, claims", "id AS form, outcome, claims"))
 def parsed_forms(spark, sf_dir):
     """Q-25, N-02, N-08: forms read tolerantly: unknown outcomes, malformed claims and more than eight of them."""
     schema = "outcome string, claims array<struct<text:string,citations:array<string>>>"
-    rows = spark.createDataFrame([(i, x) for i, (x, _, _) in enumerate(_FORMS)], "form int, text string")
+    rows = planted.cases(spark, sf_dir, [f[:1] for f in _FORMS], "text string")
     claims = forms.parse_form(F.col("text"), schema, "claims", 8, lambda c: F.coalesce(c["text"], F.lit("")) != "")
     outcome = F.from_json("text", "outcome string")["outcome"]
     known = F.when(outcome.isin("answered", "partial", "not_in_data"), outcome).otherwise("not_in_data")
-    return rows.select("form", known.alias("outcome"), F.array_join(F.transform(claims, lambda c: c["text"]), ",").alias("claims"))
+    return rows.select(F.col("id").alias("form"), known.alias("outcome"), F.array_join(F.transform(claims, lambda c: c["text"]), ",").alias("claims"))
 
 
 @query("""SELECT conv_id, to_json({'conv_id': conv_id, 'roles': list_sort(list(DISTINCT role)), 'n': count(*)})::VARCHAR AS payload FROM conversations GROUP BY 1""")
@@ -157,15 +215,15 @@ def built_objects(spark, sf_dir):
     return found.select("conv_id", F.to_json(F.struct("conv_id", "roles", "n")).alias("payload"))
 
 
-_ARRAYS = [(1, ["growth"], True, True), (2, ["growth", "growth"], False, False), (3, ["x"], False, False), (4, [], False, False), (5, ["growth", "income"], False, True), (6, [None], False, False), (7, None, False, False)]
-
-
-@query(values_sql([(i, str(a).lower(), str(b).lower()) for i, _, a, b in _ARRAYS], "id, one, many").replace("SELECT *", "SELECT id, one::BOOLEAN AS one, many::BOOLEAN AS many"))
+@query("""WITH v AS (SELECT conv_id, list(role ORDER BY turn) AS v FROM conversations GROUP BY 1)
+SELECT conv_id, len(v) = 1 AND ok AS one, ok AS many FROM (SELECT conv_id, v, len(v) = len(list_distinct(v)) AND len(list_filter(v, lambda x: x NOT IN ('system', 'user', 'assistant'))) = 0 AND conv_id % 5 <> 0 AS ok FROM v)""")
 def array_rules(spark, sf_dir):
-    """N-03, N-05, X-04: arrays of known, distinct values, one or several."""
-    rows = spark.createDataFrame([r[:2] for r in _ARRAYS], "id int, v array<string>")
-    known = tuple(ops.CUES["investment_style"])
-    return rows.select("id", forms.valid_values(F.col("v"), known, True).alias("one"), forms.valid_values(F.col("v"), known, False).alias("many"))
+    """N-03, N-05, X-04: arrays of known, distinct values, one or several; every fifth holds a null."""
+    roles = F.transform(F.sort_array(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"])
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(roles.alias("v"))
+    v = F.when(F.col("conv_id") % 5 == 0, F.array_append("v", F.lit(None).cast("string"))).otherwise(F.col("v"))
+    known = ("system", "user", "assistant")
+    return rows.select("conv_id", forms.valid_values(v, known, True).alias("one"), forms.valid_values(v, known, False).alias("many"))
 
 
 @query("""SELECT source, CASE lang WHEN 'en' THEN 1 WHEN 'de' THEN 2 ELSE 3 END AS place, lang, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS ids FROM documents GROUP BY ALL""")
@@ -221,13 +279,13 @@ def bonus_scores(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(retrieval.bonus_score(F.lit(0.5), recent, profile), 9).alias("score"))
 
 
-_EVENTS = [(1, [1, 2], 2, "Net  profit “rose”", "x net profit \"rose\" by 5", None), (2, [1], 2, "a", "a", "page_outside_window"), (3, [1], 1, "not there", "a page", "quote_not_on_page"), (4, [1], 1, " ", "a", "bad_quote")]
+_EVENTS = [([1, 2], 2, "Net  profit of “{a}” rose", "x net profit of \"{a}\" rose by {n}", None), ([1], 2, "{a}", "{a}", "page_outside_window"), ([1], 1, "{a} fell", "a page of {b}", "quote_not_on_page"), ([1], 1, " ", "{a}", "bad_quote"), ([1], 1, "up {g}", "it is up {n} or ₹{g}", None), ([1], 1, "up {m}", "up {n}", "quote_not_on_page")]
 
 
-@query(values_sql([(e[0], e[5]) for e in _EVENTS], "id, code"))
+@query(planted.cases_sql([(e[-1],) for e in _EVENTS], "code", "id, CASE WHEN id % 6 = 4 THEN 'quote_not_on_page' ELSE code END AS code"))
 def accepted_events(spark, sf_dir):
-    """C-12: an event is accepted if its page was shown and holds its quote."""
+    """C-12: an event is accepted if its page was shown and holds its quote, number for number."""
     from lodestone.operators.documents import validate_events
 
-    rows = spark.createDataFrame([e[:5] for e in _EVENTS], "id int, pages array<int>, page int, quote string, page_text string")
+    rows = planted.cases(spark, sf_dir, [e[:4] for e in _EVENTS], "pages array<int>, page int, quote string, page_text string")
     return validate_events(rows).select("id", "code")

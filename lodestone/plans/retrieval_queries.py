@@ -91,10 +91,15 @@ def excerpts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", ops.excerpt(F.col("text")).alias("excerpt"))
 
 
-@query("""SELECT label, filing, CASE WHEN date_diff('day', filing, DATE '2026-09-27') <= 365 THEN 1.0::DOUBLE WHEN date_diff('day', filing, DATE '2026-09-27') <= 730 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS recency
-FROM (VALUES ('Jul 2026', DATE '2026-07-01'), ('Annual Report 2025', DATE '2025-06-30'), ('Aug 2024', DATE '2024-08-01'), ('no date', NULL), ('Xyz 2025', DATE '2025-06-30')) v(label, filing)""")
+_FILED = "CASE o_orderkey % 4 WHEN 0 THEN date_trunc('month', o_orderdate)::DATE + INTERVAL 25 YEAR WHEN 1 THEN make_date(year(o_orderdate) + 25, 6, 30) WHEN 3 THEN make_date(year(o_orderdate) + 25, 6, 30) END::DATE"
+
+
+@query(f"""SELECT o_orderkey, filing, CASE WHEN date_diff('day', filing, DATE '2026-09-27') <= 365 THEN 1.0::DOUBLE WHEN date_diff('day', filing, DATE '2026-09-27') <= 730 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS recency
+FROM (SELECT o_orderkey, {_FILED} AS filing FROM orders)""")
 def filing_recency(spark, sf_dir):
-    """D-04, D-05: dates of free-text periods; the expected days are given."""
-    rows = spark.createDataFrame([(x,) for x in ("Jul 2026", "Annual Report 2025", "Aug 2024", "no date", "Xyz 2025")], "label string")
-    dated = rows.withColumn("filing", filing_date(F.col("label")))
+    """D-04, D-05: dates of free-text periods of orders, 25 years on: a month with its year, a year alone, no date, a year after what is no month."""
+    day, k = F.add_months(F.to_date("o_orderdate"), 300), F.col("o_orderkey") % 4
+    year = F.year(day).cast("string")
+    label = F.when(k == 0, F.date_format(day, "MMM yyyy")).when(k == 1, F.concat(F.lit("Annual Report "), year)).when(k == 2, "no date").otherwise(F.concat(F.lit("Xyz "), year))
+    dated = table(spark, sf_dir, "orders").select("o_orderkey", filing_date(label).alias("filing"))
     return dated.withColumn("recency", recency(F.col("filing"), F.to_date(F.lit("2026-09-27"))))

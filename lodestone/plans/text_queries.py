@@ -1,4 +1,4 @@
-"""Queries over text functions, on driver texts and on seeded strings."""
+"""Queries over text functions, on given texts and on figures written in many forms."""
 
 from __future__ import annotations
 
@@ -9,31 +9,41 @@ from lodestone.plans.registry import query
 from lodestone.session import table
 
 
-def _values(rows: list[tuple], names: str) -> str:
-    def show(x):
-        return "NULL" if x is None else f"'{x.replace(chr(39), chr(39) * 2)}'" if isinstance(x, str) else str(x)
+#: An order's price in cents, and times ten thousand, in SQL; whole digits with commas by thousands, and by lakhs and crores.
+_PRICE = "round(o_totalprice, 2)::DECIMAL(20,2)"
 
-    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(show, r)) + ")" for r in rows) + f") v({names})"
 
+def grouped_sql(value: str) -> str:
+    """A positive decimal of two places with Indian grouping, put together from its groups."""
+    whole, last = f"floor({value})::BIGINT", "lpad(({w} % 1000)::VARCHAR, 3, '0')"
+    pair = lambda d: f"lpad((({{w}} // {d}) % 100)::VARCHAR, 2, '0')"
+    out = f"""CASE WHEN {{w}} < 1000 THEN {{w}}::VARCHAR WHEN {{w}} < 100000 THEN ({{w}} // 1000)::VARCHAR || ',' || {last}
+  WHEN {{w}} < 10000000 THEN ({{w}} // 100000)::VARCHAR || ',' || {pair(1000)} || ',' || {last}
+  WHEN {{w}} < 1000000000 THEN ({{w}} // 10000000)::VARCHAR || ',' || {pair(100000)} || ',' || {pair(1000)} || ',' || {last}
+  ELSE ({{w}} // 1000000000)::VARCHAR || ',' || {pair(10000000)} || ',' || {pair(100000)} || ',' || {pair(1000)} || ',' || {last} END"""
+    return "(" + out.replace("{w}", f"({whole})") + f" || '.' || lpad((({value} * 100)::BIGINT % 100)::VARCHAR, 2, '0'))"
 
-NUMBERS = [("4,12,345", 412345.0), ("(2,353)", -2353.0), ("12.5%", 12.5), ("US$ 1.8", 1.8), ("10/-", 10.0), ("H 2,45,678.9", 245678.9), ("n.a.", None), ("1 2", None)]
 
-
-@query(_values(NUMBERS, "text, value").replace("SELECT *", "SELECT text, value::DOUBLE AS value"))
+@query(f"SELECT o_orderkey, CASE o_orderkey % 8 WHEN 1 THEN -p WHEN 6 THEN NULL WHEN 7 THEN NULL ELSE p END::DOUBLE AS value FROM (SELECT o_orderkey, {_PRICE} AS p FROM orders)")
 def printed_numbers(spark, sf_dir):
-    """T-02: one printed number; the expected values are given."""
-    rows = spark.createDataFrame([(x,) for x, _ in NUMBERS], "text string")
-    return rows.withColumn("value", t.parse_number(F.col("text")).cast("double"))
-
+    """T-02: each order's price in eight printed forms, read back."""
+    price = F.round("o_totalprice", 2).cast("decimal(20,2)")
+    indian = t.indian_grouping(price, 2)
+    forms = [indian, F.concat(F.lit("("), indian, F.lit(")")), F.concat(price.cast("string"), F.lit("%")), F.concat(F.lit("US$ "), F.format_number(price, 2)), F.concat(price.cast("string"), F.lit("/-")), F.concat(F.lit("₹ "), indian), F.lit("n.a."), F.concat(price.cast("string"), F.lit(" 2"))]
+    text = F.get(F.array(*forms), (F.col("o_orderkey") % 8).cast("int"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", t.parse_number(text).cast("double").alias("value"))
 
-AMOUNTS = [("12345678.5", "INR_CRORE", "₹1,23,45,678.50 crore"), ("999", "INR_PER_SHARE", "₹999.00 per share"), ("1234567.8", "USD_MILLION", "US$1,234,567.80 million"), ("12.50", "PERCENT", "12.5%"), ("-1234", "INR_CRORE", "₹-1,234.00 crore")]
 
-
-@query(_values([(u, s) for _, u, s in AMOUNTS], "unit, shown"))
+@query(f"""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN '₹' || {grouped_sql('v')} || ' crore' WHEN 1 THEN '₹' || {grouped_sql('p')} || ' per share' WHEN 2 THEN 'US$' || format('{{:,.2f}}', v::DOUBLE) || ' million'
+  WHEN 3 THEN regexp_replace(p::VARCHAR, '\\.?0+$', '') || '%' ELSE '₹-' || {grouped_sql('v')} || ' crore' END AS shown FROM (SELECT o_orderkey, {_PRICE} AS p, (floor(o_totalprice) * (CASE WHEN o_orderkey % 3 = 0 THEN 10000 ELSE 1 END))::DECIMAL(20,2) AS v FROM orders)""")
 def formatted_amounts(spark, sf_dir):
-    """M-04, M-05, M-10: amounts with their units; the expected texts are given. The sign follows the currency."""
-    rows = spark.createDataFrame([(v, u) for v, u, _ in AMOUNTS], "v string, unit string")
-    return rows.select("unit", t.format_amount(F.col("v").cast("decimal(20,2)"), F.col("unit")).alias("shown"))
+    """M-04, M-05: prices as amounts with their units; the sign follows the currency."""
+    k = F.col("o_orderkey")
+    price = F.round("o_totalprice", 2).cast("decimal(20,2)")
+    whole = (F.floor("o_totalprice") * F.when(k % 3 == 0, 10000).otherwise(1)).cast("decimal(20,2)")
+    unit = F.get(F.array(*map(F.lit, ["INR_CRORE", "INR_PER_SHARE", "USD_MILLION", "PERCENT", "INR_CRORE"])), (k % 5).cast("int"))
+    value = F.when(k % 5 == 4, -whole).when((k % 5).isin(1, 3), price).otherwise(whole).cast("decimal(20,2)")
+    return table(spark, sf_dir, "orders").select("o_orderkey", t.format_amount(value, unit).alias("shown"))
 
 
 @query("""SELECT page_id, CASE WHEN regexp_matches(url, '^https?://') THEN 'https://' || lower(regexp_extract(url, '^[^:/]+://([^/?#:]*)', 1)) || regexp_extract(url, '^[^:/]+://[^/?#]*([^?#]*)', 1)
@@ -64,38 +74,41 @@ def figure_pieces(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.char_length(joined).cast("long").alias("n"), F.sha2(joined, 256).alias("h"))
 
 
-LABELS = [("Revenue from Operations 1,234", "Revenue from Operations"), ("PAT at H 95,754", "PAT"), ("Net profit stood at Rs. 12", "Net profit"), ("1,234", None), ("Total Equity : (12)", "Total Equity")]
-
-
-@query(_values(LABELS, "quote, label"))
+@query("SELECT p_partkey, CASE WHEN p_partkey % 6 = 4 THEN NULL ELSE p_name END AS label FROM part")
 def reported_labels(spark, sf_dir):
-    """T-04: a source's own name of a figure; the expected labels are given."""
-    return spark.createDataFrame([(q,) for q, _ in LABELS], "quote string").withColumn("label", t.reported_label(F.col("quote")))
+    """T-04: a source's own name of a figure: a part's name before its price, in six wordings."""
+    n, price = F.col("p_name"), F.format_number("p_retailprice", 2)
+    quotes = [F.concat(n, F.lit(" "), price), F.concat(n, F.lit(" at H "), price), F.concat(n, F.lit(" stood at Rs. "), price), F.concat(n, F.lit(" : ("), price, F.lit(")")), price, F.concat(n, F.lit(" was ₹"), price, F.lit(" after 5"))]
+    return table(spark, sf_dir, "part").select("p_partkey", t.reported_label(F.get(F.array(*quotes), (F.col("p_partkey") % 6).cast("int"))).alias("label"))
 
 
-STRINGS = [
-    ("Profit rose [F1, D2] by 5%.", "Profit rose by 5%.", "markers"),
-    ("a </document> b", "a &lt;/document> b", "block"),
-    ("<p>Fish &amp; <b>chips</b></p>", "Fish & chips", "markup"),
-    ("borrow-\nings  at  “par”", 'borrowings at "par"', "normal"),
-    ("word " * 10, "word word", "cut"),
-    ("abcdefghij", "abcdefg…", "hard"),
-]
+_RUNS = "[ \\t\\n\\x0b\\f\\r]+"
 
 
-@query(_values([(s, e, k) for s, e, k in STRINGS], "text, result, kind"))
+@query(f"""WITH c AS (SELECT conv_id, turn, text, trim(regexp_replace(text, '{_RUNS}', ' ', 'g')) AS flat FROM conversations)
+SELECT conv_id, turn, sha256(flat) AS markers, sha256(text || ' &lt;/document> &lt; Document') AS block, sha256(lower(flat)) AS normal,
+  CASE WHEN length(text) <= 60 THEN text ELSE rtrim(CASE WHEN regexp_matches(substr(text, 61, 1), '^[ \\t\\n\\x0b\\f\\r]') OR NOT contains(substr(text, 2, 59), ' ') THEN left(text, 60) ELSE regexp_replace(left(text, 60), ' [^ ]*$', '') END, ' ') END AS cut,
+  CASE WHEN length(text) <= 30 THEN text ELSE rtrim(left(text, 29), ' ') || '…' END AS hard FROM c""")
 def text_cleaning(spark, sf_dir):
-    """T-01, T-06 to T-08, T-23, T-24: cleaning functions; the expected texts are given."""
-    x, kind = F.col("text"), F.col("kind")
-    result = (
-        F.when(kind == "markers", t.without_markers(x))
-        .when(kind == "block", t.protect_block(x))
-        .when(kind == "markup", t.strip_markup(x))
-        .when(kind == "normal", t.normalise(x))
-        .when(kind == "cut", t.cut_at_word(x, 11))
-        .when(kind == "hard", t.cut_hard(x, 8))
+    """T-01, T-06, T-07, T-23, T-24: messages with markers, closing tags, broken words and typographic marks put in, and cleaned of them."""
+    x = F.col("text")
+    marked = F.concat(F.regexp_replace(x, "([.,])", " [F1, D2]$1"), F.lit(" [N3]"))
+    broken = F.replace(F.replace(x, F.lit("th"), F.lit("t-\nh")), F.lit("en"), F.lit("e\u00adn"))
+    return table(spark, sf_dir, "conversations").select(
+        "conv_id",
+        "turn",
+        F.sha2(t.without_markers(marked), 256).alias("markers"),
+        F.sha2(t.protect_block(F.concat(x, F.lit(" </document> < Document"))), 256).alias("block"),
+        F.sha2(t.normalise(broken), 256).alias("normal"),
+        t.cut_at_word(x, 60).alias("cut"),
+        t.cut_hard(x, 30).alias("hard"),
     )
-    return spark.createDataFrame([(s, k) for s, _, k in STRINGS], "text string, kind string").withColumn("result", result)
+
+
+@query(f"""SELECT page_id, sha256(trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&apos;', chr(39)), '&nbsp;', ' '), '&amp;', '&'), '{_RUNS}', ' ', 'g'))) AS text FROM pages""")
+def stripped_pages(spark, sf_dir):
+    """T-08: pages without tags, entities decoded, single spaces."""
+    return table(spark, sf_dir, "pages").select("page_id", F.sha2(t.strip_markup(F.col("html")), 256).alias("text"))
 
 
 @query("""SELECT doc_id, CASE WHEN regexp_matches(text, '^The ') THEN 'annual' WHEN regexp_matches(text, '^[A-M]') THEN 'early' ELSE 'late' END AS kind, nullif(regexp_extract(text, '([0-9]{4})', 1), '') AS year FROM documents""")

@@ -98,11 +98,15 @@ def india_day(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", p.india_date(F.col("ts").cast("timestamp")).alias("day"), p.backoff_seconds(F.col("event_id") % 9 + 1).alias("wait"))
 
 
-@query("""SELECT text, moment FROM (VALUES ('Tue, 15 Sep 2026 10:30:00 +0530', 1789448400::BIGINT), ('15 Sep 2026 05:00:00 +0000', 1789448400), ('not a date', NULL)) v(text, moment)""")
+@query("SELECT event_id, CASE WHEN event_id % 5 <> 4 THEN epoch(date_trunc('second', ts))::BIGINT END AS moment FROM events")
 def feed_dates(spark, sf_dir):
-    """D-11: feed dates with offsets; the expected moments are given."""
-    rows = spark.createDataFrame([("Tue, 15 Sep 2026 10:30:00 +0530",), ("15 Sep 2026 05:00:00 +0000",), ("not a date",)], "text string")
-    return rows.withColumn("moment", F.unix_timestamp(p.rfc822_timestamp(F.col("text"))))
+    """D-11: moments of events as feeds print them, with and without weekday, in three zones, read back; some are no dates."""
+    zones = F.get(F.array(F.lit("+0530"), F.lit("+0000"), F.lit("-0330")), (F.col("event_id") % 3).cast("int"))
+    minutes = F.get(F.array(F.lit(330), F.lit(0), F.lit(-210)), (F.col("event_id") % 3).cast("int"))
+    local = F.timestamp_seconds(F.unix_timestamp(F.col("ts").cast("timestamp")) + minutes * 60)
+    day = F.when(F.col("event_id") % 2 == 0, F.concat(F.date_format(local, "E"), F.lit(", "))).otherwise("")
+    text = F.when(F.col("event_id") % 5 == 4, "not a date").otherwise(F.concat(day, F.date_format(local, "dd MMM yyyy HH:mm:ss"), F.lit(" "), zones))
+    return table(spark, sf_dir, "events").select("event_id", F.unix_timestamp(p.rfc822_timestamp(text)).alias("moment"))
 
 
 @query("""SELECT (SELECT max(o_orderdate)::DATE FROM orders WHERE o_orderstatus = 'F') AS last_filing, (SELECT max(ts)::DATE FROM events WHERE event_type = 'purchase') AS last_event,
