@@ -24,7 +24,9 @@ _TAG = re.compile(
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 #: Elements whose content is no text of the page.
 _SKIPPED = frozenset("script style noscript template textarea svg iframe title select object canvas math audio video button label".split())
-#: Those of them that stand in a line of text, which they part.
+#: Those of them whose content is no markup, so that it goes on to the end tag or, without one, the end of the page.
+_RAW = frozenset("script style textarea title iframe".split())
+#: Those that stand in a line of text, which they part.
 _CONTROLS = frozenset(("button", "label", "select", "textarea"))
 #: What hides an element: the attribute, which is looked for outside of quoted values, or a style.
 _QUOTED, _HIDDEN = re.compile(r"\"[^\"]*\"|'[^']*'"), re.compile(r"\shidden(?=[\s=/]|$)", re.I)
@@ -46,7 +48,11 @@ _MARKED = frozenset(
     "footer comment comments commentlist respond disqus cookie cookies consent gdpr notice banner popup modal overlay newsletter subscribe signup "
     "share sharing social related recommended widget pagination pager toolbar login search copyright complementary contentinfo dialog alert".split()
 )
+#: Words that say where or how a part stands and nothing of what it is.
+_NEUTRAL = frozenset("left right top bottom inner outer wrapper wrap container content box block list item items section area bar panel main primary secondary col column row group holder header heading title text body".split())
 _TOPS = frozenset(("header", "masthead"))
+#: A context whose words are inside, or outside, by so much more often than not is judged by that alone.
+SURE = 0.8
 #: Pages that the weights are learned from, at most about.
 LABELLED_PAGES = 2000
 
@@ -63,6 +69,7 @@ class Run:
     boilerplate: bool = False
     marks: tuple[int, ...] = ()
     names: frozenset[str] = frozenset()
+    structural: bool = False
 
 
 @dataclass
@@ -86,10 +93,33 @@ def _end_of(page: str, name: str, at: int) -> int | None:
     return None
 
 
+def _closes(page: str, name: str, at: int, parent: str) -> int | None:
+    """Where an element ends that was opened before at; None if nothing closes it before its parent ends."""
+    end = _end_of(page, name, at)
+    if end is None or not parent:
+        return end
+    above = _end_of(page, parent, at)
+    return end if above is None or end <= above else None
+
+
+def _is_listed(value: str, listed: frozenset[str]) -> bool:
+    """Whether one of the names in a class, id or role is made of listed words, and neutral ones beside."""
+    for name in value.strip("\"'").split():
+        parts = _words_of(name)
+        if any(w in listed for w in parts) and all(w in listed or w in _NEUTRAL for w in parts):
+            return True
+    return False
+
+
+def _words_of(name: str) -> list[str]:
+    return [w for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()) if w]
+
+
 def parse(page: str, listed: frozenset[str] = _MARKED) -> Page:
     """Runs of text and tags in page order. Unclosed elements, cut tags and stray ends are tolerated.
 
-    Hidden elements are left out. A container with a listed class word, or a form, is boilerplate unless it wraps the page's text: on a
+    Hidden elements are left out, and so is the content of media and controls; where nothing closes one before its parent ends,
+    only its tag goes. A container with a name of listed words, or a form, is boilerplate unless it wraps the page's text: on a
     page without an article or main part outside such containers, those that hold one, or more than half
     of the words, are not.
     """
@@ -106,7 +136,7 @@ def parse(page: str, listed: frozenset[str] = _MARKED) -> Page:
                 text = entities.unescape(text)
             name, label, boilerplate, top, article, marked, tops, names = stack[-1] if stack else none
             context = f"{label}|{leaf}{'>a' if link else ''}"
-            runs.append(Run(context, text, len(text.split()), block, article, boilerplate or top and leaf not in _HEADINGS, marked if leaf in _HEADINGS else marked + tops, names))
+            runs.append(Run(context, text, len(text.split()), block, article, boilerplate or top and leaf not in _HEADINGS, marked if leaf in _HEADINGS else marked + tops, names, boilerplate))
         elif text:
             runs.append(Run("", text, 0, block))
         if not found:
@@ -119,9 +149,11 @@ def parse(page: str, listed: frozenset[str] = _MARKED) -> Page:
         ends = bool(found["end"] or found["end2"])
         if name in _SKIPPED:
             closed = name in ("svg", "math") and (found["rest"] or found["rest2"] or "").endswith("/")
-            if not ends and not closed:
+            if name in _RAW and not ends:
                 close = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
                 at = close.end() if close else at if name in _CONTROLS else len(page)
+            elif not ends and not closed:
+                at = _closes(page, name, at, stack[-1][0] if stack else "") or at
             if name in _CONTROLS:
                 runs.append(Run("", " ", 0, block))
             continue
@@ -151,7 +183,8 @@ def parse(page: str, listed: frozenset[str] = _MARKED) -> Page:
         else:
             if name in ("li", "dd", "dt", "td", "th", "tr") and stack and stack[-1][0] == name:
                 stack.pop()
-            marks = [w for value in _NAMES.findall(rest) for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower()) if w]
+            values = _NAMES.findall(rest)
+            marks = [w for value in values for w in _words_of(value)]
             up = stack[-1] if stack else none
             article = up[4] or name in _ARTICLES
             out.labelled |= name in _ARTICLES
@@ -159,7 +192,7 @@ def parse(page: str, listed: frozenset[str] = _MARKED) -> Page:
             boilerplate = up[2] or name in _BOILERPLATE
             top = up[3] or name == "header"
             marked, tops = up[5], up[6]
-            if name in _WRAPPERS or not outer and not listed.isdisjoint(marks):
+            if name in _WRAPPERS or not outer and any(_is_listed(value, listed) for value in values):
                 n_marks, marked = n_marks + 1, (*marked, n_marks)
             elif not outer and name != "header" and not _TOPS.isdisjoint(marks):
                 n_marks, tops = n_marks + 1, (*tops, n_marks)
@@ -201,8 +234,15 @@ class Weights:
     word: float = 0.5
     tag: float = -0.5
 
+    def leaves_out(self, run: Run) -> bool:
+        """Whether a run is boilerplate: a menu, footer or aside always; else by its context where labelled pages are clear about it, and by its marks where not."""
+        weight = self.words.get(run.context)
+        if run.structural or weight is None or abs(weight) < SURE or not run.n_words:
+            return run.boilerplate
+        return weight < 0
+
     def of(self, run: Run) -> float:
-        if run.boilerplate:
+        if self.leaves_out(run):
             return 0.0 if run.inside else -float(run.n_words) if run.n_words else self.tags.get(run.context, self.tag) if run.context else 0.0
         if not run.n_words:
             return self.tags.get(run.context, self.tag) if run.context else 0.0
@@ -249,7 +289,7 @@ def main_text(page: str, weights: Weights) -> str:
     start, end = best_region([weights.of(r) for r in runs])
     blocks: dict[int, list[str]] = {}
     for run in runs[start:end]:
-        if run.text and not run.boilerplate:
+        if run.text and not weights.leaves_out(run):
             blocks.setdefault(run.block, []).append(run.text)
     joined = (" ".join("".join(parts).split()) for parts in blocks.values())
     return "\n\n".join(x for x in joined if x)

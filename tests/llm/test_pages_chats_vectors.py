@@ -65,6 +65,29 @@ def test_wrappers_do_not_hide_the_text():
     assert html_text.main_text(f"<article><p>{text}</p></article><div class=comments><article><p>{text} {text} x</p></article></div>", weights) == text
 
 
+def test_unclosed_elements_end_with_their_parent():
+    weights = html_text.Weights({}, {}, {})
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    for name in ("audio", "video", "object", "svg", "canvas", "noscript", "math", "button", "label", "select"):
+        for page in (f"<article><p>{a}</p><{name} x=y><p>{b}</p></article>", f"<article><{name}><p>{a}</p><p>{b}</p></article><div><{name}>no</{name}></div>", f"<article><p>{a}</p><{name}><source src=x>no</{name}><p>{b}</p></article>"):
+            assert html_text.main_text(f"<body>{page}<footer>f</footer></body>", weights) == f"{a}\n\n{b}"
+    assert html_text.main_text(f"<article><p>{a}</p><script>var x = '<p>{b}</p>'", weights) == a
+
+
+def test_words_of_a_class_hide_nothing_alone():
+    """Names in which a listed word stands beside one that says something else are no marks; learned weights overrule the list both ways."""
+    weights = html_text.Weights({}, {}, {})
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    for name in ("class='search-algorithm'", "id='notice-periods'", "class='social-history'", "class=adRevenueModel"):
+        assert html_text.main_text(f"<article><section {name}><p>{a}</p></section><p>{b}</p></article>", weights) == f"{a}\n\n{b}"
+    for name in ("class='cookie-notice'", "class='sidebar left'", "id=comment-list", "class='x ad-box'"):
+        assert html_text.main_text(f"<article><div {name}><p>{a}</p></div><p>{b}</p></article>", weights) == b
+    page = f"<article><div class=ad><p>{a}</p></div><p>{b}</p></article>"
+    for weight, text in ((-1.0, b), (1.0, f"{a}\n\n{b}"), (0.1, b)):
+        assert html_text.main_text(page, html_text.Weights({"div.ad|p": weight}, {}, {})) == text
+    assert html_text.main_text(page, html_text.Weights({"div.ad|p": 1.0, "article|p": -1.0}, {}, {})) == a  # turned around
+
+
 def test_hidden_parts_and_controls_are_no_text():
     weights = html_text.Weights({}, {}, {})
     text = " ".join(f"w{i}" for i in range(60))
