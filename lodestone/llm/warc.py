@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
@@ -20,8 +21,10 @@ END = "\r\n"
 #: Fixed values of the format: the revisit profile for identical payloads, and RFC 4648's base32 digits.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BASE32_HEX, BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-#: Archives hold payloads of one class of size, named by its bound in bytes, and so many records at most: 128 MB.
-SIZE_CLASSES = {"small": (1 << 16, 2000), "medium": (1 << 21, 64), "large": (None, 1)}
+#: Compressed bytes of records that one file holds at most, unless one record alone is larger.
+FILE_BYTES = 32_000_000
+#: A gzip member of nothing, which the text writer puts between lines; readers of many members skip it.
+EMPTY_MEMBER = gzip.compress(b"", mtime=0).decode("latin-1")
 READ_SCHEMA = (
     "page_id long, url string, record_type string, record_id string, refers_to long, payload_bytes long, "
     "payload_digest string, payload binary, digest_ok boolean"
@@ -41,7 +44,7 @@ def resolve_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     Headers (all but the payload) are cut from the pages first and reduced by payload digest to the
     smallest page_id of each. Revisit records are made of headers alone: those of a digest that a third
     of all pages share are split by Spark's skew handling, and no payload of theirs is shuffled.
-    Payloads are joined by digest and page_id, which few rows share, for responses only.
+    Payloads are joined by page_id and a hash, which few rows share, for responses only.
 
     A null html is an empty payload. Payloads under min_bytes are all responses. Rows that repeat
     the smallest page_id are all responses; a null page_id is never an original unless all are null.
@@ -49,31 +52,28 @@ def resolve_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """
     payload = F.coalesce(F.col("html"), F.lit(""))
     names = ["page_id", "url", "payload_bytes", "payload_digest"]
-    digested = pages.select(
-        F.col("page_id").cast("long").alias("page_id"),
-        F.col("url").cast("string").alias("url"),
-        F.octet_length(payload).cast("long").alias("payload_bytes"),
-        base32_sha1(payload.cast("binary")).alias("payload_digest"),
-        payload.alias("_payload"),
-    )
-    headers = cut(digested.select(*names))
+    # A cheap hash tells the payloads of a page_id apart, so that each payload is digested once.
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("_payload"), F.xxhash64(payload).alias("_mark"))
+    headers = cut(rows.select("page_id", "url", F.octet_length("_payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("_payload").cast("binary")).alias("payload_digest"), "_mark"))
+    counted = headers.where(F.col("payload_bytes") >= min_bytes)
     originals = (
-        headers.where(F.col("payload_bytes") >= min_bytes)
-        .groupBy("payload_digest")
+        counted.groupBy("payload_digest")
         .agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), F.col("page_id").alias("page_id"), F.col("url").alias("url"))).alias("_first"))
         # The digest's own digits, but not the column that was grouped by: its partitions would be reused and hot ones not split.
         .select(F.concat(F.substring("payload_digest", 1, 16), F.substring("payload_digest", 17, 16)).alias("_digest"), F.col("_first.page_id").alias("_original"), F.col("_first.url").alias("_original_url"))
     )
     same = F.col("payload_digest") == F.col("_digest")
-    again = headers.where(F.col("payload_bytes") >= min_bytes).join(originals, same & F.col("_original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_original")))
+    again = counted.join(originals, same & F.col("_original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_original")))
     revisits = again.select(
         *names, F.lit("revisit").alias("record_type"), F.col("_original").alias("refers_to"), F.col("_original_url").alias("refers_to_url"), F.lit(None).cast("string").alias("_payload")
     )
-    first = digested.where(F.col("payload_bytes") >= min_bytes).join(originals, same & F.col("page_id").eqNullSafe(F.col("_original")), "left_semi")
+    first = counted.join(originals, same & F.col("page_id").eqNullSafe(F.col("_original")), "left_semi")
     if min_bytes > 0:
-        first = first.unionByName(digested.where(F.col("payload_bytes") < min_bytes))
+        first = first.unionByName(headers.where(F.col("payload_bytes") < min_bytes))
+    keys = first.select(F.col("page_id").alias("_id"), F.col("_mark").alias("_m"), "payload_bytes", "payload_digest").distinct()
+    held = rows.join(keys, (F.col("_mark") == F.col("_m")) & F.col("page_id").eqNullSafe(F.col("_id")))
     none = F.lit(None)
-    responses = first.select(*names, F.lit("response").alias("record_type"), none.cast("long").alias("refers_to"), none.cast("string").alias("refers_to_url"), "_payload")
+    responses = held.select(*names, F.lit("response").alias("record_type"), none.cast("long").alias("refers_to"), none.cast("string").alias("refers_to_url"), "_payload")
     return revisits.unionByName(responses)
 
 
@@ -118,54 +118,101 @@ def format_records(resolved: DataFrame, date: str = "2026-01-01T00:00:00Z") -> D
     return resolved.withColumn("_block", block).select(F.concat(*fields).alias("record"))
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records as gzip members, one each, put together to the contents of files."""
+    held: list[bytes] = []
+    size = 0
+
+    def file() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["content"])
+
+    for batch in batches:
+        for record in batch.column(0):
+            member = gzip.compress(record.as_py() + b"\r\n\r\n", 6, mtime=0)
+            if held and size + len(member) > FILE_BYTES:
+                yield file()
+                held, size = [], 0
+            held.append(member)
+            size += len(member)
+    if held:
+        yield file()
+
+
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
-    """Write pages as gzip WARC files under path with Spark's own text writer.
+    """Write pages as gzip WARC files under path, a member for each record, so that any record can be read by its offset.
 
-    A record is UTF-8 text that ends in two line ends, which is what the writer puts between rows;
-    the writer's commit protocol copes with lost executors on any file system that Spark writes to.
-    Payloads of one class of size lie in one folder, and a file holds at most as many of them as make
-    128 MB (a larger payload has a file of its own), so that readers may take files whole. An empty
-    table gives archives without records.
+    The files come from Spark's own text writer, to which a file's members are one line: its commit
+    protocol copes with lost executors on any file system that Spark writes to, and what it writes between lines is a
+    member of nothing. A file holds at most 32 MB (a larger record has a file of its own), so that readers may
+    take files whole. An empty table gives archives without records.
+    """
+    records = format_records(resolve_revisits(pages, min_bytes)).select(F.col("record").cast("binary"))
+    files = records.mapInArrow(_pack, "content binary").select(F.col("content").cast("string").alias("value"))
+    files.write.mode("overwrite").option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER).option("maxRecordsPerFile", 1).text(path)
+
+
+def _inflate(content: bytes) -> bytes:
+    """All members of a gzip file, one after another; other content as it is. A member that is cut off is an error."""
+    if content[:2] != b"\x1f\x8b":
+        return content
+    parts, at = [], 0
+    while at < len(content):
+        member = zlib.decompressobj(31)
+        try:
+            parts.append(member.decompress(content[at:]) if at else member.decompress(content))
+        except zlib.error as error:
+            raise ValueError(f"no gzip member at byte {at}") from error
+        if not member.eof:
+            raise ValueError(f"the gzip member at byte {at} is cut off")
+        at = len(content) - len(member.unused_data)
+    return b"".join(parts)
+
+
+def _page_of(record_id: str | None) -> int | None:
+    """The page_id in a record's id; None in ids of other writers."""
+    found = re.fullmatch(r"<urn:x-page:(-?\d+)>", record_id or "")
+    return int(found[1]) if found else None
+
+
+def parse_archive(content: bytes) -> Iterator[tuple]:
+    """The response and revisit records of an archive; records of other types are skipped, malformed ones are errors.
+
+    Fields are found whatever their case. Where a record states no payload digest, it is that of the payload
+    and digest_ok is null; where no length, it is the payload's.
     """
-    resolved = resolve_revisits(pages, min_bytes)
-    held = F.when(F.col("record_type") == "revisit", 0).otherwise(F.col("payload_bytes"))
-    size = F.lit("large")
-    for name, (bound, _) in reversed(SIZE_CLASSES.items()):
-        size = F.when(held <= bound, name).otherwise(size) if bound else size
-    found = {r["size"] for r in pages.select(F.octet_length(F.coalesce(F.col("html"), F.lit(""))).alias("payload_bytes"), F.lit("response").alias("record_type")).select(size.alias("size")).distinct().collect()}
-    for name, (_, records) in SIZE_CLASSES.items():
-        if name == "small" or name in found:
-            chosen = format_records(resolved.where(size == name))
-            chosen.write.mode("overwrite").option("lineSep", END + END).option("compression", "gzip").option("maxRecordsPerFile", records).text(f"{path}/{name}")
-
-
-def _parse(content: bytes) -> Iterator[tuple]:
-    data, at = zlib.decompress(content, 47) if content[:2] == b"\x1f\x8b" else content, 0
-    page = lambda s: int(s[12:-1]) if s and s[12:-1] != "none" else None
+    data, at = _inflate(content), 0
     while at < len(data):
-        head = data.index(b"\r\n\r\n", at)
-        first, *lines = data[at:head].decode("utf-8").split(END)
-        if not first.startswith("WARC/"):
+        head = data.find(b"\r\n\r\n", at)
+        first, *lines = data[at : head if head >= 0 else at + 80].decode("utf-8", "replace").split(END)
+        if head < 0 or not first.startswith("WARC/"):
             raise ValueError(f"no record at byte {at}")
-        fields = {k: v for k, _, v in (line.partition(": ") for line in lines)}
-        block = data[head + 4 : head + 4 + int(fields["Content-Length"])]
-        at = head + 4 + len(block)
-        if data[at : at + 4] != b"\r\n\r\n":
-            raise ValueError(f"no record end at byte {at}")
-        at += 4
+        fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
+        length = fields.get("content-length", "")
+        if not length.isdecimal():
+            raise ValueError(f"no length of the record at byte {at}")
+        block = data[head + 4 : head + 4 + int(length)]
+        end = head + 4 + int(length)
+        if data[end : end + 4] != b"\r\n\r\n":
+            raise ValueError(f"no record end at byte {end}")
+        at = end + 4
+        kind = fields.get("warc-type")
+        if kind not in ("response", "revisit"):
+            continue
         http, _, payload = block.partition(b"\r\n\r\n")
-        digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-        whole = fields["WARC-Type"] == "response"
+        whole = kind == "response"
+        own = base64.b32encode(hashlib.sha1(payload).digest()).decode() if whole else None
+        digest = fields.get("warc-payload-digest", "").removeprefix("sha1:") or None
+        stated = re.search(rb"(?i)^Content-Length: *(\d+)", http, re.M)
         yield (
-            page(fields["WARC-Record-ID"]),
-            fields.get("WARC-Target-URI"),
-            fields["WARC-Type"],
-            fields["WARC-Record-ID"],
-            page(fields.get("WARC-Refers-To")),
-            int(re.search(rb"Content-Length: (\d+)", http)[1]),
-            digest,
+            _page_of(fields.get("warc-record-id")),
+            fields.get("warc-target-uri"),
+            kind,
+            fields.get("warc-record-id"),
+            _page_of(fields.get("warc-refers-to")),
+            int(stated[1]) if stated else len(payload) if whole else None,
+            digest or own,
             payload if whole else None,
-            base64.b32encode(hashlib.sha1(payload).digest()).decode() == digest if whole else None,
+            own == digest if whole and digest else None,
         )
 
 
@@ -179,7 +226,7 @@ def _parse_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for content in batch.column(0):
             rows, held = [], 0
-            for row in _parse(content.as_py()):
+            for row in parse_archive(content.as_py()):
                 rows.append(row)
                 held += len(row[7] or b"") + 500
                 if held > 8_000_000:
