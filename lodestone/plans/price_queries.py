@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.operators import prices as ops
+from lodestone.operators.asof import asof_join
+from lodestone.operators.decay import sliding_decayed
+from lodestone.operators.dims import IMPACT_WEIGHT, SENTIMENT_VALUE, lookup
 from lodestone.operators.sentiment import recent_events as newest_events
 from lodestone.operators.sentiment import rolling_sentiment as decayed
 from lodestone.plans.adapters import PRICES_SQL, SIGNALS_SQL, prices, signals
 from lodestone.plans.registry import query
+from lodestone.session import table
 
 AS_OF = "2024-01-31"
 
@@ -142,3 +146,32 @@ def sparkline(spark, sf_dir):
     rows = top_n_per_group(prices(spark, sf_dir), ["symbol"], [F.desc("trade_date")], 90).withColumn("close", F.col("close").cast("double"))
     low, high = (f("close").over(Window.partitionBy("symbol")) for f in (F.min, F.max))
     return rows.select("symbol", "trade_date", F.round((F.col("close") - low) / F.nullif(high - low, F.lit(0.0)), 6).alias("height"))
+
+
+@query(f"""WITH {PRICES_SQL}, t AS (SELECT o_orderkey, o_orderpriority AS symbol, o_orderdate::DATE - (o_orderkey % 400)::INT AS target FROM orders)
+SELECT t.o_orderkey, CASE WHEN target - trade_date <= 30 THEN trade_date END AS trade_date, CASE WHEN target - trade_date <= 30 THEN close::DOUBLE END AS close FROM t ASOF LEFT JOIN prices p ON t.symbol = p.symbol AND t.target >= p.trade_date""")
+def closes_as_of(spark, sf_dir):
+    """J-12: the last close at or before a day of each order, at most 30 days before it; five hot symbols, split by years."""
+    day = F.date_sub(F.to_date("o_orderdate"), (F.col("o_orderkey") % 400).cast("int"))
+    targets = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("symbol"), day.alias("target"))
+    closes = prices(spark, sf_dir).select("symbol", "trade_date", F.col("close").cast("double").alias("close"))
+    return asof_join(targets, closes, ["symbol"], "target", "trade_date", 365 * 86_400, 30 * 86_400).select("o_orderkey", "trade_date", "close")
+
+
+@query("""WITH p AS (SELECT user_id, ts, max(event_id) AS purchase_id FROM events WHERE event_type = 'purchase' GROUP BY 1, 2)
+SELECT e.event_id, p.purchase_id FROM events e ASOF LEFT JOIN p ON e.user_id = p.user_id AND e.ts > p.ts""")
+def purchases_before_events(spark, sf_dir):
+    """J-12: the purchase before each event of a user, strictly, of two at one moment that with the larger id."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    bought = table(spark, sf_dir, "events").where("event_type = 'purchase'").select("user_id", F.col("ts").cast("timestamp").alias("bought"), F.col("event_id").alias("purchase_id"))
+    return asof_join(events, bought, ["user_id"], "ts", "bought", 3 * 86_400, order=["purchase_id"], strict=True).select("event_id", "purchase_id")
+
+
+@query(f"""WITH {SIGNALS_SQL}, d AS (SELECT DISTINCT stock_id, event_date AS day FROM signals), w(days, half) AS (VALUES (365, 90.0), (9, 3.0))
+SELECT d.stock_id, d.day, w.days, count(*) AS n, round(sum(s.weight * s.mood * pow(0.5, (d.day - s.event_date) / half)) / sum(s.weight * pow(0.5, (d.day - s.event_date) / half)), 6) + 0.0 AS mean
+FROM d JOIN signals s USING (stock_id), w WHERE d.day - s.event_date BETWEEN 0 AND w.days GROUP BY 1, 2, 3""")
+def sliding_sentiment(spark, sf_dir):
+    """Z-12, A-09, M-03: decayed sentiment of each stock at each of its days, over windows of a year and of nine days, from daily sums that merge."""
+    rows = signals(spark, sf_dir).withColumns({"value": lookup(F.col("sentiment"), SENTIMENT_VALUE), "weight": lookup(F.col("impact"), IMPACT_WEIGHT)})
+    found = [sliding_decayed(rows, "stock_id", "event_date", "value", "weight", days, half).withColumn("days", F.lit(days)) for days, half in ((365, 90.0), (9, 3.0))]
+    return found[0].unionByName(found[1]).select("stock_id", "day", "days", "n", (F.round("mean", 6) + F.lit(0.0)).alias("mean"))

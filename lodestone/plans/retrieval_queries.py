@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.periods import filing_date, recency
 from lodestone.operators import retrieval as ops
+from lodestone.operators.vectors import text_vectors as hashed_vectors
 from lodestone.plans.registry import query
 from lodestone.session import table
 
@@ -69,10 +70,26 @@ def missing_embeddings(spark, sf_dir):
     return docs.select("doc_id").distinct().join(backlog.select(F.col("doc_id").alias("_b")), F.col("doc_id") == F.col("_b"), "left_semi")
 
 
-@query("SELECT count(*) AS n, count(*) FILTER (WHERE len(embedding) = 64) AS sound FROM embeddings")
+@query("""WITH c AS (SELECT DISTINCT sha256(text) AS content_hash, text FROM documents WHERE text IS NOT NULL), w AS (SELECT content_hash, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS word FROM c),
+n AS (SELECT content_hash, word, count(*) AS n FROM w GROUP BY 1, 2), r AS (SELECT word, ln((1 + (SELECT count(DISTINCT content_hash) FROM n)) / (1 + count(*))) + 1 AS idf FROM n GROUP BY 1),
+v AS (SELECT content_hash, ('0x' || left(md5(word), 6))::INT % 1024 AS dim, sum(n * idf * CASE WHEN ('0x' || substr(md5(word), 7, 1))::INT % 2 = 0 THEN 1 ELSE -1 END) AS v FROM n JOIN r USING (word) GROUP BY 1, 2)
+SELECT content_hash, count(*) FILTER (WHERE abs(v) > 1e-9) AS dims, round(sum(v * (dim % 7 - 3)) / sqrt(sum(v * v)), 6) + 0.0 AS probe, 1.0 AS length FROM v GROUP BY 1""")
+def text_vectors(spark, sf_dir):
+    """S-17: texts as vectors of 1,024 hashed dimensions, one for each content hash: how many are not zero, the product with a fixed vector, the length."""
+    found = hashed_vectors(table(spark, sf_dir, "documents"))
+    probe = F.sum(F.col("value") * (F.col("dim") % 7 - 3))
+    return found.groupBy("content_hash").agg(F.count(F.lit(1)).alias("dims"), (F.round(probe, 6) + F.lit(0.0)).alias("probe"), F.round(F.sqrt(F.sum(F.col("value") * F.col("value"))), 6).alias("length"))
+
+
+@query("""SELECT count(*) AS n, count(*) FILTER (WHERE len(v) = 64 AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0) AS sound
+FROM (SELECT CASE vec_id % 7 WHEN 0 THEN list_transform(embedding, lambda x, i: CASE WHEN i = 9 THEN 'nan'::FLOAT ELSE x::FLOAT END) WHEN 1 THEN list_transform(embedding, lambda x, i: CASE WHEN i = 9 THEN '-inf'::FLOAT ELSE x::FLOAT END)
+  WHEN 2 THEN list_transform(embedding, lambda x, i: CASE WHEN i = 9 THEN NULL ELSE x::FLOAT END) WHEN 3 THEN list_slice(embedding, 1, 63) ELSE embedding END::FLOAT[] AS v FROM embeddings)""")
 def embedding_checks(spark, sf_dir):
-    """V-06, S-17: dimension and finiteness."""
-    return table(spark, sf_dir, "embeddings").agg(F.count(F.lit(1)).alias("n"), F.count_if(ops.is_sound(F.col("embedding"), 64)).alias("sound"))
+    """V-06, S-17: dimension and finiteness, where a component of some vectors is made no number, infinite, or null, or is cut off."""
+    k, v = F.col("vec_id") % 7, F.col("embedding").cast("array<float>")
+    odd = F.when(k == 0, float("nan")).when(k == 1, float("-inf")).cast("float")
+    spoilt = F.when(k < 3, F.transform(v, lambda x, i: F.when(i == 8, odd).otherwise(x))).when(k == 3, F.slice(v, 1, 63)).otherwise(v)
+    return table(spark, sf_dir, "embeddings").agg(F.count(F.lit(1)).alias("n"), F.count_if(ops.is_sound(spoilt, 64)).alias("sound"))
 
 
 @query("""WITH b AS (SELECT source, doc_id, n_chars, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 8 AS batch FROM documents),
