@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as t
 from lodestone.operators import documents as ops
+from lodestone.operators import figures
+from lodestone.plans import planted
 from lodestone.plans.registry import query
 from lodestone.session import table
 
@@ -85,31 +87,62 @@ def tag_items(spark, sf_dir):
     return found.drop("plain")
 
 
+#: What a document's text is made to say, by its key: a statement, the metric, the code it is rejected with, and factor and unit of what is accepted.
+_STATED = [
+    ("Consolidated net profit was ₹{g} crore in FY2020, up.", "net_profit", None, "1", "INR_CRORE", "consolidated"),
+    ("Net profit came to {n} in FY2020.", "net_profit", "ambiguous_currency", None, None, "unspecified"),
+    ("Standalone revenue from operations stood at US${n} million in FY2020.", "revenue_from_operations", None, "1", "USD_MILLION", "standalone"),
+    ("The adjusted net profit was ₹{g} crore in FY2020.", "net_profit", "adjusted_figure", None, None, "unspecified"),
+    ("Return on equity was 150% in FY2020.", "return_on_equity", "out_of_range", None, None, "unspecified"),
+    ("A final dividend of Rs. 5 per share was declared in FY2020.", "dividend_per_share", "partial_dividend", None, None, "unspecified"),
+    ("Net profit rose, said the chairman of the board to all who had come to hear of it, to ₹{g} crore.", None, None, None, None, None),
+    ("Consolidated net profit was ₹{g} lakh.", "net_profit", "unparseable_period", None, None, "consolidated"),
+    ("Gross debt fell to ₹{g} lakhs (standalone) in FY 2019-20.", "total_borrowings", None, "0.01", "INR_CRORE", "standalone"),
+    ("EPS of Rs {n} for FY2020.", "eps_basic", "out_of_range", None, None, "unspecified"),
+]
+
+
+def _stated_sql(column: int) -> str:
+    return "CASE doc_id % 10 " + " ".join(f"WHEN {i} THEN '{r[column]}'" for i, r in enumerate(_STATED) if r[column] is not None) + " END"
+
+
+@query(f"""SELECT doc_id, metric, CASE WHEN code = 'ambiguous_currency' AND contains(text, '$') THEN 'unit_not_evidenced' ELSE code END AS code, CASE WHEN code IS NULL THEN (n * factor)::DOUBLE END AS value, CASE WHEN code IS NULL THEN unit END AS unit, basis
+FROM (SELECT doc_id, text, 10000 + doc_id * 37 % 90000 AS n, {_stated_sql(1)} AS metric, {_stated_sql(2)} AS code, {_stated_sql(3)}::DOUBLE AS factor, {_stated_sql(4)} AS unit, {_stated_sql(5)} AS basis FROM documents WHERE text IS NOT NULL) WHERE metric IS NOT NULL""")
+def figures_in_texts(spark, sf_dir):
+    """C-06 to C-10, T-01 to T-03, M-06, P-13: whole documents with a statement put in; figures are found by the places of labels and numbers, and judged."""
+    n = 10_000 + F.col("doc_id") * 37 % 90_000
+    said = F.get(F.array(*[F.lit(r[0]) for r in _STATED]), (F.col("doc_id") % 10).cast("int"))
+    said = F.replace(F.replace(said, F.lit("{g}"), F.concat(F.floor(n / 1000).cast("string"), F.lit(","), F.lpad((n % 1000).cast("string"), 3, "0"))), F.lit("{n}"), n.cast("string"))
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.concat(F.left("text", F.lit(500)), F.lit(".\n"), said, F.lit("\n"), F.substr(F.col("text"), F.lit(501))).alias("text"))
+    found = ops.validate_candidates(figures.propose(docs).withColumn("is_financial", F.lit(False)))
+    return found.select("doc_id", "metric", "code", F.col("value").cast("double").alias("value"), "unit", "basis")
+
+
 CANDIDATES = [
-    ("net_profit", "4,12,345", "crore", "INR", "FY2026", "consolidated", "Net profit was ₹4,12,345 crore in FY26", "Consolidated: Net profit was ₹4,12,345 crore in FY26", False, None),
-    ("net_loss", "1", "crore", "INR", "FY2026", "consolidated", "x", "x", False, "unknown_metric"),
-    ("gross_npa_ratio", "1.2", "percent", "none", "FY2026", "standalone", "gross npa 1.2%", "gross npa 1.2% fy26", False, "metric_not_applicable"),
-    ("net_profit", "5", "crore", "INR", "FY2026", "standalone", "", "net profit 5 crore fy26", False, "bad_quote"),
-    ("net_profit", "5", "crore", "INR", "FY2026", "standalone", "net profit 5 crore", None, False, "page_outside_window"),
-    ("net_profit", "5", "crore", "INR", "FY2026", "standalone", "net profit 6 crore", "net profit 5 crore fy26", False, "quote_not_on_page"),
-    ("net_profit", "5", "crore", "INR", "FY2026", "standalone", "turnover 5 crore", "turnover 5 crore fy26", False, "label_not_in_quote"),
-    ("net_profit", "5", "crore", "INR", "FY2026", "standalone", "adjusted net profit 5 crore", "adjusted net profit 5 crore fy26", False, "adjusted_figure"),
-    ("dividend_per_share", "5", "per_share", "INR", "FY2026", "standalone", "final dividend of rs 5 per share", "final dividend of rs 5 per share fy26", False, "partial_dividend"),
-    ("dividend_per_share", "5", "per_share", "INR", "FY2026", "standalone", "dividend of 5 per share; dividends paid", "dividend of 5 per share; dividends paid fy26", False, "dividend_paid_not_declared"),
-    ("net_profit", "7", "crore", "INR", "FY2026", "standalone", "net profit 5 crore", "net profit 5 crore fy26", False, "number_not_in_quote"),
-    ("net_profit", "5", "million", "none", "FY2026", "standalone", "net profit 5", "net profit 5 million fy26", False, "ambiguous_currency"),
-    ("net_profit", "5", "crore", "USD", "FY2026", "standalone", "net profit ₹5 crore", "net profit ₹5 crore fy26", False, "currency_mismatch"),
-    ("net_profit", "5", "billion", "INR", "FY2026", "standalone", "net profit ₹5 crore", "net profit ₹5 crore fy26", False, "unit_not_evidenced"),
-    ("net_profit", "5", "crore", "INR", None, "standalone", "net profit ₹5 crore", "net profit ₹5 crore fy26", False, "unparseable_period"),
-    ("net_profit", "5", "crore", "INR", "FY2024", "standalone", "net profit ₹5 crore", "net profit ₹5 crore fy26", False, "period_not_evidenced"),
-    ("return_on_equity", "150", "percent", "none", "FY2026", "standalone", "roe 150%", "roe 150% fy26", False, "out_of_range"),
-    ("net_profit", "(2,353)", "lakh", "INR", "FY2026", "standalone", "net profit (2,353)", "₹ in lakhs. Standalone. net profit (2,353) 2025-26", False, None),
+    ("net_profit", "{g}", "crore", "INR", "FY{y}", "consolidated", "Net profit was ₹{g} crore in FY{z}", "Consolidated: Net profit was ₹{g} crore in FY{z}", False, None),
+    ("net_loss", "1", "crore", "INR", "FY{y}", "consolidated", "x", "x", False, "unknown_metric"),
+    ("gross_npa_ratio", "1.2", "percent", "none", "FY{y}", "standalone", "gross npa 1.2%", "gross npa 1.2% fy{z}", False, "metric_not_applicable"),
+    ("net_profit", "{n}", "crore", "INR", "FY{y}", "standalone", "", "net profit {n} crore fy{z}", False, "bad_quote"),
+    ("net_profit", "{n}", "crore", "INR", "FY{y}", "standalone", "net profit {n} crore", None, False, "page_outside_window"),
+    ("net_profit", "{n}", "crore", "INR", "FY{y}", "standalone", "net profit {m} crore", "net profit {n} crore fy{z}", False, "quote_not_on_page"),
+    ("net_profit", "{n}", "crore", "INR", "FY{y}", "standalone", "turnover {n} crore", "turnover {n} crore fy{z}", False, "label_not_in_quote"),
+    ("net_profit", "{n}", "crore", "INR", "FY{y}", "standalone", "adjusted net profit {n} crore", "adjusted net profit {n} crore fy{z}", False, "adjusted_figure"),
+    ("dividend_per_share", "5", "per_share", "INR", "FY{y}", "standalone", "final dividend of rs 5 per share", "final dividend of rs 5 per share fy{z}", False, "partial_dividend"),
+    ("dividend_per_share", "5", "per_share", "INR", "FY{y}", "standalone", "dividend of 5 per share; dividends paid", "dividend of 5 per share; dividends paid fy{z}", False, "dividend_paid_not_declared"),
+    ("net_profit", "{m}", "crore", "INR", "FY{y}", "standalone", "net profit {n} crore", "net profit {n} crore fy{z}", False, "number_not_in_quote"),
+    ("net_profit", "{n}", "million", "none", "FY{y}", "standalone", "net profit {n}", "net profit {n} million fy{z}", False, "ambiguous_currency"),
+    ("net_profit", "{n}", "crore", "USD", "FY{y}", "standalone", "net profit ₹{n} crore", "net profit ₹{n} crore fy{z}", False, "currency_mismatch"),
+    ("net_profit", "{n}", "billion", "INR", "FY{y}", "standalone", "net profit ₹{n} crore", "net profit ₹{n} crore fy{z}", False, "unit_not_evidenced"),
+    ("net_profit", "{n}", "crore", "INR", None, "standalone", "net profit ₹{n} crore", "net profit ₹{n} crore fy{z}", False, "unparseable_period"),
+    ("net_profit", "{n}", "crore", "INR", "FY2009", "standalone", "net profit ₹{n} crore", "net profit ₹{n} crore fy{z}", False, "period_not_evidenced"),
+    ("return_on_equity", "150", "percent", "none", "FY{y}", "standalone", "roe 150%", "roe 150% fy{z}", False, "out_of_range"),
+    ("net_profit", "(2,353)", "lakh", "INR", "FY{y}", "standalone", "net profit (2,353)", "₹ in lakhs. Standalone. net profit (2,353) {p}-{z}", False, None),
 ]
-_CANDIDATE_SCHEMA = "metric string, value_text string, unit_word string, currency string, period string, basis string, quote string, page_text string, is_financial boolean, expected string"
+_CANDIDATE_SCHEMA = "metric string, value_text string, unit_word string, currency string, period string, basis string, quote string, page_text string, is_financial boolean"
 
 
-@query("SELECT n, expected AS code FROM (VALUES " + ", ".join(f"({i}, {'NULL' if c[-1] is None else repr(c[-1])})" for i, c in enumerate(CANDIDATES)) + ") v(n, expected)")
+@query(planted.cases_sql([(c[-1], "{n}") for c in CANDIDATES], "code, n", "id, code, CASE WHEN id % 18 = 0 THEN n::DOUBLE WHEN id % 18 = 17 THEN -23.53 END AS value"))
 def validate_candidates(spark, sf_dir):
-    """C-06 to C-11, T-01 to T-03, M-06, P-13: one row for each code; the expected codes are given."""
-    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(CANDIDATES)], "n int, " + _CANDIDATE_SCHEMA)
-    return ops.validate_candidates(rows).select("n", "code")
+    """C-06 to C-11, T-01 to T-03, M-06, P-13: a proposed figure of each order, of its own amount and year; every code of rejection occurs."""
+    rows = planted.cases(spark, sf_dir, [c[:-1] for c in CANDIDATES], _CANDIDATE_SCHEMA)
+    return ops.validate_candidates(rows).select("id", "code", F.col("value").cast("double").alias("value"))
