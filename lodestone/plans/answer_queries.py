@@ -153,8 +153,8 @@ def lookup_answers(spark, sf_dir):
 
 @query(planted.cases_sql([(1, "{b}", "net_profit"), (1, "{b}", "revenue"), (3, "{b}", "eps")], "symbol, metric", "id AS question_id, symbol, metric", len(_ASKED)))
 def missing_lines(spark, sf_dir):
-    """Q-13: what was asked and is not there."""
-    return ops.missing_lines(*_asked(spark, sf_dir))
+    """Q-13: what was asked and is not there, read off the bits of what is."""
+    return ops.missing_lines(*_asked(spark, sf_dir), ["net_profit", "revenue", "eps", "debt"])
 
 
 @query(planted.cases_sql([("N1", "<passage>[N1] Margins of {a} rose because of lower input prices, to 12% in {y}.</passage>", "[F1] {a} · net_profit · FY{y} · consolidated · ₹{g} crore")], "last, line, first", "id AS question_id, 9 AS n_lines, last, line, first"))

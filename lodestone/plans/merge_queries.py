@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodestone.operators import buckets
 from lodestone.operators import merge as ops
 from lodestone.plans.registry import query
 from lodestone.session import table
+from lodestone.sources.landing import landing_folder
 
 
 def _halves(spark, sf_dir):
@@ -131,3 +133,18 @@ def document_status(spark, sf_dir):
     outcome = F.when(F.col("l_returnflag") == "A", "ok").when(F.col("l_returnflag") == "R", "rejected").otherwise("error")
     attempts = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("attempt"), outcome.alias("outcome"), F.lit(3).alias("max_attempts"))
     return ops.document_statuses(attempts)
+
+
+@query("""WITH r AS (SELECT user_id, event_type, event_id, value, event_id % 3 = 0 AS late FROM events), h AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS n FROM r WHERE NOT (late AND user_id % 4 <> 0))
+SELECT user_id, event_type, event_id, value FROM h WHERE n = 1""")
+def replaced_on_storage(spark, sf_dir):
+    """K-03: last write wins on storage: a table in buckets of its keys, of which a batch rewrites those that it touches."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value")
+    path, keys = landing_folder(spark, "replaced"), ["user_id", "event_type"]
+    late = F.col("event_id") % 3 == 0
+    first = events.where(~late)
+    buckets.create(first.join(first.groupBy(*keys).agg(F.max("event_id").alias("event_id")), [*keys, "event_id"], "left_semi").select(*events.columns), path, keys, 16)
+    batch = events.where(late & (F.col("user_id") % 4 == 0))
+    buckets.replace_by_key(spark, batch, path, keys, 16, "event_id")
+    buckets.replace_by_key(spark, batch, path, keys, 16, "event_id")  # once more: nothing changes
+    return buckets.read(spark, path).select(*events.columns)

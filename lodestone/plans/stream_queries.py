@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.plans.registry import query
 from lodestone.sources.landing import landing_folder
+from lodestone.streaming import counters
 from lodestone.streaming import events as ops
 from lodestone.session import table
 
@@ -24,7 +25,7 @@ def _stream(spark, sf_dir, files=4):
 def stream_slots(spark, sf_dir):
     """Z-01, Z-02: one trigger for each slot, by a stream that forgets slots with its watermark."""
     folder = landing_folder(spark, "slots")
-    found = ops.drain(ops.slot_triggers(_stream(spark, sf_dir), "event_type", 60, "400 days"), f"{folder}/table", f"{folder}/checkpoint")
+    found = ops.drain(ops.slot_triggers(_stream(spark, sf_dir), "event_type", 60, "1 day"), f"{folder}/table", f"{folder}/checkpoint")
     return found.select("event_type", F.unix_timestamp("slot").alias("slot"))
 
 
@@ -44,3 +45,23 @@ def stream_counts(spark, sf_dir):
     folder = landing_folder(spark, "counts")
     found = ops.drain(ops.slot_counts(_stream(spark, sf_dir, 1), "event_type", 1440), f"{folder}/table", f"{folder}/checkpoint")
     return found.select("event_type", F.unix_timestamp("slot").alias("slot"), "n")
+
+
+@query("""SELECT user_id AS key, CASE WHEN bool_or(event_type = 'purchase' AND value > 80) THEN 'fetched' WHEN count(*) FILTER (WHERE event_type = 'error') >= 3 THEN 'no_file' ELSE 'missing' END AS status,
+       least(count(*) FILTER (WHERE event_type = 'error'), 3) AS strikes FROM events GROUP BY 1""")
+def stream_strikes(spark, sf_dir):
+    """K-05: the counter with its ceiling as state of a stream: after all files, as the batch rule gives it over the whole history."""
+    folder = landing_folder(spark, "strikes")
+    outcome = F.when((F.col("event_type") == "purchase") & (F.col("value") > 80), "fetched").when(F.col("event_type") == "error", "missing").otherwise("other")
+    states = counters.strike_stream(_stream(spark, sf_dir).withColumn("outcome", outcome), "user_id", "outcome", "ts")
+    return counters.last_states(spark, states, f"{folder}/table", f"{folder}/checkpoint")
+
+
+@query("""WITH g AS (SELECT user_id, ts, coalesce(date_diff('microsecond', lag(ts) OVER w, ts) >= 43200 * 1000000::BIGINT, true) AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(new::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g), w AS (SELECT max(ts) - INTERVAL 1 DAY AS mark FROM events)
+SELECT user_id, floor(epoch(min(ts)))::BIGINT AS started, count(*) AS n FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 12 HOUR <= (SELECT mark FROM w)""")
+def stream_sessions(spark, sf_dir):
+    """Z-02: sessions of users, runs of events without twelve hours between, each given once the watermark has passed it."""
+    folder = landing_folder(spark, "sessions")
+    found = ops.drain(ops.session_counts(_stream(spark, sf_dir, 1), "user_id", "12 hours"), f"{folder}/table", f"{folder}/checkpoint")
+    return found.select("user_id", F.unix_timestamp("started").alias("started"), "n")

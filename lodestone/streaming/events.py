@@ -45,12 +45,10 @@ def insert_batches(stream: DataFrame, path: str, checkpoint: str, keys: Sequence
     def add(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         folder = f"{path}/batch={number}"
-        try:
-            held = spark.read.option("basePath", path).parquet(path).where(F.col("batch") != number).select(*keys)
-        except Exception as error:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-                raise
-            held = batch.limit(0).select(*keys)
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        there = files.exists(place) and any(f"batch={number}" != f.getPath().getName() and f.isDirectory() for f in files.listStatus(place))
+        held = spark.read.option("basePath", path).schema(f"{batch.select(*keys)._jdf.schema().toDDL()}, batch long").parquet(path).where(F.col("batch") != number).select(*keys) if there else batch.limit(0).select(*keys)
         merge.new_rows(held, batch, keys, arrival).write.mode("overwrite").parquet(folder)
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
