@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.plans.registry import query
+from lodestone.sources import polled
 from lodestone.sources.landing import landing_folder
 from lodestone.streaming import counters
 from lodestone.streaming import events as ops
@@ -65,3 +66,22 @@ def stream_sessions(spark, sf_dir):
     folder = landing_folder(spark, "sessions")
     found = ops.drain(ops.session_counts(_stream(spark, sf_dir, 1), "user_id", "12 hours"), f"{folder}/table", f"{folder}/checkpoint")
     return found.select("user_id", F.unix_timestamp("started").alias("started"), "n")
+
+
+@query("SELECT o_orderkey, round(o_totalprice, 2) AS price, CASE WHEN o_orderkey % 5 < 4 THEN 0 ELSE 1 END AS trigger FROM orders")
+def polled_orders(spark, sf_dir):
+    """Z-09, S-06: a folder polled three times: files that are there, then one more, then nothing new; each line is read once."""
+    folder, landed = landing_folder(spark, "polled"), landing_folder(spark, "landed")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.concat_ws(",", "o_orderkey", F.round("o_totalprice", 2)).alias("value"))
+    seen = None
+    for number, part in enumerate((F.col("o_orderkey") % 5 < 4, F.col("o_orderkey") % 5 == 4, F.lit(False))):
+        if number < 2:
+            rows.where(part).select("value").write.text(f"{landed}/{number}")
+        now = ops.drain(polled.poll(spark, landed), f"{folder}/table", f"{folder}/checkpoint")
+        new = now.select("file", "line", F.lit(number).alias("trigger"), "text")
+        seen = new if seen is None else seen.unionByName(new)
+        seen.write.parquet(f"{folder}/seen{number}")
+        seen = spark.read.parquet(f"{folder}/seen{number}")
+    firsts = seen.groupBy("file", "line", "text").agg(F.min("trigger").alias("trigger"), F.countDistinct("trigger").alias("_n"))
+    fields = F.split("text", ",")
+    return firsts.select(fields[0].cast("long").alias("o_orderkey"), fields[1].cast("double").alias("price"), "trigger")
