@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import re
 import uuid
 import zlib
@@ -155,17 +156,11 @@ def _inflate(content: bytes) -> bytes:
     """All members of a gzip file, one after another; other content as it is. A member that is cut off is an error."""
     if content[:2] != b"\x1f\x8b":
         return content
-    parts, at = [], 0
-    while at < len(content):
-        member = zlib.decompressobj(31)
-        try:
-            parts.append(member.decompress(content[at:]) if at else member.decompress(content))
-        except zlib.error as error:
-            raise ValueError(f"no gzip member at byte {at}") from error
-        if not member.eof:
-            raise ValueError(f"the gzip member at byte {at} is cut off")
-        at = len(content) - len(member.unused_data)
-    return b"".join(parts)
+    try:
+        with gzip.GzipFile(fileobj=io.BytesIO(content)) as members:  # reads on from member to member, a buffer at a time
+            return members.read()
+    except (EOFError, zlib.error, gzip.BadGzipFile) as error:
+        raise ValueError(f"a gzip member is cut off or broken: {error}") from error
 
 
 def _page_of(record_id: str | None) -> int | None:
