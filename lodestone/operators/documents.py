@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,46 +66,58 @@ def event_pages(pages: DataFrame, budget: int = WINDOW_CHARS) -> DataFrame:
     return budget_prefix(rows, ["document_id"], [F.col("page_number")], "_size", budget).drop("_size", "used", "place")
 
 
-def pack(pieces: Column, separator: str, limit: int) -> Column:
-    """Join neighbouring pieces while the result fits: an ordered fold over one row's array that holds the open piece apart from the closed ones."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("open"))
-
-    def step(acc: Column, piece: Column) -> Column:
-        joined = F.concat(acc["open"], F.lit(separator), piece)
-        fits = F.char_length(joined) <= limit
-        return F.when(acc["open"].isNull(), F.struct(acc["done"].alias("done"), piece.alias("open"))).when(fits, F.struct(acc["done"].alias("done"), joined.alias("open"))).otherwise(
-            F.struct(F.array_append(acc["done"], acc["open"]).alias("done"), piece.alias("open"))
-        )
-
-    return F.aggregate(pieces, start, step, lambda acc: F.when(acc["open"].isNull(), acc["done"]).otherwise(F.array_append(acc["done"], acc["open"])))
+_GAPS, _AT_ENDS, _SENTENCES = re.compile(r"[ \t\n\x0b\f\r]+"), " \t\n\x0b\f\r", re.compile(r"(?<=[.!?])[ \t\n\x0b\f\r]+")
 
 
-def _fixed_cuts(word: Column, limit: int) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.floor((F.char_length(word) - 1) / limit)), lambda i: F.substr(word, (i * limit + 1).cast("int"), F.lit(limit)))
+def pack(pieces: list[str], separator: str, limit: int) -> list[str]:
+    """Neighbouring pieces joined while the result fits; each piece is at most limit long."""
+    out: list[list[str]] = []
+    size = 0
+    for piece in pieces:
+        if out and size + len(separator) + len(piece) <= limit:
+            out[-1].append(piece)
+            size += len(separator) + len(piece)
+        else:
+            out.append([piece])
+            size = len(piece)
+    return [separator.join(x) for x in out]
 
 
-def chunks_of(text: Column, limit: int = CHUNK_CHARS) -> Column:
+def chunks_of(text: str, limit: int = CHUNK_CHARS) -> list[str]:
     """Chunks of a page: paragraphs packed up to limit; long ones cut between sentences, then words, then anywhere.
 
     No text is lost but white space between pieces, and no chunk is longer than limit.
     """
 
-    def by_words(sentence: Column) -> Column:
-        words = F.filter(F.split(sentence, r"\s+"), lambda w: w != "")
-        return pack(F.flatten(F.transform(words, lambda w: F.when(F.char_length(w) <= limit, F.array(w)).otherwise(_fixed_cuts(w, limit)))), " ", limit)
+    def by_words(sentence: str) -> list[str]:
+        words = [w for w in _GAPS.split(sentence) if w]
+        return pack([w[i : i + limit] for w in words for i in range(0, len(w), limit)], " ", limit)
 
-    def by_sentences(paragraph: Column) -> Column:
-        parts = F.split(paragraph, r"(?<=[.!?])\s+")
-        return pack(F.flatten(F.transform(parts, lambda s: F.when(F.char_length(s) <= limit, F.array(s)).otherwise(by_words(s)))), " ", limit)
+    def by_sentences(paragraph: str) -> list[str]:
+        return pack([x for s in _SENTENCES.split(paragraph) for x in ([s] if len(s) <= limit else by_words(s))], " ", limit)
 
-    paragraphs = F.filter(F.transform(F.split(text, "\n\n"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
-    pieces = F.flatten(F.transform(paragraphs, lambda p: F.when(F.char_length(p) <= limit, F.array(p)).otherwise(by_sentences(p))))
-    return pack(pieces, "\n\n", limit)
+    paragraphs = [p for p in (p.strip(_AT_ENDS) for p in text.split("\n\n")) if p]
+    return pack([x for p in paragraphs for x in ([p] if len(p) <= limit else by_sentences(p))], "\n\n", limit)
 
 
 def chunk_pages(pages: DataFrame, limit: int = CHUNK_CHARS) -> DataFrame:
-    """Chunks of all pages with their ordinal in the document and content hash; no chunk crosses pages."""
-    rows = pages.select("document_id", "page_number", F.posexplode(chunks_of(F.col("text"), limit)).alias("_i", "text"))
+    """Chunks of all pages with their ordinal in the document and content hash; no chunk crosses pages.
+
+    Pages are cut in Arrow batches, each in one pass, as greedy packing is a loop and nothing else; a null text has no chunks.
+    """
+    kinds = pages.schema
+    columns = ", ".join(f"{c} {kinds[c].dataType.simpleString()}" for c in ("document_id", "page_number"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                found = [chunks_of(x, limit) if x else [] for x in part.column(2).to_pylist()]
+                rows = pa.array([i for i, x in enumerate(found) for _ in x], pa.int64())
+                places, texts = [i for x in found for i in range(len(x))], [c for x in found for c in x]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array(places, pa.int32()), pa.array(texts, pa.string())], names=["document_id", "page_number", "_i", "text"])
+
+    rows = pages.select("document_id", "page_number", "text").mapInArrow(cut, f"{columns}, _i int, text string")
     order = Window.partitionBy("document_id").orderBy("page_number", "_i")
     return rows.select("document_id", (F.row_number().over(order) - 1).alias("ordinal"), "page_number", "text", F.sha2("text", 256).alias("content_hash"))
 

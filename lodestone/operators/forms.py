@@ -40,11 +40,10 @@ def _element(schema: str, items: str) -> str:
     return schema[at : end - 1]
 
 
-def grouped_in_order(rows: DataFrame, keys: Sequence[str], kind: str, kinds: Sequence[str], label: str, order: str) -> DataFrame:
-    """Labels of each kind as one array in order, kinds numbered as they are listed; kinds that are not listed come last."""
+def grouped_in_order(rows: DataFrame, kind: str, kinds: Sequence[str]) -> DataFrame:
+    """Add place: kinds numbered as they are listed; kinds that are not listed come last. Rows stay rows, however many a group has."""
     place = F.array_position(F.array(*map(F.lit, kinds)), F.col(kind))
-    ranked = rows.withColumn("place", F.when(place > 0, place).otherwise(len(kinds) + 1))
-    return ranked.groupBy(*keys, "place", kind).agg(F.transform(F.sort_array(F.collect_list(F.struct(order, label))), lambda x: x[label]).alias("labels"))
+    return rows.withColumn("place", F.when(place > 0, place).otherwise(len(kinds) + 1))
 
 
 def in_words(text: Column, typed: Column) -> Column:

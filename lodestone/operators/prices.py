@@ -35,7 +35,8 @@ def corporate_actions(prices: DataFrame) -> DataFrame:
 
 def adjusted_closes(prices: DataFrame) -> DataFrame:
     """Add adjusted: the close times the factors of all later rows; a row's own factor does not apply to it."""
-    later = _days().rowsBetween(1, Window.unboundedFollowing)
+    # From the newest day back, so that the frame only grows and no row's product is computed anew.
+    later = Window.partitionBy("symbol").orderBy(F.desc("trade_date")).rowsBetween(Window.unboundedPreceding, -1)
     product = F.coalesce(F.product(F.coalesce("factor", F.lit(1.0))).over(later), F.lit(1.0))
     return with_factors(prices).withColumn("adjusted", F.col("close").cast("double") * product)
 

@@ -56,7 +56,7 @@ def fair_cap(df: DataFrame, group: str, order: Sequence[Column], limit: int) ->
     return dealt.orderBy("depth", group).limit(limit)
 
 
-def keyset_page(df: DataFrame, key: str, cursor: int | None, limit: int) -> DataFrame:
+def keyset_page(df: DataFrame, key: str, cursor: int | Column | None, limit: int) -> DataFrame:
     """One page below the cursor, newest first, with the cursor of the next page (null on the last)."""
     rows = df if cursor is None else df.where(F.col(key) < cursor)
     page = rows.orderBy(F.desc(key)).limit(limit + 1)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,21 +24,82 @@ def is_sound(vector: Column, size: int) -> Column:
     return (F.size(vector) == size) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
 
 
-def top_k(chunks: DataFrame, question: list[float], k: int = CANDIDATES, vector: str = "embedding", key: str = "chunk_id") -> DataFrame:
-    """The k chunks most similar to one question vector, ties to the smaller id; a top-k sort, not a full one."""
-    asked = F.array(*[F.lit(float(x)) for x in question])
-    return chunks.withColumn("similarity", cosine_similarity(F.col(vector), asked)).orderBy(F.desc("similarity"), key).limit(k)
+def top_k(chunks: DataFrame, question: list[float] | DataFrame, k: int = CANDIDATES, vector: str = "embedding", key: str = "chunk_id") -> DataFrame:
+    """The k chunks most similar to one question vector, ties to the smaller id; a top-k sort, not a full one.
+
+    question: the values, or a frame whose first row has them in its only column; that row is broadcast.
+    """
+    if isinstance(question, DataFrame):
+        asked = chunks.crossJoin(F.broadcast(question.limit(1).toDF("_asked")))
+    else:
+        asked = chunks.withColumn("_asked", F.array(*[F.lit(float(x)) for x in question]))
+    return asked.withColumn("similarity", cosine_similarity(F.col(vector), F.col("_asked"))).drop("_asked").orderBy(F.desc("similarity"), key).limit(k)
+
+
+#: Vectors of chunks and of questions that meet in one task.
+CHUNK_BLOCK, QUESTION_BLOCK = 20_000, 1_000
+#: By so much two ways of adding up a similarity may differ.
+_SLACK = 1e-9
+
+
+def _vectors(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors as rows of doubles; those that are null, of another length than the first or hold nulls are rows of zeros."""
+    lists = column.to_pylist()
+    width = next((len(v) for v in lists if v), 1)
+    sound = [v if v is not None and len(v) == width and None not in v else [0.0] * width for v in lists]
+    return np.array(sound, np.float64).reshape(len(lists), width)
+
+
+def _block_top(k: int):
+    def run(chunks: pa.Table, questions: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if chunks.num_rows and questions.num_rows:
+            a, q = _vectors(chunks["_vector"]), _vectors(questions["_vector"])
+            if a.shape[1] == q.shape[1]:
+                norm = lambda m: np.sqrt(_fold(m, m))
+                na, nq, ids = norm(a), norm(q), chunks["_key"].to_numpy()
+                with np.errstate(all="ignore"):
+                    near = np.nan_to_num((q @ a.T) / nq[:, None] / na, nan=-2.0)
+                for i, asked in enumerate(questions["question_id"].to_pylist()):
+                    row = near[i]
+                    least = np.partition(row, -k)[-k] if len(row) > k else -1.5
+                    some = np.flatnonzero((row >= least - _SLACK) & (row > -1.5))
+                    score = _fold(a[some], np.broadcast_to(q[i], a[some].shape)) / (na[some] * nq[i])
+                    best = np.lexsort((ids[some], -score))[:k]
+                    out += zip([asked] * len(best), ids[some][best].tolist(), score[best].tolist(), strict=True)
+        asked, keys, scores = zip(*out, strict=True) if out else ((), (), ())
+        return pa.table({"question_id": pa.array(asked, pa.int64()), "_key": pa.array(keys, pa.int64()), "similarity": pa.array(scores, pa.float64())})
+
+    return run
+
+
+def _fold(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of rows, added from the first component on, as dot() does."""
+    total = np.zeros(len(a))
+    for j in range(a.shape[1]):
+        total = total + a[:, j] * b[:, j]
+    return total
 
 
 def top_k_per_query(chunks: DataFrame, questions: DataFrame, k: int, vector: str = "embedding", key: str = "chunk_id") -> DataFrame:
-    """The k most similar chunks of each question. Questions (question_id, question) are a stated, small set and are broadcast.
+    """The k most similar chunks of each question (question_id, question), exact, ties to the smaller key; place from 1.
 
-    Groups are limited to k rows in each partition before the shuffle.
+    Chunks and questions are cut into blocks by hash, each block of one meets each block of the other in a task of
+    bounded size as one matrix product, and keeps the k best of each question there; these are ranked. Nothing is
+    broadcast, and what is shuffled grows with chunks times blocks of questions. What rounding could order otherwise
+    is added up anew from the first component on. key and question_id are integers; chunks whose vector is null, has
+    nulls, no length or another length than the question's are found for none. Rows that repeat a key are one.
     """
-    pairs = chunks.join(F.broadcast(questions))
-    scored = pairs.select("question_id", key, *[c for c in chunks.columns if c not in (key, vector)], cosine_similarity(F.col(vector), F.col("question")).alias("similarity"))
-    place = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("similarity"), key))
-    return scored.withColumn("place", place).where(F.col("place") <= k)
+    n_chunks, n_questions = -(-chunks.count() // CHUNK_BLOCK) or 1, -(-questions.count() // QUESTION_BLOCK) or 1
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    once = chunks.dropDuplicates([key])
+    left = once.select(F.col(key).cast("long").alias("_key"), F.col(vector).cast("array<double>").alias("_vector"), block(key, n_chunks).alias("_c"), every(n_questions).alias("_q"))
+    right = questions.select(F.col("question_id").cast("long"), F.col("question").cast("array<double>").alias("_vector"), block("question_id", n_questions).alias("_q"), every(n_chunks).alias("_c"))
+    found = left.groupBy("_c", "_q").cogroup(right.groupBy("_c", "_q")).applyInArrow(_block_top(k), "question_id long, _key long, similarity double")
+    place = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("similarity"), "_key"))
+    best = found.withColumn("place", place).where(F.col("place") <= k)
+    return best.join(once.drop(vector), F.col("_key") == F.col(key)).drop("_key")
 
 
 def bonus_score(similarity: Column, recency: Column, profile_similarity: Column) -> Column:

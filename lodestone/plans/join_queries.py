@@ -30,9 +30,9 @@ def stock_list(spark, sf_dir):
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey = (SELECT max(o_orderkey) FROM orders)")
 def point_lookup(spark, sf_dir):
-    """S-02: one row by its unique key; the condition is pushed to the scan."""
+    """S-02: one row by its unique key, which a subquery of the same plan gives."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
-    return ops.where_if(orders, "o_orderkey", orders.agg(F.max("o_orderkey")).first()[0])
+    return orders.where(F.col("o_orderkey") == orders.agg(F.max("o_orderkey")).scalar())
 
 
 @query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus IN ('F', 'P')")
@@ -160,7 +160,7 @@ def newest_of_two(spark, sf_dir):
 def keyset_page(spark, sf_dir):
     """O-04: one page below a cursor, with the next page's cursor."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey")
-    return rank.keyset_page(orders, "o_orderkey", orders.agg(F.max("o_orderkey")).first()[0] - 20, 10)
+    return rank.keyset_page(orders, "o_orderkey", orders.agg(F.max("o_orderkey")).scalar() - 20, 10)
 
 
 @query("""SELECT conv_id, turn, place FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM (

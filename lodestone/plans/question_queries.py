@@ -226,12 +226,13 @@ def array_rules(spark, sf_dir):
     return rows.select("conv_id", forms.valid_values(v, known, True).alias("one"), forms.valid_values(v, known, False).alias("many"))
 
 
-@query("""SELECT source, CASE lang WHEN 'en' THEN 1 WHEN 'de' THEN 2 ELSE 3 END AS place, lang, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS ids FROM documents GROUP BY ALL""")
+@query("""SELECT source, CASE lang WHEN 'en' THEN 1 WHEN 'de' THEN 2 ELSE 3 END AS place, lang, doc_id, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id DESC) <= 10 AS shown FROM documents""")
 def grouped_documents(spark, sf_dir):
-    """N-10, O-11: documents grouped by kind in a fixed order."""
-    docs = table(spark, sf_dir, "documents").select("source", "lang", "doc_id", F.col("doc_id").cast("string").alias("label"))
-    found = forms.grouped_in_order(docs, ["source"], "lang", ("en", "de"), "label", "doc_id")
-    return found.select("source", F.col("place").cast("long").alias("place"), "lang", F.array_join("labels", ",").alias("ids"))
+    """N-10, O-11: documents grouped by kind in a fixed order, the ten newest of each group shown."""
+    docs = forms.grouped_in_order(table(spark, sf_dir, "documents").select("source", "lang", "doc_id"), "lang", ("en", "de"))
+    shown = docs.select(F.col("source").alias("_s"), F.col("lang").alias("_l"), F.col("doc_id").alias("_d")).withColumn("_n", F.row_number().over(Window.partitionBy("_s", "_l").orderBy(F.desc("_d")))).where("_n <= 10")
+    found = docs.join(shown, F.col("source").eqNullSafe(F.col("_s")) & F.col("lang").eqNullSafe(F.col("_l")) & (F.col("doc_id") == F.col("_d")), "left")
+    return found.select("source", F.col("place").cast("long").alias("place"), "lang", "doc_id", F.col("_n").isNotNull().alias("shown"))
 
 
 @query("SELECT s_suppkey, s_name FROM supplier WHERE contains(lower(s_name), 'supp') AND contains(lower(s_name), '1')")

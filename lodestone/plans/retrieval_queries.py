@@ -23,7 +23,7 @@ _CHUNKS_SQL = "chunks AS (SELECT vec_id AS chunk_id, label::BIGINT AS document_i
 @query(f"WITH {_CHUNKS_SQL} SELECT a.chunk_id, a.document_id, round({_COS}, 9) AS similarity FROM chunks a, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY {_COS} DESC, a.chunk_id LIMIT 50")
 def top_k_similarity(spark, sf_dir):
     """V-01, O-01: exact cosine top-k for one question."""
-    asked = table(spark, sf_dir, "embeddings").where("vec_id = 0").first()["embedding"]
+    asked = table(spark, sf_dir, "embeddings").where("vec_id = 0").select("embedding")
     return ops.top_k(_chunks(spark, sf_dir), asked).select("chunk_id", "document_id", F.round("similarity", 9).alias("similarity"))
 
 

@@ -33,27 +33,29 @@ def price_csv(spark, sf_dir):
 _ITEM_SQL = "SELECT page_id, url, replace(trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g')), '&amp;', '&') AS title FROM pages"
 
 
-@query(f"""WITH i AS ({_ITEM_SQL}), u AS (SELECT page_id % 4 AS feed, page_id, title,
+@query(f"""WITH i AS ({_ITEM_SQL}), u AS (SELECT page_id // 200 AS feed, page_id, title,
   'https://' || lower(regexp_extract(url, '^[^:/]+://([^/?#:]*)', 1)) || regexp_extract(url, '^[^:/]+://[^/?#]*([^?#]*)', 1)
   || coalesce('?' || nullif(list_aggregate(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(split_part(x, '=', 1), '^(utm_.*|fbclid|gclid|msclkid|mc_cid|mc_eid|igshid)$')), 'string_agg', '&'), ''), '') AS link FROM i)
 SELECT feed::VARCHAR AS feed, link AS canonical_url, title, epoch(TIMESTAMP '2026-09-15 05:00:00')::BIGINT AS published, sha256(lower(title)) AS title_hash
-FROM (SELECT *, row_number() OVER (PARTITION BY feed ORDER BY page_id) AS n, row_number() OVER (PARTITION BY feed, link ORDER BY page_id) AS r FROM u) WHERE r = 1 AND n <= 200 AND title <> ''""")
+FROM (SELECT *, row_number() OVER (PARTITION BY feed, link ORDER BY page_id) AS r FROM u) WHERE r = 1 AND title <> ''""")
 def rss_items(spark, sf_dir):
-    """S-07, P-12: pages as four feeds with CDATA, entities and a broken one, read item by item; repeated addresses go."""
+    """S-07, P-12: all pages as feeds of 200 with CDATA, entities and a broken one, read item by item; repeated addresses go."""
     title = t.collapse(F.regexp_extract("html", "<title>([^<]*)</title>", 1))
     escaped = F.replace(F.replace(F.col("url"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     shown = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("<![CDATA["), title, F.lit("]]>"))).otherwise(title)
     item = F.concat(F.lit("<item rdf='x'><title>"), shown, F.lit("</title><link>"), escaped, F.lit("</link><pubDate>Tue, 15 Sep 2026 10:30:00 +0530</pubDate><description>&lt;p&gt;d&lt;/p&gt;</description></item>"))
-    rows = table(spark, sf_dir, "pages").select((F.col("page_id") % 4).cast("string").alias("feed"), F.struct("page_id", item.alias("item")).alias("_i"))
+    rows = table(spark, sf_dir, "pages").select((F.floor(F.col("page_id") / 200)).cast("string").alias("feed"), F.struct("page_id", item.alias("item")).alias("_i"))
     bodies = rows.groupBy("feed").agg(F.concat(F.lit("<!DOCTYPE rss><rss><channel>"), F.array_join(F.transform(F.sort_array(F.collect_list("_i")), lambda x: x["item"]), "\n")).alias("body"))
     found = feeds.items_of(bodies)
     return found.select("feed", "canonical_url", "title", F.unix_timestamp("published_at").alias("published"), "title_hash")
 
 
-@query("SELECT 'https://example.org/notice/' || i AS canonical_url, 'Notice ' || i || ': penalty & order' AS title FROM range(3) r(i)")
+@query("""SELECT 'fixture-' || n_nationkey AS feed, 'https://example.org/notice/' || i AS canonical_url, 'Notice ' || i || ': penalty & order of ' || n_name AS title FROM nation, range(3) r(i)""")
 def fixture_items(spark, sf_dir):
-    """S-08: the made feed for work without a network."""
-    return feeds.items_of(feeds.fixture_feed(spark)).select("canonical_url", "title")
+    """S-08: the made feed for work without a network, for each nation of the given table."""
+    made = feeds.fixture_feed(spark).crossJoin(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))  # the made feed is one row
+    named = made.select(F.concat("feed", F.lit("-"), F.col("n_nationkey").cast("string")).alias("feed"), F.replace(F.col("body"), F.lit("order</title>"), F.concat(F.lit("order of "), "n_name", F.lit("</title>"))).alias("body"))
+    return feeds.items_of(named).select("feed", "canonical_url", "title")
 
 
 @query("SELECT DISTINCT source AS feed FROM documents WHERE source NOT IN (SELECT source FROM documents GROUP BY source HAVING max(doc_id) % 2 = 0)")

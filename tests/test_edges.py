@@ -78,11 +78,11 @@ def _greedy(pieces, separator, limit):
     return out
 
 
-def test_packing_is_the_greedy_loop(spark):
+def test_packing_is_the_greedy_loop():
     rng = random.Random(1)
-    rows = [(i, ["x" * rng.randint(1, 30) for _ in range(rng.randint(0, 40))]) for i in range(60)]
-    got = spark.createDataFrame(rows, "i int, pieces array<string>").select("i", documents.pack(F.col("pieces"), "--", 50).alias("p")).collect()
-    assert all(r["p"] == _greedy(dict(rows)[r["i"]], "--", 50) for r in got)
+    for _ in range(60):
+        pieces = ["x" * rng.randint(1, 30) for _ in range(rng.randint(0, 40))]
+        assert documents.pack(pieces, "--", 50) == _greedy(pieces, "--", 50)
 
 
 def test_chunks_lose_no_word_and_keep_their_limit(spark):
