@@ -110,3 +110,13 @@ def snapshot(prices: DataFrame) -> DataFrame:
     actions = adjusted.groupBy("symbol").agg(F.count("factor").alias("n_actions"))
     out = latest_prices(prices).select("symbol", "trade_date", "close", "day_change")
     return out.join(period_returns(adjusted).drop("last_day"), "symbol").join(volatility(adjusted), "symbol").join(actions, "symbol")
+
+
+def returns_by_window(prices: DataFrame, months: dict[str, int] = RETURN_MONTHS) -> DataFrame:
+    """symbol and returns, a map with every window's name; null under those that the history does not reach or whose base is not positive.
+
+    A symbol without prices is no row; the names of the map are those of months without their prefix, always all of them.
+    """
+    found = period_returns(adjusted_closes(prices), months)
+    pairs = [x for name in months for x in (F.lit(name.removeprefix("return_")), F.col(name))]
+    return found.select("symbol", F.create_map(*pairs).alias("returns"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as t
 from lodestone.operators import documents as ops
-from lodestone.operators import figures
+from lodestone.operators import figures, merge
 from lodestone.plans import planted
 from lodestone.plans.registry import query
 from lodestone.session import table
@@ -146,3 +146,11 @@ def validate_candidates(spark, sf_dir):
     """C-06 to C-11, T-01 to T-03, M-06, P-13: a proposed figure of each order, of its own amount and year; every code of rejection occurs."""
     rows = planted.cases(spark, sf_dir, [c[:-1] for c in CANDIDATES], _CANDIDATE_SCHEMA)
     return ops.validate_candidates(rows).select("id", "code", F.col("value").cast("double").alias("value"))
+
+
+@query(planted.cases_sql([(c[-1], "{n}") for c in CANDIDATES], "code, n", "id, id % 18 AS kind") + " WHERE code IS NULL")
+def revalidated_facts(spark, sf_dir):
+    """C-11, K-09: stored figures judged again by the rules as they are now, each with its page; those that fail are deleted."""
+    stored = planted.cases(spark, sf_dir, [c[:-1] for c in CANDIDATES], _CANDIDATE_SCHEMA)
+    failing = ops.validate_candidates(stored).where("code IS NOT NULL")
+    return merge.delete_ids(stored, failing, "id").select("id", (F.col("id") % 18).alias("kind"))

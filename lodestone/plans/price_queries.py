@@ -32,7 +32,7 @@ def adjusted_closes(spark, sf_dir):
 _LAST_SQL = "last AS (SELECT symbol, max(trade_date) AS d, arg_max(adj, trade_date) AS a FROM adjusted GROUP BY 1)"
 
 
-@query(f"""WITH {PRICES_SQL}, {_LAST_SQL}, bases AS (
+_RETURNS_SQL = f"""WITH {PRICES_SQL}, {_LAST_SQL}, bases AS (
   SELECT a.symbol, m.months, arg_max(a.adj, a.trade_date) AS base
   FROM adjusted a JOIN last USING (symbol) CROSS JOIN (VALUES (1), (3), (6), (12)) m(months)
   WHERE a.trade_date <= (last.d - to_months(m.months))::DATE GROUP BY 1, 2
@@ -40,12 +40,21 @@ _LAST_SQL = "last AS (SELECT symbol, max(trade_date) AS d, arg_max(adj, trade_da
 SELECT last.symbol, last.d AS last_day,
        max(CASE WHEN months = 1 AND base > 0 THEN round((a / base - 1) * 100, 1) END) AS return_1m, max(CASE WHEN months = 3 AND base > 0 THEN round((a / base - 1) * 100, 1) END) AS return_3m,
        max(CASE WHEN months = 6 AND base > 0 THEN round((a / base - 1) * 100, 1) END) AS return_6m, max(CASE WHEN months = 12 AND base > 0 THEN round((a / base - 1) * 100, 1) END) AS return_1y
-FROM last LEFT JOIN bases USING (symbol) GROUP BY last.symbol, last.d""")
+FROM last LEFT JOIN bases USING (symbol) GROUP BY last.symbol, last.d"""
+
+
+@query(_RETURNS_SQL)
 def period_returns(spark, sf_dir):
     """J-12, D-07, W-05, R-08: backward as-of joins."""
     return ops.period_returns(ops.adjusted_closes(prices(spark, sf_dir)))
 
 
+@query(f"SELECT symbol, name, CASE name WHEN '1m' THEN return_1m WHEN '3m' THEN return_3m WHEN '6m' THEN return_6m ELSE return_1y END AS value FROM ({_RETURNS_SQL}), (VALUES ('1m'), ('3m'), ('6m'), ('1y')) n(name)")
+def returns_by_window(spark, sf_dir):
+    """N-07: the returns of a symbol as one map by the window's name; all names are there, whatever the history."""
+    return ops.returns_by_window(prices(spark, sf_dir)).select("symbol", F.explode("returns").alias("name", "value"))
+
+
 _VOLATILITY_SQL = f"""{_LAST_SQL}, recent AS (
   SELECT a.symbol, a.adj / lag(CASE WHEN a.adj > 0 THEN a.adj END) OVER (PARTITION BY a.symbol ORDER BY a.trade_date) - 1 AS r
   FROM adjusted a JOIN last USING (symbol) WHERE a.trade_date >= last.d - 365

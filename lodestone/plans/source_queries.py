@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as t
 from lodestone.plans.adapters import PRICES_SQL, STOCKS_SQL, prices, stocks
+from lodestone.operators import merge
 from lodestone.plans.registry import query
 from lodestone.sources import company_pages as pages
 from lodestone.sources import feeds, landing, price_files
@@ -74,6 +75,31 @@ def blob_round_trip(spark, sf_dir):
     return landing.get_blobs(spark, keyed, path).select("doc_id", "blob_key", F.char_length("content").cast("long").alias("n"))
 
 
+@query("SELECT 'documents/' || sha256(text) || '.pdf' AS blob_key, octet_length(encode(text)) AS n_bytes, count(*) AS n_documents, sha256(text) AS sha FROM documents GROUP BY text")
+def stored_objects(spark, sf_dir):
+    """S-14: one file for each content, named by its hash, read back whole; and how many documents it stands for."""
+    path = landing.landing_folder(spark, "objects")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("content"))
+    put = landing.put_objects(docs, path).count()
+    found = landing.objects(spark, path)
+    keys = docs.select(landing.blob_key(F.col("content")).alias("_key")).groupBy("_key").agg(F.count(F.lit(1)).alias("n_documents"))
+    joined = found.join(keys, F.col("blob_key") == F.col("_key"))
+    return joined.where(F.lit(put) > 0).select("blob_key", "n_bytes", "n_documents", F.sha2("content", 256).alias("sha"))
+
+
+@query("""WITH d AS (SELECT doc_id, text, doc_id % 2 = 0 AS pending FROM documents), kept AS (SELECT DISTINCT text FROM d WHERE doc_id % 5 <> 0)
+SELECT doc_id, pending FROM d WHERE NOT pending OR text IN (SELECT text FROM kept)""")
+def unread_documents(spark, sf_dir):
+    """K-15: documents that wait and whose file is gone are forgotten, so that they are discovered anew; a document that was read stays."""
+    path = landing.landing_folder(spark, "objects")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("content"), (F.col("doc_id") % 2 == 0).alias("pending"))
+    landing.put_objects(docs.where("doc_id % 5 <> 0"), path).count()
+    held = landing.objects(spark, path).select(F.col("blob_key").alias("_there"))
+    keyed = docs.select("doc_id", "pending", landing.blob_key(F.col("content")).alias("_key"))
+    gone = keyed.where("pending").join(held, F.col("_key") == F.col("_there"), "left_anti")
+    return merge.delete_ids(keyed, gone, "doc_id").select("doc_id", "pending")
+
+
 _YEARLY_SQL = """yearly AS (SELECT c_nationkey::BIGINT AS page_id, year(o_orderdate) AS y, round(max(o_totalprice), 2)::DECIMAL(20,2) AS v, count(*)::DECIMAL(20,2) AS n
   FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
 cells AS (SELECT page_id, 'profit-loss' AS section, 'Sales' AS row_label, 'Mar ' || y AS column_label, v AS value FROM yearly

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
+from lodestone.sources.landing import place_of
+
 NAME = "polled_files"
 SCHEMA = "file string, validator string, line long, text string"
 _ARROW = pa.schema([("file", pa.string()), ("validator", pa.string()), ("line", pa.int64()), ("text", pa.string())])
@@ -27,8 +29,7 @@ class PolledFile(InputPartition):
 def _place(path: str):
     from pyarrow import fs
 
-    uri = "file://" + path.removeprefix("file:") if path.startswith("file:/") and not path.startswith("file://") else path
-    return fs.FileSystem.from_uri(uri)
+    return fs.FileSystem.from_uri(place_of(path))
 
 
 def validators(path: str) -> dict[str, str]:
