@@ -50,6 +50,15 @@ def test_components_of_a_path_and_a_star(spark):
     assert all(got[i] == 10 for i in range(11, 61)) and all(got[i] == 100 for i in range(101, 400)) and not {7, 3} & set(got)
 
 
+def test_scores_are_those_of_plain_deleted_interpolation(spark, documents):
+    """The mixture is learned from estimates rounded to quarter octaves, which moves scores by less than a hundredth."""
+    some = [d for d in documents[1] if len(d[1] or "") < 3000][:120]
+    want = brute.interpolated_scores(some)
+    got = {r["doc_id"]: r["score"] for r in ngram_lm.score_documents(spark.createDataFrame(some, "doc_id long, text string"), batch_bytes=20_000).collect()}
+    assert set(got) == set(want) and all(math.isclose(got[i], want[i], rel_tol=0.01) for i in want)
+    assert math.isclose(sum(got.values()), sum(want.values()), rel_tol=0.003)
+
+
 def test_language_model_beats_the_base_on_held_out_texts(spark, documents):
     want = brute.base_scores(documents[1])
     got = ngram_lm.op3_lm_scores(spark, SF).collect()

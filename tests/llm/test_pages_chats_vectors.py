@@ -271,3 +271,18 @@ def test_odd_vectors(spark):
     both = ann.nearest(vectors.select("vec_id", "embedding").unionByName(short)).collect()
     assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in both} == {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got} | {(40, 1, 41, 3.0), (40, 2, 42, 2.0), (40, 3, 9, 1.0)}
     assert ann.nearest(vectors.limit(0)).isEmpty() and ann.nearest(vectors.where("vec_id = 0")).isEmpty()
+
+
+def test_conversations_with_odd_rows_are_formatted(spark):
+    rows = [(1, None, "user", "first"), (1, 1, "user", "same"), (1, 1, "user", "same"), (1, 1, None, None), (2, 5, "assistant", None), (None, 1, "user", "no id <|im_end|>"), (3, 0, "assistant", "word " * 20000)]
+    frame = spark.createDataFrame([(*r, 1, 2, 3, 4, 5) for r in rows], "conv_id long, turn long, role string, text string, _c int, _m int, _up int, leaf int, msg_id int")
+    found = chat.format_reply_trees(chat.as_messages(frame))
+    read = found.select("conv_id", chat.parse_turns(F.col("formatted")).alias("t"), chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    got = {r["conv_id"]: ([(t["role"], t["text"]) for t in r["t"]], r["loss"]) for r in read.collect()}
+    assert got == {
+        1: ([("user", "first"), ("", ""), ("user", "same"), ("user", "same")], []),
+        2: ([("assistant", "")], [""]),
+        None: ([("user", "no id <|im_end|>")], []),
+        3: ([("assistant", "word " * 20000)], ["word " * 20000]),
+    }
+    assert chat.format_reply_trees(chat.as_messages(frame.where("false"))).count() == 0
