@@ -26,6 +26,8 @@ SAMPLES, SKETCH_BITS = 256, 512
 LEAST_ESTIMATE = 0.55
 #: Members of a bucket that are compared in one task, against as many others, and shingles that they hold at most about (16 MB).
 BLOCK, BLOCK_SHINGLES = 512, 2_000_000
+#: A bucket with more members is split by the members' other bands before it is compared in blocks.
+HOT_BUCKET = 32_768
 #: So many ids (some 100 MB) are broadcast to pick their documents; more are joined by a shuffle.
 BROADCAST_IDS = 4_000_000
 _A = np.random.default_rng(20240607).integers(0, 1 << 31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -176,6 +178,24 @@ def _in_blocks(members: DataFrame) -> DataFrame:
     )
 
 
+def _split_hot(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Members of open buckets, those of very large buckets dealt to smaller ones by their other bands.
+
+    Two texts of a large bucket that are linked share a further band but for one pair in a hundred thousand, as they share any
+    band at all, so a large bucket becomes one for each other band's value, and its rows grow by the number of bands and not with its
+    members. What is large even then is compared in blocks.
+    """
+    hot = members.where(F.col("n_members") > HOT_BUCKET)
+    if hot.isEmpty():
+        return members
+    others = classes.select(F.col("node").alias("_n"), F.explode("bands").alias("_other"))
+    dealt = hot.drop("n_members").join(others, F.col("node") == F.col("_n")).where(F.col("_other") != F.col("bucket"))
+    dealt = dealt.withColumn("bucket", F.xxhash64("bucket", "_other")).drop("_n", "_other")
+    open_ = dealt.groupBy(F.col("bucket").alias("_b")).agg(F.count(F.lit(1)).alias("n_members"), F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi")
+    kept = dealt.join(open_.select(unplaced(F.col("_b")).alias("_b"), "n_members"), F.col("bucket") == F.col("_b")).drop("_b")
+    return cut(members.where(F.col("n_members") <= HOT_BUCKET).unionByName(kept))
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Components of documents linked by a Jaccard similarity of 0.75 or more of their 5-word shingle sets.
 
@@ -191,7 +211,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     2. Odd sketches of the two drop pairs that are clearly less similar; full sets confirm the rest.
     3. Links of one bucket that this star does not show lie between different components. Buckets
        that still hold several components are compared in blocks, again by sketches first and full
-       sets then, and a block emits at most as many edges as it has members.
+       sets then, and a block emits at most as many edges as it has members. Very large buckets are split by further bands first.
     """
     signed = cut(signatures(docs, text, doc_id))
     classes = (
@@ -245,6 +265,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
         .join(facts.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"))
         .drop("_n")
     )
+    open_members = _split_hot(open_members, classes)
     pair = ["bucket", "left", "right"]
     maybe = _in_blocks(open_members.withColumn("n_held", F.lit(0))).groupBy(*pair).applyInPandas(_maybe_linked, "bucket long, node long").distinct()
     chosen = cut(maybe.withColumnsRenamed({"bucket": "_b", "node": "_n"}))

@@ -8,6 +8,7 @@ import brute
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lodestone.llm import components, decontaminate, lang_id, line_dedup, mixing, near_dup, ngram_lm, shingles
 
@@ -30,6 +31,27 @@ def test_near_duplicates_in_a_hot_group(spark):
     assert got == brute.components(rows)
 
 
+def test_hot_buckets_are_split_by_other_bands(spark, monkeypatch):
+    """Texts of many components in shared buckets, with every bucket taken for a hot one: the same components, from fewer pairs."""
+    monkeypatch.setattr(near_dup, "HOT_BUCKET", 2)
+    common = [f"c{i}" for i in range(30)]
+    rows = []
+    for i in range(260):
+        own = [f"t{i // 4}x{j}" for j in range(20 + i % 3)]
+        rows.append((i, " ".join(common + own[: 20 - i % 4] + [f"e{i % 2}"])))
+    compared = []
+    blocks = near_dup._in_blocks
+    monkeypatch.setattr(near_dup, "_in_blocks", lambda m: compared.append(m.groupBy("bucket").count().agg(F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()[0] or 0) or blocks(m))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(frame).collect()}
+    assert got == brute.components(rows)
+    split = compared[0]
+    monkeypatch.setattr(near_dup, "HOT_BUCKET", 1 << 40)
+    compared.clear()
+    assert {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(frame).collect()} == got
+    assert 0 < split < compared[0]
+
+
 def test_odd_sketches_estimate_high_similarities():
     rng = np.random.default_rng(1)
     shared, a, b = (rng.integers(0, 1 << 62, n, dtype=np.uint64) for n in (900, 50, 50))
