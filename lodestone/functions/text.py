@@ -52,6 +52,17 @@ def numbers_in(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(normalise(text), F.lit(NUMBER_IN_TEXT), F.lit(0)), _signed)
 
 
+def numbers_in_prepared(prepared: Column) -> Column:
+    """As numbers_in, of a text that prepare() has been applied to."""
+    plain = collapse(F.regexp_replace(prepared, rf"(?:{RUPEE})\s*", ""))
+    return F.transform(F.regexp_extract_all(plain, F.lit(NUMBER_IN_TEXT), F.lit(0)), _signed)
+
+
+def printed_amount(digits: Column) -> Column:
+    """A number that a pattern has cut out of a prepared text; null if its grouping is none."""
+    return F.when(digits.rlike(rf"^(?:\({DIGITS}\)|-?{DIGITS})$"), _signed(digits))
+
+
 def count_numbers(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"\d[\d,]*(?:\.\d+)?"))
 
