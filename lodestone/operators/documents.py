@@ -224,9 +224,9 @@ def validate_candidates(candidates: DataFrame) -> DataFrame:
         }
     )
     metric, quote, page = F.col("metric"), F.col("_quote"), F.col("_page")
-    kind = _by_metric(metric, {k: v[0] for k, v in METRICS.items()}, F.lit(None))
-    applies = _by_metric(metric, {k: v[1] for k, v in METRICS.items()}, F.lit(None))
     labelled = _by_metric(metric, {k: quote.rlike(rf"\b(?:{v})\b") for k, v in LABELS.items()}, F.lit(False))
+    rows = rows.withColumns({"_kind": _by_metric(metric, {k: v[0] for k, v in METRICS.items()}, F.lit(None)), "_applies": _by_metric(metric, {k: v[1] for k, v in METRICS.items()}, F.lit(None))})
+    kind, applies = F.col("_kind"), F.col("_applies")
     problem = F.when((metric == "net_profit") & quote.rlike(ADJUSTED), "adjusted_figure").when(
         metric == "dividend_per_share",
         F.when(quote.rlike(DIVIDEND_PAID), "dividend_paid_not_declared").when(
@@ -234,12 +234,15 @@ def validate_candidates(candidates: DataFrame) -> DataFrame:
         ),
     )
     number = F.col("_number")
-    currency = F.when(kind != "percent", F.col("_evidenced"))
+    rows = rows.withColumn("_currency", F.when(kind != "percent", F.col("_evidenced")))
+    currency = F.col("_currency")
     word = F.col("unit_word")
     scale_shown = _by_metric(word, {k: page.rlike(v) for k, v in SCALE.items()}, F.lit(False))
     factor = F.when(currency == "INR", _by_metric(word, {k: F.lit(v).cast("decimal(10,4)") for k, v in TO_CRORE.items()}, F.lit(None))).otherwise(
         _by_metric(word, {k: F.lit(v).cast("decimal(10,4)") for k, v in TO_MILLION.items()}, F.lit(None))
     )
+    rows = rows.withColumn("_factor", factor)
+    factor = F.col("_factor")
     unit = F.when(kind == "percent", "PERCENT").otherwise(
         F.concat(currency, F.when(kind == "per_share", "_PER_SHARE").when(currency == "INR", "_CRORE").otherwise("_MILLION"))
     )
@@ -248,7 +251,8 @@ def validate_candidates(candidates: DataFrame) -> DataFrame:
         .when(kind == "per_share", word.isin("per_share", "none") & quote.rlike(SHARE_SHOWN))
         .otherwise(factor.isNotNull() & scale_shown)
     )
-    value = F.when(kind == "amount", number * factor).otherwise(number).cast("decimal(24,4)")
+    rows = rows.withColumns({"_unit": unit, "_value": F.when(kind == "amount", number * factor).otherwise(number).cast("decimal(24,4)")})
+    unit, value = F.col("_unit"), F.col("_value")
     year = F.right(F.col("period"), F.lit(4))
     yy, before = F.right(year, F.lit(2)), F.lpad((year.try_cast("int") - 1).cast("string").substr(3, 2), 2, "0")
     evidence = F.concat(
@@ -286,7 +290,7 @@ def validate_candidates(candidates: DataFrame) -> DataFrame:
             "evidenced": F.when(accepted, currency),
             "basis": F.when(said, F.col("basis")).otherwise("unspecified"),
         }
-    ).drop("_quote", "_page", "_number", "_numbers", "_evidenced")
+    ).drop("_quote", "_page", "_number", "_numbers", "_evidenced", "_kind", "_applies", "_currency", "_factor", "_unit", "_value")
 
 
 def validate_events(events: DataFrame) -> DataFrame:

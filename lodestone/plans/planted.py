@@ -7,6 +7,8 @@ amount with a comma, {m} another amount, {d} and {e} its day as a date and its m
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,8 +52,8 @@ def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select(F.col("o_orderkey").alias("id"), *[value.alias(blank) for blank, value in fill.items()])
 
 
-def filled(text: Column) -> Column:
-    for blank in _FILL_SQL:
+def filled(text: Column, blanks: Iterable[str] = tuple(_FILL_SQL)) -> Column:
+    for blank in blanks:
         text = F.replace(text, F.lit(blank), F.col(blank))
     return text
 
@@ -61,7 +63,8 @@ def cases(spark: SparkSession, sf_dir: str, listed: list[tuple], schema: str, wh
     made = rows(spark, sf_dir)
     numbered = spark.createDataFrame([(i, *r) for i, r in enumerate(listed)], "_case int, " + schema)
     joined = made.crossJoin(F.broadcast(numbered)) if whole else made.join(F.broadcast(numbered), F.col("id") % len(listed) == F.col("_case"))
-    return joined.select("id", *[filled(F.col(f.name)).alias(f.name) if f.dataType.simpleString() == "string" else F.col(f.name) for f in numbered.schema if f.name != "_case"])
+    used = [[b for b in _FILL_SQL if any(isinstance(r[k], str) and b in r[k] for r in listed)] for k in range(len(numbered.columns) - 1)]
+    return joined.select("id", *[filled(F.col(f.name), used[k]).alias(f.name) if used[k] else F.col(f.name) for k, f in enumerate(f for f in numbered.schema if f.name != "_case")])
 
 
 def _show(x: object) -> str:
