@@ -1,4 +1,4 @@
-"""Queries over answers and their evidence: an answer about each order, one for each problem code at least, and the orders' own figures."""
+"""Queries over answers and their evidence: an answer about each customer, one for each problem code at least, and the orders' own figures."""
 
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ def _fact(i, period, amount, value, source="filing", rival_of=None, rivals=(), l
     return (i, "fact", "{a}", f"{{a}} · {metric} · {period} · consolidated · {amount}", source, label, metric, period, [("{a}", metric, period, "consolidated", value)], rival_of, list(rivals), amount, called)
 
 
-#: Evidence of every answer; an order's amount, nation and year are its figures, name and period.
+#: Evidence of every answer; a customer's amount, nation and year are its figures, name and period.
 _ITEMS = [
     _fact("F1", "FY{y}", "₹{g} crore", 1200.0, rivals=["F4"], called="PAT"),
     _fact("F2", "FY{p}", "₹1,000 crore", 1000.0),
@@ -53,7 +53,7 @@ _ANSWERS = 15
 
 
 def _evidence(spark, sf_dir, key):
-    """Nine items for each order."""
+    """Nine items for each customer."""
     names = "id string, kind string, symbol string, text string, source string, label string, metric string, period string, value double, rival_of string, rivals array<string>, amount string, reported_as string, place int"
     flat = [(*item[:8], item[8][0][4] if item[8] else None, *item[9:], n) for n, item in enumerate(_ITEMS)]
     rows = planted.cases(spark, sf_dir, flat, names.replace("id string", "item string", 1), whole=True)
@@ -71,7 +71,7 @@ def _answers(spark, sf_dir):
 
 @query(planted.cases_sql(_PROBLEMS, "claim, code", "id AS answer_id, claim, code", _ANSWERS))
 def claim_check(spark, sf_dir):
-    """Q-09, Q-10, X-04, A-16, A-17: every problem of an answer about each order, whose figures are the order's own; all thirteen codes occur."""
+    """Q-09, Q-10, X-04, A-16, A-17: every problem of an answer about each customer, whose figures are the customer's own; all thirteen codes occur."""
     return ops.check_answers(*_answers(spark, sf_dir)).select("answer_id", "claim", "code")
 
 
@@ -106,7 +106,7 @@ def answer_disclosures(spark, sf_dir):
     return ops.disclosures(claims, evidence)
 
 
-@query(f"SELECT o_orderkey AS answer_id FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % {_ANSWERS} NOT IN (9, 14)")
+@query(f"SELECT c_custkey AS answer_id FROM customer WHERE c_custkey % {_ANSWERS} NOT IN (9, 14)")
 def every_disclosure(spark, sf_dir):
     """Q-11: for a question about sources, every rival that is not cited."""
     _, claims, evidence = _answers(spark, sf_dir)
@@ -128,7 +128,7 @@ def rendered_answers(spark, sf_dir):
     return found.select("answer_id", "answer", F.array_join("sources", "|").alias("sources"))
 
 
-@query(f"SELECT o_orderkey AS answer_id, o_orderkey % {_ANSWERS} = 6 AS explained FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % {_ANSWERS} <> 12")
+@query(f"SELECT c_custkey AS answer_id, c_custkey % {_ANSWERS} = 6 AS explained FROM customer WHERE c_custkey % {_ANSWERS} <> 12")
 def explained_answers(spark, sf_dir):
     """Q-20: answers with a cause that cites a passage or an event."""
     _, claims, evidence = _answers(spark, sf_dir)
@@ -141,7 +141,7 @@ _ASKED = [(["{a}"], ["net_profit"], ["FY{p}", "FY{y}"]), (["{a}", "{b}"], ["net_
 def _asked(spark, sf_dir):
     made = spark.createDataFrame([(i, *r) for i, r in enumerate(_ASKED)], "case int, symbols array<string>, metrics array<string>, periods array<string>")
     joined = planted.rows(spark, sf_dir).join(F.broadcast(made), F.col("id") % len(_ASKED) == F.col("case"))
-    fill = lambda c: F.transform(c, planted.filled)
+    fill = lambda c: F.transform(c, lambda x: planted.filled(x))
     return joined.select(F.col("id").alias("question_id"), fill("symbols").alias("symbols"), "metrics", fill("periods").alias("periods")), _evidence(spark, sf_dir, "question_id")
 
 

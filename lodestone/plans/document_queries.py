@@ -143,7 +143,7 @@ _CANDIDATE_SCHEMA = "metric string, value_text string, unit_word string, currenc
 
 @query(planted.cases_sql([(c[-1], "{n}") for c in CANDIDATES], "code, n", "id, code, CASE WHEN id % 18 = 0 THEN n::DOUBLE WHEN id % 18 = 17 THEN -23.53 END AS value"))
 def validate_candidates(spark, sf_dir):
-    """C-06 to C-11, T-01 to T-03, M-06, P-13: a proposed figure of each order, of its own amount and year; every code of rejection occurs."""
+    """C-06 to C-11, T-01 to T-03, M-06, P-13: a proposed figure of each customer, of its own amount and year; every code of rejection occurs."""
     rows = planted.cases(spark, sf_dir, [c[:-1] for c in CANDIDATES], _CANDIDATE_SCHEMA)
     return ops.validate_candidates(rows).select("id", "code", F.col("value").cast("double").alias("value"))
 

@@ -1,4 +1,4 @@
-"""Queries over questions, preferences, nested forms and exchanges: texts with facts of each order planted in them, and given rows."""
+"""Queries over questions, preferences, nested forms and exchanges: texts with facts of each customer planted in them, and given rows."""
 
 from __future__ import annotations
 
@@ -49,7 +49,7 @@ def _understood(spark, sf_dir):
 
 @query(planted.cases_sql([q[1:] for q in _QUESTIONS], "symbols, metrics, periods, intent, route", "id AS question_id, * EXCLUDE (id)"))
 def understood_questions(spark, sf_dir):
-    """Q-01, Q-02, Q-05, T-18, T-25, D-14, X-09: what the question of each order names, in which order, and what it asks for; all seventeen intents."""
+    """Q-01, Q-02, Q-05, T-18, T-25, D-14, X-09: what the question of each customer names, in which order, and what it asks for; all seventeen intents."""
     listed = {c: F.array_join(c, ",").alias(c) for c in ("symbols", "metrics", "periods")}
     return _understood(spark, sf_dir).select("question_id", *listed.values(), "intent", "route")
 
@@ -64,7 +64,7 @@ def measures_of_questions(spark, sf_dir):
     return _understood(spark, sf_dir).select("question_id", F.array_join(wanted, ",").alias("wanted"))
 
 
-@query(f"SELECT o_orderkey AS question_id, place, 'For ' || company AS choice FROM orders JOIN customer ON o_custkey = c_custkey, (VALUES (0, 'Acme'), (1, 'Beta')) v(place, company) WHERE o_orderkey % {len(_QUESTIONS)} = 6")
+@query(f"SELECT c_custkey AS question_id, place, 'For ' || company AS choice FROM customer, (VALUES (0, 'Acme'), (1, 'Beta')) v(place, company) WHERE c_custkey % {len(_QUESTIONS)} = 6")
 def clarifying_choices(spark, sf_dir):
     """Q-22: a choice for each company where a question names none."""
     return ops.clarify(_understood(spark, sf_dir), ["Acme", "Beta"]).select("question_id", "place", "choice")
@@ -153,7 +153,7 @@ def stated_preferences(spark, sf_dir):
     return _preferences(spark, sf_dir).select("message_id", "field", F.array_join("values", ",").alias("vals"))
 
 
-@query(f"WITH told AS ({planted.cases_sql(_TOLD, 'field, vals', 'id AS user_id, field, vals', len(_MESSAGES))}) SELECT * FROM told UNION ALL SELECT o_orderkey, field, vals FROM orders JOIN customer ON o_custkey = c_custkey, (VALUES ('risk_preference', 'aggressive'), ('investment_style', 'quality')) s(field, vals) WHERE NOT EXISTS (SELECT 1 FROM told WHERE told.user_id = o_orderkey AND told.field = s.field)")
+@query(f"WITH told AS ({planted.cases_sql(_TOLD, 'field, vals', 'id AS user_id, field, vals', len(_MESSAGES))}) SELECT * FROM told UNION ALL SELECT c_custkey, field, vals FROM customer, (VALUES ('risk_preference', 'aggressive'), ('investment_style', 'quality')) s(field, vals) WHERE NOT EXISTS (SELECT 1 FROM told WHERE told.user_id = c_custkey AND told.field = s.field)")
 def merged_profile(spark, sf_dir):
     """Q-04, K-03: what is told replaces the stored value of its field."""
     stored = planted.cases(spark, sf_dir, [("risk_preference", "aggressive"), ("investment_style", "quality")], "field string, v string", whole=True).select(F.col("id").alias("user_id"), "field", F.array("v").alias("values"), F.lit("a").alias("quote"))
