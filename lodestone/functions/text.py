@@ -92,6 +92,13 @@ def unescape_entities(text: Column) -> Column:
     return out
 
 
+def escape_markup(text: Column) -> Column:
+    """Text that unescape_entities() turns back into the given one, and in which no tag or CDATA section begins or ends."""
+    for value, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(value), F.lit(name))
+    return text
+
+
 def strip_markup(text: Column) -> Column:
     return collapse(unescape_entities(F.regexp_replace(text, r"<[^>]*>", " ")))
 
