@@ -23,3 +23,12 @@ def test_figures_are_multiplied_as_the_sql_does(spark, tmp_path):
     found = {r.doc_id: r.value for r in entry.queries()["figures_in_texts"](spark, str(tmp_path)).collect()}
     expected = {k: v for k, v in oracle.duck(str(tmp_path)).execute(f"SELECT doc_id, value FROM ({entry.oracle_sql()['figures_in_texts']})").fetchall()}
     assert found == expected and expected[37508] == 477.96000000000004  # to the last bit
+
+
+def test_text_vectors_send_words_of_batches_not_of_texts(spark):
+    from lodestone.operators.vectors import text_vectors
+
+    docs = spark.range(400).select(F.concat(F.lit("one two three four five six "), F.col("id").cast("string")).alias("text")).cache()
+    assert text_vectors(docs).select("content_hash").distinct().count() == 400
+    plan = text_vectors(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(content_hash" not in plan and "SortMergeJoin" not in plan
