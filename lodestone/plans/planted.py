@@ -12,7 +12,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.session import table
+from lodestone.session import spread, table
 
 #: What is known of each customer, in SQL.
 BASE_SQL = "(SELECT c_custkey AS id, c_nationkey, 10000 + floor(abs(c_acctbal) * 10)::BIGINT % 80000 AS planted_n, make_date((2017 + c_custkey % 7)::INT, (1 + c_custkey % 12)::INT, 5) AS planted_day FROM customer)"
@@ -34,7 +34,7 @@ def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, the customer's key, and a column for each blank."""
     key = F.col("c_custkey")
     day = F.make_date((2017 + key % 7).cast("int"), (1 + key % 12).cast("int"), F.lit(5))
-    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal").withColumn("day", day)
+    customers = spread(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal")).withColumn("day", day)
     year, amount = F.year("day"), F.lit(10_000) + F.floor(F.abs("c_acctbal") * 10) % 80_000
     nation = F.col("c_nationkey")
     fill = {

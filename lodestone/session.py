@@ -27,3 +27,16 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table; the path may be in any store that Spark reads."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Rows of which one task makes and reads texts, at most about.
+ROWS_A_TASK = 20_000
+
+
+def spread(df: DataFrame, rows_a_task: int = ROWS_A_TASK) -> DataFrame:
+    """Rows dealt evenly over the cores, in more tasks the more rows there are.
+
+    A row of a small file stands for much work once texts are written from it, which Spark cannot see: it reads a file of less
+    than 128 MB in one task, and would join small parts again where their number is left to it.
+    """
+    return df.repartition(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows_a_task)))
