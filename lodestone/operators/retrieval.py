@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,16 +39,25 @@ def top_k(chunks: DataFrame, question: list[float] | DataFrame, k: int = CANDIDA
 
 #: Vectors of chunks and of questions that meet in one task.
 CHUNK_BLOCK, QUESTION_BLOCK = 20_000, 1_000
+#: Questions whose similarities to a block of chunks are held at once.
+AT_ONCE = 32
 #: By so much two ways of adding up a similarity may differ.
 _SLACK = 1e-9
 
 
 def _vectors(column: pa.ChunkedArray) -> np.ndarray:
     """Vectors as rows of doubles; those that are null, of another length than the first or hold nulls are rows of zeros."""
-    lists = column.to_pylist()
-    width = next((len(v) for v in lists if v), 1)
-    sound = [v if v is not None and len(v) == width and None not in v else [0.0] * width for v in lists]
-    return np.array(sound, np.float64).reshape(len(lists), width)
+    lists = column.combine_chunks()
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    width = next((int(n) for n in lengths if n), 1)
+    out = np.zeros((len(lists), width))
+    fit = np.flatnonzero(lengths == width)
+    if len(fit):
+        values = lists.take(pa.array(fit)).flatten()
+        nulls = values.is_null().to_numpy(zero_copy_only=False).reshape(-1, width).any(axis=1)
+        rows = values.fill_null(0.0).to_numpy(zero_copy_only=False).reshape(-1, width)
+        out[fit] = np.where(nulls[:, None], 0.0, rows)
+    return out
 
 
 def _block_top(k: int):
@@ -57,16 +67,20 @@ def _block_top(k: int):
             a, q = _vectors(chunks["_vector"]), _vectors(questions["_vector"])
             if a.shape[1] == q.shape[1]:
                 norm = lambda m: np.sqrt(_fold(m, m))
-                na, nq, ids = norm(a), norm(q), chunks["_key"].to_numpy()
-                with np.errstate(all="ignore"):
-                    near = np.nan_to_num((q @ a.T) / nq[:, None] / na, nan=-2.0)
-                for i, asked in enumerate(questions["question_id"].to_pylist()):
-                    row = near[i]
+                na, nq, ids, asked = norm(a), norm(q), chunks["_key"].to_numpy(), questions["question_id"].to_pylist()
+                for i in range(len(asked)):
+                    if i % AT_ONCE == 0:
+                        with np.errstate(all="ignore"):
+                            near = q[i : i + AT_ONCE] @ a.T
+                            near /= nq[i : i + AT_ONCE, None]
+                            near /= na
+                        np.nan_to_num(near, copy=False, nan=-2.0)
+                    row = near[i % AT_ONCE]
                     least = np.partition(row, -k)[-k] if len(row) > k else -1.5
                     some = np.flatnonzero((row >= least - _SLACK) & (row > -1.5))
                     score = _fold(a[some], np.broadcast_to(q[i], a[some].shape)) / (na[some] * nq[i])
                     best = np.lexsort((ids[some], -score))[:k]
-                    out += zip([asked] * len(best), ids[some][best].tolist(), score[best].tolist(), strict=True)
+                    out += zip([asked[i]] * len(best), ids[some][best].tolist(), score[best].tolist(), strict=True)
         asked, keys, scores = zip(*out, strict=True) if out else ((), (), ())
         return pa.table({"question_id": pa.array(asked, pa.int64()), "_key": pa.array(keys, pa.int64()), "similarity": pa.array(scores, pa.float64())})
 
