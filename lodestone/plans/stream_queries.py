@@ -11,6 +11,8 @@ from lodestone.streaming import counters
 from lodestone.streaming import events as ops
 from lodestone.session import table
 
+#: Events of a file that one task sorts, at most about.
+_ROWS_A_FILE = 500_000
 _SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double"
 
 
@@ -18,7 +20,7 @@ def _stream(spark, sf_dir, files=4):
     """The events in several files, which a stream reads one by one, in the order of their moments; each key twice."""
     path = landing_folder(spark, "events")
     rows = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
-    rows.repartitionByRange(files, "ts").write.parquet(path)
+    rows.repartitionByRange(max(files, -(-rows.count() // _ROWS_A_FILE)), "ts").write.parquet(path)
     return ops.read_events(spark, path, _SCHEMA)
 
 

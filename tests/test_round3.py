@@ -63,3 +63,13 @@ def test_similarities_of_a_block_are_held_for_few_questions_at_once():
     unit = made / np.linalg.norm(made, axis=1)[:, None]
     best = np.argsort(-(unit[4_000:] @ unit[:4_000].T), axis=1)[:, :5]
     assert [r["_key"] for r in found] == best.ravel().tolist()
+
+
+def test_sessions_of_a_stream_of_several_files(spark, monkeypatch):
+    from lodestone.plans import stream_queries
+
+    monkeypatch.setattr(stream_queries, "_ROWS_A_FILE", 300)
+    names = []
+    monkeypatch.setattr(stream_queries.ops, "read_events", lambda s, path, schema, real=stream_queries.ops.read_events: names.append(path) or real(s, path, schema))
+    assert _same(spark, "stream_sessions", "/root/testdata/sf0.001") == ""
+    assert spark.read.parquet(names[0]).select(F.input_file_name()).distinct().count() > 1
