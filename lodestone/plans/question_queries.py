@@ -11,7 +11,7 @@ from lodestone.operators import questions as ops
 from lodestone.operators import retrieval
 from lodestone.plans import planted
 from lodestone.plans.registry import query
-from lodestone.session import table
+from lodestone.session import spread, table
 
 _QUESTIONS = [
     ("What was the net profit of {a} in FY{y}?", "{a}", "net_profit", "FY{y}", "fact_lookup", "code"),
@@ -91,7 +91,7 @@ def questions_with_history(spark, sf_dir):
 LATERAL (SELECT unnest([1, 2]) AS place, unnest([CASE WHEN v = 0 THEN a WHEN v = 1 THEN CASE WHEN a % 3 = 0 THEN -a - 1 ELSE a END WHEN v = 2 THEN b ELSE CASE WHEN b % 3 = 0 THEN -b - 1 ELSE b END END, CASE WHEN v IN (0, 1) THEN b END]) AS symbol) WHERE symbol IS NOT NULL""")
 def names_in_texts(spark, sf_dir):
     """T-25, X-09, J-15, T-16: thousands of names (customers, and groups called after them) found in texts by an index of their words; the longest at each place counts."""
-    customers, orders = table(spark, sf_dir, "customer").select("c_custkey", "c_name"), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    customers, orders = table(spark, sf_dir, "customer").select("c_custkey", "c_name"), spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), 100_000)
     named = lambda n: customers.select(F.col("c_custkey").alias(f"{n}_key"), F.col("c_name").alias(n))
     rows = orders.join(named("a"), F.col("o_custkey") == F.col("a_key")).join(named("b"), F.floor(F.col("o_custkey") / 2) == F.col("b_key"))
     v = F.col("o_orderkey") % 4
