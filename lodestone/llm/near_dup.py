@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import cut, text_bytes, unplaced
@@ -26,7 +26,7 @@ SAMPLES, SKETCH_BITS = 256, 512
 LEAST_ESTIMATE = 0.55
 #: Members of a bucket that are compared in one task, against as many others, and shingles that they hold at most about (16 MB).
 BLOCK, BLOCK_SHINGLES = 512, 2_000_000
-#: A bucket with more members is split by the members' other bands before it is compared in blocks.
+#: A bucket with more members is split by the members' other bands before it is compared in blocks, and what that leaves by their rarest shingles.
 HOT_BUCKET = 32_768
 #: So many ids (some 100 MB) are broadcast to pick their documents; more are joined by a shuffle.
 BROADCAST_IDS = 4_000_000
@@ -178,24 +178,65 @@ def _in_blocks(members: DataFrame) -> DataFrame:
     )
 
 
+def _open_buckets(members: DataFrame) -> DataFrame:
+    """_b and n_members of each bucket that holds several components."""
+    found = members.groupBy(F.col("bucket").alias("_b")).agg(F.count(F.lit(1)).alias("n_members"), F.min("component").alias("_lo"), F.max("component").alias("_hi"))
+    return found.where("_lo <> _hi").select(unplaced(F.col("_b")).alias("_b"), "n_members")
+
+
+def _pairs(buckets: DataFrame) -> float:
+    """Pairs of members of buckets that have n_members."""
+    return float(buckets.agg(F.sum(F.col("n_members").cast("double") * (F.col("n_members") - 1) / 2).alias("n")).first()["n"] or 0)
+
+
+def _rarest(sets: DataFrame) -> DataFrame:
+    """node and bucket: a bucket for each shingle that a link of the node may have to rely on.
+
+    Two linked sets share PERCENT of the larger one's shingles at least, so with all shingles in one order, by how many sets hold
+    them, they share one outside the so many less one most frequent of each. Shingles of a single set link nothing.
+    """
+    held = sets.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    often = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    often = often.select(unplaced(F.col("shingle")).alias("_s"), "often")
+    order = Window.partitionBy("node").orderBy(F.desc("often"), F.desc("shingle"))
+    ranked = held.join(often, F.col("shingle") == F.col("_s")).withColumn("rank", F.row_number().over(order))
+    return ranked.where(F.col("rank") * 100 >= F.col("n") * PERCENT).select("node", F.xxhash64(F.lit("rare"), "shingle").alias("bucket"))
+
+
 def _split_hot(members: DataFrame, classes: DataFrame) -> DataFrame:
     """Members of open buckets, those of very large buckets dealt to smaller ones by their other bands.
 
     Two texts of a large bucket that are linked share a further band but for one pair in a hundred thousand, as they share any
     band at all, so a large bucket becomes one for each other band's value, and its rows grow by the number of bands and not with its
-    members. What is large even then is compared in blocks.
+    members. What is large even then is compared in blocks; the pairs that share no further band are left to _rest_of_hot.
     """
-    hot = members.where(F.col("n_members") > HOT_BUCKET)
-    if hot.isEmpty():
-        return members
+    dealt = members.where(F.col("n_members") > HOT_BUCKET)
     others = classes.select(F.col("node").alias("_n"), F.explode("bands").alias("_other"))
-    dealt = hot.drop("n_members").join(others, F.col("node") == F.col("_n")).where(F.col("_other") != F.col("bucket"))
+    dealt = dealt.drop("n_members").join(others, F.col("node") == F.col("_n")).where(F.col("_other") != F.col("bucket"))
     dealt = dealt.withColumn("bucket", F.xxhash64("bucket", "_other")).drop("_n", "_other")
-    open_ = dealt.groupBy(F.col("bucket").alias("_b")).agg(F.count(F.lit(1)).alias("n_members"), F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi")
-    kept = dealt.join(open_.select(unplaced(F.col("_b")).alias("_b"), "n_members"), F.col("bucket") == F.col("_b")).drop("_b")
+    kept = dealt.join(_open_buckets(dealt), F.col("bucket") == F.col("_b")).drop("_b")
     return cut(members.where(F.col("n_members") <= HOT_BUCKET).unionByName(kept))
 
 
+def _rest_of_hot(hot: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Members of very large buckets that hold several components still, dealt to smaller ones by their rarest shingles.
+
+    This is exact: two members that are linked share one of these shingles, whatever bands they share. Rows grow with the
+    shingles of the members. Where texts are so alike that this makes more pairs than the buckets have, the buckets stay whole;
+    what is large in the end is compared in blocks.
+    """
+    still = cut(_open_buckets(hot))
+    hot = cut(hot.drop("n_members").join(still, F.col("bucket") == F.col("_b")).drop("_b"))
+    nodes = cut(hot.select(F.col("node").alias("_n"), "component", "n", "sketch").dropDuplicates(["_n"]))
+    rare = _rarest(cut(sets_of(nodes.select(F.col("_n").alias("node")))))
+    rare = cut(rare.join(nodes.select("_n", "component"), F.col("node") == F.col("_n")).select("bucket", "node", "component"))
+    open_ = cut(_open_buckets(rare))
+    if _pairs(open_) >= _pairs(still):
+        return hot
+    dealt = rare.join(open_, F.col("bucket") == F.col("_b")).drop("component").join(nodes, F.col("node") == F.col("_n"))
+    return cut(dealt.select(*hot.columns))
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Components of documents linked by a Jaccard similarity of 0.75 or more of their 5-word shingle sets.
 
@@ -211,7 +252,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     2. Odd sketches of the two drop pairs that are clearly less similar; full sets confirm the rest.
     3. Links of one bucket that this star does not show lie between different components. Buckets
        that still hold several components are compared in blocks, again by sketches first and full
-       sets then, and a block emits at most as many edges as it has members. Very large buckets are split by further bands first.
+       sets then, and a block emits at most as many edges as it has members. Very large buckets are
+       split by further bands first. Then their members are dealt by their rarest shingles, which shows every link that is left.
     """
     signed = cut(signatures(docs, text, doc_id))
     classes = (
@@ -265,25 +307,37 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
         .join(facts.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"))
         .drop("_n")
     )
-    open_members = _split_hot(open_members, classes)
     pair = ["bucket", "left", "right"]
-    maybe = _in_blocks(open_members.withColumn("n_held", F.lit(0))).groupBy(*pair).applyInPandas(_maybe_linked, "bucket long, node long").distinct()
-    chosen = cut(maybe.withColumnsRenamed({"bucket": "_b", "node": "_n"}))
-    counted = open_members.drop("n_members").join(chosen, (F.col("bucket") == F.col("_b")) & (F.col("node") == F.col("_n"))).drop("_b", "_n")
-    sized = chosen.join(facts.select(F.col("node").alias("_f"), "n"), F.col("_n") == F.col("_f"))
-    sizes = sized.groupBy(F.col("_b").alias("_bucket")).agg(F.count(F.lit(1)).alias("n_members"), F.sum("n").alias("n_held"))
-    sizes = sizes.withColumn("_bucket", unplaced(F.col("_bucket")))
-    counted = counted.join(sizes, F.col("bucket") == F.col("_bucket")).drop("_bucket")
-    more_sets = sets_of(chosen.select(F.col("_n").alias("node")))
-    with_sets = counted.join(more_sets.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n")).drop("_n")
-    extra = _in_blocks(with_sets).groupBy(*pair).applyInPandas(_unite, "a long, b long")
-    second = connected_components(extra)
-
-    joined = first.unionByName(
-        second.join(first.select(F.col("node").alias("_n")), F.col("node") == F.col("_n"), "left_anti").select("node", "component")
-    )
-    roots = second.select(F.col("node").alias("_root"), F.col("component").alias("_to"))
-    final = joined.join(roots, F.col("component") == F.col("_root"), "left").select("node", F.coalesce("_to", "component").alias("component"))
+
+    def links_in_blocks(members: DataFrame) -> DataFrame:
+        maybe = _in_blocks(members.withColumn("n_held", F.lit(0))).groupBy(*pair).applyInPandas(_maybe_linked, "bucket long, node long").distinct()
+        chosen = cut(maybe.withColumnsRenamed({"bucket": "_b", "node": "_n"}))
+        counted = members.drop("n_members").join(chosen, (F.col("bucket") == F.col("_b")) & (F.col("node") == F.col("_n"))).drop("_b", "_n")
+        sized = chosen.join(facts.select(F.col("node").alias("_f"), "n"), F.col("_n") == F.col("_f"))
+        sizes = sized.groupBy(F.col("_b").alias("_bucket")).agg(F.count(F.lit(1)).alias("n_members"), F.sum("n").alias("n_held"))
+        sizes = sizes.withColumn("_bucket", unplaced(F.col("_bucket")))
+        counted = counted.join(sizes, F.col("bucket") == F.col("_bucket")).drop("_bucket")
+        more_sets = sets_of(chosen.select(F.col("_n").alias("node")))
+        with_sets = counted.join(more_sets.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n")).drop("_n")
+        return _in_blocks(with_sets).groupBy(*pair).applyInPandas(_unite, "a long, b long")
+
+    def united(components: DataFrame, more: DataFrame) -> DataFrame:
+        """Components, those that more links named by an id of each."""
+        joined = components.unionByName(
+            more.join(components.select(F.col("node").alias("_n")), F.col("node") == F.col("_n"), "left_anti").select("node", "component")
+        )
+        roots = more.select(F.col("node").alias("_root"), F.col("component").alias("_to"))
+        return joined.join(roots, F.col("component") == F.col("_root"), "left").select("node", F.coalesce("_to", "component").alias("component"))
+
+    hot = open_members.where(F.col("n_members") > HOT_BUCKET)
+    has_hot = not hot.isEmpty()
+    second = connected_components(links_in_blocks(_split_hot(open_members, classes) if has_hot else open_members))
+    final = united(first, second)
+    if has_hot:
+        roots = second.select(F.col("node").alias("_root"), F.col("component").alias("_to"))
+        hot = hot.join(roots, F.col("component") == F.col("_root"), "left").withColumn("component", F.coalesce("_to", "component")).drop("_root", "_to")
+        final = united(cut(final), connected_components(links_in_blocks(_rest_of_hot(hot, sets_of))))
+
     named = (
         classes.select("content", "node")
         .join(final.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")

@@ -52,6 +52,36 @@ def test_hot_buckets_are_split_by_other_bands(spark, monkeypatch):
     assert 0 < split < compared[0]
 
 
+def test_links_of_hot_buckets_that_share_no_other_band_are_found(spark, monkeypatch):
+    """All texts share one band and no other, so only the hot bucket itself shows their links."""
+    monkeypatch.setattr(near_dup, "HOT_BUCKET", 2)
+    signed = near_dup.signatures
+    alone = F.transform(F.sequence(F.lit(2), F.lit(near_dup.BANDS)), lambda i: F.xxhash64("doc_id", i))
+    monkeypatch.setattr(near_dup, "signatures", lambda *a: signed(*a).withColumn("bands", F.concat(F.array(F.lit(1).cast("long")), alone)))
+    common = [f"c{i}" for i in range(30)]
+    rows = [(i, " ".join(common + [f"t{i // 4}x{j}" for j in range(24 - i % 4)] + [f"e{i % 2}"])) for i in range(80)]
+    rows += [(100 + i, " ".join(["y"] * (i + 1))) for i in range(6)]
+    want = brute.components(rows)
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and len(set(want.values())) < len(rows) / 2
+
+
+def test_rarest_shingles_show_every_link(spark):
+    """Random sets of all sizes and similarities: every linked pair shares a bucket."""
+    rng = np.random.default_rng(5)
+    sets = {}
+    for i in range(60):
+        base = set(rng.integers(0, 60, rng.integers(1, 40)).tolist())
+        for k in range(3):
+            sets[3 * i + k] = sorted({x if rng.random() > 0.08 * k else int(rng.integers(0, 200)) for x in base})
+    found = defaultdict(set)
+    for r in near_dup._rarest(spark.createDataFrame(list(sets.items()), "node long, shingles array<long>")).collect():
+        found[r["bucket"]].add(r["node"])
+    together = {(a, b) for g in found.values() for a in g for b in g if a < b}
+    linked = {(a, b) for a in sets for b in sets if a < b and len({*sets[a]} & {*sets[b]}) * 100 >= 75 * len({*sets[a]} | {*sets[b]})}
+    assert linked <= together and len(linked) > 50
+
+
 def test_odd_sketches_estimate_high_similarities():
     rng = np.random.default_rng(1)
     shared, a, b = (rng.integers(0, 1 << 62, n, dtype=np.uint64) for n in (900, 50, 50))
