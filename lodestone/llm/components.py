@@ -47,13 +47,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """node and component (the smallest node reachable) for every node with an edge to another node.
 
     edges: two long columns a and b. Nulls and loops are ignored. Each partition first contracts its own
-    edges to stars; large-star and small-star steps, each a minimum by node that is joined back,
-    then run until no edge changes, which takes a number of rounds that grows with the logarithm of the
-    nodes. A node with a third of all edges is one row after the
+    edges to stars, and so do then as many partitions as hold PIECE edges each; if that is one, it is done. Large-star
+    and small-star steps, each a minimum by node that is joined back, then run until no edge changes, which
+    takes a number of rounds that grows with the logarithm of the nodes. A node with a third of all edges is one row after the
     minimum, and its join is split by Spark's skew handling.
     """
     plain = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select("a", "b")
-    now = cut(plain.mapInArrow(_contract, "a long, b long").distinct())
+    now = cut(plain.mapInArrow(_contract, "a long, b long"))
+    pieces = max(-(-now.count() // PIECE), 1)
+    now = now.coalesce(pieces).mapInArrow(_contract, "a long, b long")
+    if pieces == 1:
+        return cut(now).select(F.col("a").alias("node"), F.col("b").alias("component"))
+    now = cut(now.distinct())
     before = None
     while True:
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

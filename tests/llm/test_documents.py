@@ -102,6 +102,26 @@ def test_components_of_a_path_and_a_star(spark):
     assert all(got[i] == 10 for i in range(11, 61)) and all(got[i] == 100 for i in range(101, 400)) and not {7, 3} & set(got)
 
 
+def test_components_of_few_edges_take_few_jobs_and_of_many_the_same(spark, monkeypatch):
+    """Edges that fit one piece are contracted at once, however many partitions hold them; with smaller pieces the steps run, to the same end."""
+    edges = [(i, i + 1) for i in range(0, 900) if i % 30] + [(2000, i) for i in range(2001, 2100)]
+    frame = spark.createDataFrame(edges, "a long, b long").repartition(40)
+    tracker = spark.sparkContext.statusTracker()
+
+    def found(group):
+        spark.sparkContext.setJobGroup(group, group)
+        got = {r["node"]: r["component"] for r in components.connected_components(frame).collect()}
+        jobs = len(tracker.getJobIdsForGroup(group))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return got, jobs
+
+    one, few = found("one piece")
+    monkeypatch.setattr(components, "PIECE", 50)
+    many, more = found("pieces")
+    want = {b: max(a // 30 * 30 + 1, 0) if a < 2000 else 2000 for a, b in edges}
+    assert one == many == want and few <= 8 < more
+
+
 def test_scores_are_those_of_plain_deleted_interpolation(spark, documents):
     """The mixture is learned from estimates rounded to quarter octaves, which moves scores by less than a hundredth."""
     some = [d for d in documents[1] if len(d[1] or "") < 3000][:120]
