@@ -28,6 +28,8 @@ LEAST_ESTIMATE = 0.55
 BLOCK, BLOCK_SHINGLES = 512, 2_000_000
 #: A bucket with more members is split by the members' other bands before it is compared in blocks, and what that leaves by their rarest shingles.
 HOT_BUCKET = 32_768
+#: Rest buckets with at most so many members are joined with themselves; larger ones are compared in blocks.
+FEW = 32
 #: So many ids (some 100 MB) are broadcast to pick their documents; more are joined by a shuffle.
 BROADCAST_IDS = 4_000_000
 _A = np.random.default_rng(20240607).integers(0, 1 << 31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -237,6 +239,13 @@ def _rest_of_hot(hot: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> D
     return cut(dealt.select(*hot.columns))
 
 
+def _pairs_of_small(members: DataFrame) -> DataFrame:
+    """Pairs a, b of members of one bucket whose components differ, each once."""
+    one = members.select("bucket", F.col("node").alias("a"), F.col("component").alias("_ca"))
+    other = members.select("bucket", F.col("node").alias("b"), F.col("component").alias("_cb"))
+    return one.join(other, "bucket").where("a < b AND _ca <> _cb").select("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Components of documents linked by a Jaccard similarity of 0.75 or more of their 5-word shingle sets.
 
@@ -274,10 +283,6 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
         return pairs.join(renamed, F.col(side) == F.col(f"_{side}")).drop(f"_{side}")
 
     star = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    likely = with_facts(with_facts(star, "b"), "a").where(
-        _close_in_size(F.col("n_a"), F.col("n_b")) & (estimate(F.col("sketch_a"), F.col("sketch_b")) >= LEAST_ESTIMATE)
-    )
-    likely = cut(likely.select("a", "b"))
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         named = classes.select(F.col("node").alias("_node"), F.col("key").alias("_key"))
@@ -288,12 +293,20 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
         rows = rows.join(wanted, (F.col("node") == F.col("_node")) & (F.col("key") == F.col("_key")), "left_semi").dropDuplicates(["node", "key"])
         return rows.select("node", "_data").mapInArrow(_sets, "node long, shingles array<long>")
 
-    sets = cut(sets_of(likely.select(F.col("b").alias("node")).union(likely.select("a"))))
-    pairs = likely.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-    pairs = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
-    common = F.size(F.array_intersect("sa", "sb"))
-    links = pairs.withColumn("_n", common).where(F.col("_n") * 100 >= (F.size("sa") + F.size("sb") - F.col("_n")) * PERCENT)
-    first = connected_components(links.select("a", "b"))
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs a, b that are linked, by sketches first and full sets then."""
+        likely = with_facts(with_facts(pairs, "b"), "a").where(
+            _close_in_size(F.col("n_a"), F.col("n_b")) & (estimate(F.col("sketch_a"), F.col("sketch_b")) >= LEAST_ESTIMATE)
+        )
+        likely = cut(likely.select("a", "b"))
+        sets = cut(sets_of(likely.select(F.col("b").alias("node")).union(likely.select("a"))))
+        both = likely.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+        both = both.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
+        common = F.size(F.array_intersect("sa", "sb"))
+        links = both.withColumn("_n", common).where(F.col("_n") * 100 >= (F.size("sa") + F.size("sb") - F.col("_n")) * PERCENT)
+        return links.select("a", "b")
+
+    first = connected_components(confirmed(star))
 
     labelled = (
         members.where("n_members > 2")
@@ -336,7 +349,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     if has_hot:
         roots = second.select(F.col("node").alias("_root"), F.col("component").alias("_to"))
         hot = hot.join(roots, F.col("component") == F.col("_root"), "left").withColumn("component", F.coalesce("_to", "component")).drop("_root", "_to")
-        final = united(cut(final), connected_components(links_in_blocks(_rest_of_hot(hot, sets_of))))
+        rest = _rest_of_hot(hot, sets_of)
+        small = confirmed(_pairs_of_small(rest.where(F.col("n_members") <= FEW))).join(
+            rest.select(F.col("node").alias("a"), F.col("component").alias("_ca")).distinct(), "a"
+        ).join(rest.select(F.col("node").alias("b"), F.col("component").alias("_cb")).distinct(), "b")
+        more = links_in_blocks(rest.where(F.col("n_members") > FEW)).unionByName(small.select(F.col("_ca").alias("a"), F.col("_cb").alias("b")))
+        final = united(cut(final), connected_components(more))
 
     named = (
         classes.select("content", "node")
